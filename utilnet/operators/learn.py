@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utilnet.operators.kernels import running
+from utilnet.session import cut
 
 # Order of the candidate and context features.
 CANDIDATE_FEATURES = [
@@ -69,6 +70,12 @@ def run_quality(attempts: DataFrame, keys: Sequence[str], order: Sequence[str],
          .alias("since_improvement"))
 
 
+def territory_split(territory: Column) -> Column:
+    """Whole territories per split: 0-47 train, 48-63 validation, 64-79 test."""
+    return (F.when(territory < 48, "train").when(territory < 64, "validation")
+            .when(territory < 80, "test"))
+
+
 def ranking_labels(cands: DataFrame, group: Sequence[str]) -> DataFrame:
     """Targets for ranking: infeasible rows sit two points behind the group's worst feasible one.
 
@@ -161,13 +168,10 @@ def preference_pairs(outcomes: DataFrame, state: str = "state", top: int = 3,
                      limit: int = 32) -> DataFrame:
     """Pairs (better, worse) per state: the best three against what follows, 32 at most.
 
-    The limit is part of the operator. Only rows that can occur among the first pairs take part:
-    the ranks are cut with row_number, which Spark applies before the shuffle as well.
+    Both numbers are part of the operator. At most three rows of a state meet its other rows, so
+    the join stays linear; the ranks come from the sliced prefix count, not from one task.
     """
-    order = W.partitionBy(state).orderBy("score", "action")
-    # A left action rejects at most the rows that tie with it or share its features; to be exact
-    # the right side is not cut by rank, the joined pairs are.
-    ranked = outcomes.withColumn("rank", F.row_number().over(order))
+    ranked = cut(running(outcomes, [state], ["score", "action"], row_number="rank"))
     best = ranked.filter(F.col("rank") <= top).select(
         state, F.col("rank").alias("i"), F.col("action").alias("good"),
         F.col("score").alias("good_score"), F.col("features").alias("good_features"))

@@ -26,7 +26,7 @@ def diameter_for_flow(spark, d):
 
 
 @query("pipe_rules", f"""SELECT object_id, dn, round(2 * ({rules.HEIGHT})[list_position({DN}, dn)]
-  + CASE WHEN dn <= 150 THEN 0.15 ELSE 0.25 END, 9) AS width,
+  + CASE WHEN dn <= 150 THEN 0.15 ELSE 0.25 END, 9)::DOUBLE AS width,
   CASE WHEN dn < 500 THEN 5.0 WHEN dn <= 800 THEN 7.0 ELSE 9.0 END::DOUBLE AS clearance,
   CASE WHEN dn <= 200 THEN 3e6 WHEN dn <= 500 THEN 5e6 WHEN dn <= 1000 THEN 8e6 ELSE 12e6 END::DOUBLE
     AS chamber, round(1 + 0.1 * greatest(0, object_id % 10 - 3), 9)::DOUBLE AS depth_factor,
