@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utilnet.functions import geo
-from utilnet.session import cut
+from utilnet.session import cut, tune
 
 KEYS = ("dataset_id",)
 LEVELS, STEP = 4, 8          # cell, 8, 64 and 512 cells wide; the last takes all larger boxes
@@ -48,14 +48,15 @@ def bbox_join(a: DataFrame, b: DataFrame, r: float = 0.0, cell: float = 64.0,
               keys: Sequence[str] = KEYS) -> DataFrame:
     """Pairs of rows whose boxes come within r of each other on both axes, each pair once.
 
-    Result: keys, struct ``a``, struct ``b``. A box lives on the grid level whose cells are at
+    Result: keys, the columns of a as ``a_*`` and those of b as ``b_*``. A box lives on the grid level whose cells are at
     least its own size, so it covers at most four cells whatever its size; a pair meets on the
     coarser of its two levels, in the one shared cell with the lowest coordinates.
     """
     keys = list(keys)
+    tune(a.sparkSession)
 
     def side(df: DataFrame, name: str, grow: float) -> DataFrame:
-        return df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name),
+        return df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys],
                          *[(F.col(c) + (grow if c.startswith("max") else -grow))
                            .alias(f"_{name}{c}") for c in BOX])
 
@@ -68,11 +69,13 @@ def bbox_join(a: DataFrame, b: DataFrame, r: float = 0.0, cell: float = 64.0,
              & (F.col("_cy") == F.greatest("_acy0", "_bcy0")))
     overlap = ((F.col("_aminx") <= F.col("_bmaxx")) & (F.col("_amaxx") >= F.col("_bminx"))
                & (F.col("_aminy") <= F.col("_bmaxy")) & (F.col("_amaxy") >= F.col("_bminy")))
-    return pairs.filter(owner & overlap).select(*keys, "a", "b")
+    return pairs.filter(owner & overlap).select(
+        *keys, *[f"a_{c}" for c in a.columns if c not in keys],
+        *[f"b_{c}" for c in b.columns if c not in keys])
 
 
 def _seg(side: str) -> list[Column]:
-    return [F.col(f"{side}.{c}") for c in ("x0", "y0", "x1", "y1")]
+    return [F.col(f"{side}_{c}") for c in ("x0", "y0", "x1", "y1")]
 
 
 def as_points(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -93,7 +96,7 @@ def within(a: DataFrame, b: DataFrame, r: float, a_id: str, b_id: str,
            keys: Sequence[str] = KEYS, cell: float = 64.0) -> DataFrame:
     """Object pairs whose lines, rings or points come within r: keys, a_id, b_id, distance."""
     pairs = bbox_join(a, b, r, cell, keys).select(
-        *keys, F.col(f"a.{a_id}").alias(f"a_{a_id}"), F.col(f"b.{b_id}").alias(f"b_{b_id}"),
+        *keys, F.col(f"a_{a_id}").alias(f"a_{a_id}"), F.col(f"b_{b_id}").alias(f"b_{b_id}"),
         geo.segment_distance(*_seg("a"), *_seg("b")).alias("distance")).filter(
         F.col("distance") <= r)
     return pairs.groupBy(*keys, f"a_{a_id}", f"b_{b_id}").agg(F.min("distance").alias("distance"))
@@ -139,8 +142,8 @@ def contained(points: DataFrame, rings: DataFrame, point_id: str = "point_id",
     candidates = bbox_join(
         as_points(points.select(*keys, point_id, "x", "y")),
         boxes_of(rings, [*keys, "object_id"]), eps, keys=keys).select(
-        *keys, F.col("b.object_id").alias("object_id"), F.col(f"a.{point_id}").alias(point_id),
-        F.col("a.x0").alias("px"), F.col("a.y0").alias("py"))
+        *keys, F.col("b_object_id").alias("object_id"), F.col(f"a_{point_id}").alias(point_id),
+        F.col("a_x0").alias("px"), F.col("a_y0").alias("py"))
     sides = rings.select(*keys, "object_id", "x0", "y0", "x1", "y1")
     side = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     tested = candidates.join(sides, keys + ["object_id"]).groupBy(*keys, point_id, "object_id").agg(
@@ -178,12 +181,12 @@ def line_hits(segments: DataFrame, others: DataFrame, edge_id: str = "edge_id",
               keys: Sequence[str] = KEYS) -> DataFrame:
     """Where edges meet other lines: keys, edge, object, measure on the edge, point, collinear."""
     t, _ = geo.crossing(*_seg("a"), *_seg("b"))
-    span = F.col("a.at1") - F.col("a.at0")
+    span = F.col("a_at1") - F.col("a_at0")
     meets = geo.segments_meet(*_seg("a"), *_seg("b"))
     ax0, ay0, ax1, ay1 = _seg("a")
     # Ends that lie on the other segment stand for touching and collinear contact.
     ends = []
-    for px, py in ((F.col("b.x0"), F.col("b.y0")), (F.col("b.x1"), F.col("b.y1"))):
+    for px, py in ((F.col("b_x0"), F.col("b_y0")), (F.col("b_x1"), F.col("b_y1"))):
         pos = geo.segment_position(px, py, ax0, ay0, ax1, ay1)
         on = geo.point_segment_distance(px, py, ax0, ay0, ax1, ay1) <= 1e-9
         ends.append(F.when(on, pos))
@@ -192,15 +195,16 @@ def line_hits(segments: DataFrame, others: DataFrame, edge_id: str = "edge_id",
     spots = F.array_compact(F.array(F.when(meets, t), *ends))
     return (bbox_join(segments, others, 1e-9, keys=keys)
             .withColumn("_spots", spots).filter(F.size("_spots") > 0)
-            .select(*keys, F.col(f"a.{edge_id}").alias(edge_id),
-                    F.col("b.object_id").alias("object_id"), "a", F.explode("_spots").alias("_t"),
+            .select(*keys, F.col(f"a_{edge_id}").alias(edge_id),
+                    F.col("b_object_id").alias("object_id"),
+                    "a_at0", "a_at1", "a_x0", "a_y0", "a_x1", "a_y1", F.explode("_spots").alias("_t"),
                     (t.isNull() & (F.array_max("_spots") - F.array_min("_spots") > 0))
                     .alias("parallel"),
                     ((F.array_max("_spots") - F.array_min("_spots")) * span).alias("shared_length"))
             .select(*keys, edge_id, "object_id",
-                    (F.col("a.at0") + F.col("_t") * (F.col("a.at1") - F.col("a.at0"))).alias("at"),
-                    (F.col("a.x0") + F.col("_t") * (F.col("a.x1") - F.col("a.x0"))).alias("x"),
-                    (F.col("a.y0") + F.col("_t") * (F.col("a.y1") - F.col("a.y0"))).alias("y"),
+                    (F.col("a_at0") + F.col("_t") * (F.col("a_at1") - F.col("a_at0"))).alias("at"),
+                    (F.col("a_x0") + F.col("_t") * (F.col("a_x1") - F.col("a_x0"))).alias("x"),
+                    (F.col("a_y0") + F.col("_t") * (F.col("a_y1") - F.col("a_y0"))).alias("y"),
                     "parallel", "shared_length"))
 
 
@@ -217,8 +221,8 @@ def polygon_intervals(segments: DataFrame, rings: DataFrame, edge_id: str = "edg
         F.max("at1").alias("len"), F.min("minx").alias("minx"), F.min("miny").alias("miny"),
         F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
     near = bbox_join(extent, boxes_of(rings, [*keys, "object_id"]), 0.0, keys=keys).select(
-        *keys, F.col(f"a.{edge_id}").alias(edge_id), F.col("b.object_id").alias("object_id"),
-        F.explode(F.array(F.lit(0.0), F.col("a.len"))).alias("at"))
+        *keys, F.col(f"a_{edge_id}").alias(edge_id), F.col("b_object_id").alias("object_id"),
+        F.explode(F.array(F.lit(0.0), F.col("a_len"))).alias("at"))
     hits = line_hits(segments, rings, edge_id, keys).select(*pair, "at")
     stops = near.unionByName(hits).distinct()
     order = W.partitionBy(*pair).orderBy("at")
@@ -272,9 +276,8 @@ def crossing_violations(edges: DataFrame, segments: DataFrame, nodes: DataFrame,
         ends = ends.join(xy.select(*keys, F.col("node_id").alias(f"{side}_id"), F.struct(
             "x", "y", "node_type", "existing_id").alias(f"{side}_node")), keys + [f"{side}_id"], "left")
     rows = segments.join(ends, keys + ["edge_id"])
-    a, b = "a.", "b."
-    ca, cb = F.col("a.edge_ord"), F.col("b.edge_ord")
-    later = (ca < cb) | ((ca == cb) & (F.col("a.seq") + 1 < F.col("b.seq")))
+    ca, cb = F.col("a_edge_ord"), F.col("b_edge_ord")
+    later = (ca < cb) | ((ca == cb) & (F.col("a_seq") + 1 < F.col("b_seq")))
     t, _ = geo.crossing(*_seg("a"), *_seg("b"))
     ax0, ay0, ax1, ay1 = _seg("a")
     bx0, by0, bx1, by1 = _seg("b")
@@ -286,22 +289,21 @@ def crossing_violations(edges: DataFrame, segments: DataFrame, nodes: DataFrame,
                   geo.segments_meet(*_seg("a"), *_seg("b")))]
     for x, y, s in ((ax0, ay0, "b"), (ax1, ay1, "b"), (bx0, by0, "a"), (bx1, by1, "a")):
         spots.append(spot(x, y, geo.point_segment_distance(x, y, *_seg(s)) <= 1e-5))
-    allowed = []
+    sx, sy = F.col("_spot.x"), F.col("_spot.y")
+    legal = F.lit(False)
     for p in ("start", "end"):
         for q in ("start", "end"):
-            same = F.col(f"{a}{p}_id") == F.col(f"{b}{q}_id")
-            m, n = F.col(f"{a}{p}_node"), F.col(f"{b}{q}_node")
+            same = F.col(f"a_{p}_id") == F.col(f"b_{q}_id")
+            m, n = F.col(f"a_{p}_node"), F.col(f"b_{q}_node")
             tied = ((m["node_type"] == "tie") & (n["node_type"] == "tie")
                     & (m["existing_id"] == n["existing_id"])
                     & (geo.distance(m["x"], m["y"], n["x"], n["y"]) < 1e-3))
-            allowed.append(F.when((ca != cb) & (same | F.coalesce(tied, F.lit(False))),
-                                  F.struct(m["x"].alias("x"), m["y"].alias("y"))))
+            near = geo.distance(sx, sy, m["x"], m["y"]) < 0.01
+            legal = legal | F.coalesce((ca != cb) & (same | F.coalesce(tied, F.lit(False))) & near,
+                                       F.lit(False))
     return (bbox_join(rows, rows, 1e-5, keys=keys).filter(later)
-            .withColumn("_spots", F.array_compact(F.array(*spots)))
-            .withColumn("_ok", F.array_compact(F.array(*allowed)))
-            .filter(F.exists("_spots", lambda s: ~F.exists(
-                "_ok", lambda o: geo.distance(s["x"], s["y"], o["x"], o["y"]) < 0.01)))
-            .select(*keys, F.col("a.edge_id").alias("edge_id"), F.col("b.edge_id").alias("other_id"),
+            .withColumn("_spot", F.explode(F.array_compact(F.array(*spots)))).filter(~legal)
+            .select(*keys, F.col("a_edge_id").alias("edge_id"), F.col("b_edge_id").alias("other_id"),
                     F.when(ca == cb, "SELF_CROSSING").otherwise("CROSSING").alias("code"))
             .distinct())
 

@@ -36,11 +36,12 @@ def utility_segments(spark, d):
 def bbox_pairs(spark, d):
     pts = spatial.as_points(bridge.points(spark, d).select("dataset_id", "point_id", "x", "y"))
     return spatial.bbox_join(pts, bridge.boxes(spark, d), 12.0).select(
-        "dataset_id", "a.point_id", "b.object_id")
+        "dataset_id", F.col("a_point_id").alias("point_id"),
+        F.col("b_object_id").alias("object_id"))
 
 
-@query("within_distance", sql("""SELECT p.dataset_id, p.point_id, l.edge_id, round(sqrt((x - x0 - t * (x1 - x0))**2
-  + (y - y0 - t * (y1 - y0))**2), 6) AS distance FROM (SELECT p.*, e.*, greatest(0, least(1,
+@query("within_distance", sql("""SELECT p.dataset_id, p.point_id, l.edge_id, round(sqrt((l.x - x0 - t * (x1 - x0))**2
+  + (l.y - y0 - t * (y1 - y0))**2), 6) AS distance FROM (SELECT p.*, e.*, greatest(0, least(1,
   ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (length * length))) AS t FROM fx_points p
   JOIN fx_edges e ON e.dataset_id = p.dataset_id) l JOIN fx_points p ON p.point_id = l.point_id
   WHERE sqrt((l.x - x0 - t * (x1 - x0))**2 + (l.y - y0 - t * (y1 - y0))**2) <= 30""",

@@ -42,3 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise reliably, so that a loop's plan stays short and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tune(spark: SparkSession) -> None:
+    """Turn off constraint propagation for this session.
+
+    The spatial plans stack many aliases over few columns, and inferring constraints over them
+    takes planning time that grows exponentially while it adds only not-null filters.
+    """
+    if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
