@@ -215,12 +215,24 @@ def measured_segments(path: Column) -> Column:
                        step, lambda acc: acc["out"])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it by name in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point_at(path: Column, measure: Column) -> Column:
     """Point of the line at a measure, clamped to its ends."""
-    segs = measured_segments(path)
-    hit = F.coalesce(F.get(F.filter(segs, lambda s: (s["at1"] >= measure) & (s["at1"] > s["at0"])),
+    return let(measured_segments(path), lambda segs: let(
+        _segment_at(segs, measure), lambda hit: _along(hit, measure)))
+
+
+def _segment_at(segs: Column, measure: Column) -> Column:
+    return F.coalesce(F.get(F.filter(segs, lambda s: (s["at1"] >= measure) & (s["at1"] > s["at0"])),
                            F.lit(0)),
-                     F.element_at(segs, -1))
+                      F.element_at(segs, -1))
+
+
+def _along(hit: Column, measure: Column) -> Column:
     share = F.greatest(lit(0), F.least(lit(1), F.coalesce(
         (measure - hit["at0"]) / F.nullif(hit["at1"] - hit["at0"], lit(0)), lit(0))))
     return F.struct((hit["x0"] + share * (hit["x1"] - hit["x0"])).alias("x"),
@@ -238,14 +250,21 @@ def project(path: Column, px: Column, py: Column) -> Column:
 
 def sub_line(path: Column, start: Column, end: Column) -> Column:
     """Vertices of the part of the line between two measures."""
-    inner = F.transform(
-        F.filter(measured_segments(path), lambda s: (s["at1"] > start) & (s["at1"] < end)),
-        lambda s: F.struct(s["x1"].alias("x"), s["y1"].alias("y")))
-    return F.concat(F.array(point_at(path, start)), inner, F.array(point_at(path, end)))
+    def build(segs):
+        inner = F.transform(F.filter(segs, lambda s: (s["at1"] > start) & (s["at1"] < end)),
+                            lambda s: F.struct(s["x1"].alias("x"), s["y1"].alias("y")))
+        head = let(_segment_at(segs, start), lambda hit: _along(hit, start))
+        tail = let(_segment_at(segs, end), lambda hit: _along(hit, end))
+        return F.concat(F.array(head), inner, F.array(tail))
+    return let(measured_segments(path), build)
 
 
 def is_straight(path: Column) -> Column:
     """Every inner vertex lies within 1e-5 m of the chord; a closed chord is not straight."""
+    return let(path, _straight)
+
+
+def _straight(path: Column) -> Column:
     a, b = F.get(path, F.lit(0)), F.element_at(path, -1)
     chord = distance(a["x"], a["y"], b["x"], b["y"])
     flat = F.forall(path, lambda c: F.abs(
@@ -256,10 +275,11 @@ def is_straight(path: Column) -> Column:
 
 def heading_at(path: Column, measure: Column) -> Column:
     """Bearing of the segment that arrives at the measure."""
-    segs = F.filter(measured_segments(path), lambda s: s["at1"] - s["at0"] > 1e-8)
-    hit = F.coalesce(F.get(F.filter(segs, lambda s: s["at1"] + 1e-7 >= measure), F.lit(0)),
-                     F.element_at(segs, -1))
-    return bearing(hit["x0"], hit["y0"], hit["x1"], hit["y1"])
+    usable = F.filter(measured_segments(path), lambda s: s["at1"] - s["at0"] > 1e-8)
+    hit = let(usable, lambda segs: F.coalesce(
+        F.get(F.filter(segs, lambda s: s["at1"] + 1e-7 >= measure), F.lit(0)),
+        F.element_at(segs, -1)))
+    return let(hit, lambda h: bearing(h["x0"], h["y0"], h["x1"], h["y1"]))
 
 
 def path_wkt(path: Column) -> Column:

@@ -122,13 +122,18 @@ def line_crossings(spark, d):
         "dataset_id", "edge_id", "object_id", F.round("at", 5).alias("measure")).distinct()
 
 
-@query("crossing_violations", sql("""SELECT DISTINCT a.dataset_id, a.edge_id, b.edge_id AS other_id,
-  'CROSSING' AS code FROM fx_edges a JOIN fx_edges b ON a.dataset_id = b.dataset_id AND a.edge_id < b.edge_id,
-  LATERAL (SELECT (a.x1-a.x0)*(b.y1-b.y0)-(a.y1-a.y0)*(b.x1-b.x0) AS den) q, LATERAL (SELECT
-   ((b.x0-a.x0)*(b.y1-b.y0)-(b.y0-a.y0)*(b.x1-b.x0)) / den AS t, ((b.x0-a.x0)*(a.y1-a.y0)-(b.y0-a.y0)*(a.x1-a.x0)) / den AS u) w
-  WHERE den <> 0 AND t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND NOT (
-   (a.start_id IN (b.start_id, b.end_id) AND t * a.length < 0.01) OR
-   (a.end_id IN (b.start_id, b.end_id) AND (1 - t) * a.length < 0.01))""", "fx_edges"))
+@query("crossing_violations", sql("""SELECT a.dataset_id, a.edge_id, b.edge_id AS other_id, 'CROSSING' AS code
+  FROM fx_edges a JOIN fx_edges b ON a.dataset_id = b.dataset_id AND a.edge_id < b.edge_id,
+  LATERAL (SELECT (a.x1-a.x0)*(b.y1-b.y0)-(a.y1-a.y0)*(b.x1-b.x0) AS den,
+   (b.x0-a.x0)*(a.y1-a.y0)-(b.y0-a.y0)*(a.x1-a.x0) AS un, (b.x0-a.x0)*(b.y1-b.y0)-(b.y0-a.y0)*(b.x1-b.x0) AS tn,
+   ((b.x0-a.x0)*(a.x1-a.x0)+(b.y0-a.y0)*(a.y1-a.y0)) / (a.length**2) AS p,
+   ((b.x1-a.x0)*(a.x1-a.x0)+(b.y1-a.y0)*(a.y1-a.y0)) / (a.length**2) AS q,
+   a.start_id IN (b.start_id, b.end_id) AS s, a.end_id IN (b.start_id, b.end_id) AS e) w
+  WHERE CASE WHEN den <> 0 THEN tn / den BETWEEN 0 AND 1 AND un / den BETWEEN 0 AND 1 AND NOT (
+      (s AND tn / den * a.length < 0.01) OR (e AND (1 - tn / den) * a.length < 0.01))
+    WHEN un = 0 THEN (least(1, greatest(p, q)) - greatest(0, least(p, q))) * a.length > 0.01
+      OR (least(1, greatest(p, q)) >= greatest(0, least(p, q)) AND NOT s AND NOT e)
+    ELSE false END""", "fx_edges"))
 def crossing_violations(spark, d):
     return spatial.crossing_violations(bridge.edges(spark, d), edge_segments(spark, d),
                                        bridge.nodes(spark, d))
