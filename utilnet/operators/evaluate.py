@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from utilnet.functions import geo, rules
 from utilnet.operators import graph, passages as pas
 from utilnet.operators.kernels import running
+from utilnet.session import cut
 
 KEYS = ("dataset_id",)
 
@@ -264,7 +265,8 @@ def cost_lower_bound(nodes: DataFrame, edges: DataFrame, objective: str = "balan
 def price_networks(nodes: DataFrame, edges: DataFrame, demands: DataFrame,
                    keys: Sequence[str] = KEYS) -> DataFrame:
     """The whole chain without obstacles: flows, chains, diameters, repair, cost, score."""
-    sized = graph.repair_dn(graph.flow_chains(graph.flows(nodes, edges, keys), keys), keys)
+    sized = cut(graph.repair_dn(graph.flow_chains(graph.flows(nodes, edges, keys), keys), keys)
+                .select(*keys, "edge_id", "start_id", "end_id", "length", "flow", "dn"))
     plain = sized.select(*keys, "edge_id", F.lit(0.0).alias("s_from"), F.col("length").alias("s_to"),
                          F.lit(1.0).alias("factor"))
     return network_summary(nodes, sized, plain, demands, keys=keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,6 +245,8 @@ def sql(body: str, *views: str, extra: dict[str, str] | None = None) -> str:
 
     for v in views:
         add(v)
-    parts = [f"{v} AS ({VIEWS[v]})" for v in order]
-    parts += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
+    named = {**{v: VIEWS[v] for v in order}, **(extra or {})}
+    # A view that several others use is computed once; recursive ones are as they are.
+    parts = [f"{n} AS {'' if re.search(rf'\\b{n}\\b', q) else 'MATERIALIZED '}({q})"
+             for n, q in named.items()]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body if parts else body

@@ -1,8 +1,9 @@
-"""Session helpers: checkpoint folder and local defaults."""
+"""Session helpers: written intermediate tables and local defaults."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,38 +18,52 @@ def local_session(cores: str = "8", shuffle: str = "8") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; make one only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="utilnet-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for written intermediate tables: the one the session names, or one for local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        folder = context.getCheckpointDir()
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            folder = tempfile.mkdtemp(prefix="utilnet-checkpoint-")
+            context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/utilnet-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably, so that a loop's plan stays short and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and go on from there.
+
+    The plan behind stays short, lost executors cost no recomputation, and later joins plan with
+    the true size of the table. (A checkpointed DataFrame keeps the size estimates of its origin;
+    those multiply with every round of a loop until planning itself becomes slow.)
+    """
+    spark = df.sparkSession
+    tune(spark)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that this application has written so far."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tune(spark: SparkSession) -> None:
     """Turn off constraint propagation for this session.
 
-    The spatial plans stack many aliases over few columns, and inferring constraints over them
-    takes planning time that grows exponentially while it adds only not-null filters.
+    Loop and spatial plans stack many aliases over few columns, and inferring constraints over
+    them takes planning time that grows exponentially while it adds only not-null filters.
     """
     if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
         spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
