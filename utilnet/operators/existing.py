@@ -101,7 +101,7 @@ def cluster_endpoints(ends: DataFrame, keys: Sequence[str] = KEYS,
     keys = list(keys)
     pts = cut(ends.select(*keys, "end_id", "x", "y"))
     near = spatial.within(spatial.as_points(pts), spatial.as_points(pts), tolerance, "end_id",
-                          "end_id", keys, cell=4.0).filter("a_end_id < b_end_id")
+                          "end_id", keys, cell=4 * tolerance).filter("a_end_id < b_end_id")
     labels = components(pts, near.select(*keys, F.col("a_end_id").alias("a"),
                                          F.col("b_end_id").alias("b")), keys, "end_id")
     return pts.join(labels, keys + ["end_id"]).withColumnRenamed("label", "vertex_id")
@@ -111,10 +111,9 @@ def ambiguous_clusters(clustered: DataFrame, keys: Sequence[str] = KEYS,
                        tolerance: float = rules.SNAP) -> DataFrame:
     """Vertices with two members farther apart than the tolerance.
 
-    A cluster whose box has a side longer than the tolerance is ambiguous at once. In the others
-    the farthest pair lies among the extremes of 720 directions up to a millionth of the radius,
-    so only clusters in that band would need the pairs; they fit in a quarter-metre box and are
-    compared through the grid.
+    A cluster whose box has a side longer than the tolerance is ambiguous at once, and one whose
+    box has a diagonal within it never is. Only the distinct positions of the clusters in between
+    are compared, and those lie in a quarter-metre square.
     """
     keys = list(keys)
     box = clustered.groupBy(*keys, "vertex_id").agg(
@@ -265,7 +264,8 @@ def reconstruction(objects: DataFrame, ties: DataFrame, keys: Sequence[str] = KE
                      "f").filter("b - a > 1e-7")
     spans = whole.unionByName(own)
     events = (spans.select(*keys, "object_id", F.col("a").alias("at"), "f")
-              .unionByName(spans.select(*keys, "object_id", F.col("b").alias("at"), -F.col("f")))
+              .unionByName(spans.select(*keys, "object_id", F.col("b").alias("at"),
+                                        (-F.col("f")).alias("f")))
               .groupBy(*keys, "object_id", "at").agg(F.sum("f").alias("f")))
     swept = running(events, [*keys, "object_id"], ["at"], sums={"added": "f"}, lasts={"s_from": "at"})
     return (swept.filter("at - s_from > 1e-7 AND added > 1e-7")
