@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from utilnet.functions import geo, rules, text
 from utilnet.operators import spatial
+from utilnet.session import cut
 from utilnet.sources.features import ring_segments
 
 _AREAS = ["Polygon", "MultiPolygon"]
@@ -65,7 +66,7 @@ def geometry_violations(features: DataFrame) -> DataFrame:
         "code IS NOT NULL").select("dataset_id", "object_id", "code")
     segs = ring_segments(areas).filter((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
     last_seq = segs.groupBy("dataset_id", "object_id", "part", "ring").agg(F.max("seq").alias("last_seq"))
-    segs = segs.join(last_seq, ["dataset_id", "object_id", "part", "ring"])
+    segs = cut(segs.join(last_seq, ["dataset_id", "object_id", "part", "ring"]))
     keys = ["dataset_id", "object_id"]
     a, b = [F.col(f"a_{c}") for c in ("x0", "y0", "x1", "y1")], [F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")]
     t, u = geo.crossing(*a, *b)

@@ -9,6 +9,7 @@ from utilnet.operators import quality
 from utilnet.plans import bridge
 from utilnet.plans.bridge import table
 from utilnet.plans.registry import query
+from utilnet.session import cut
 from utilnet.sources import features as src
 
 
@@ -23,10 +24,9 @@ def feature_texts(spark, d):
     head = F.when(k % 37 == 2, "Thing").otherwise("Feature")
     points = table(spark, d, "customer").select(
         bridge.div(k, 40).alias("dataset_id"), k.alias("pos"), F.concat(
-            F.lit('{"type":"'), head, F.lit('","geometry":{"type":"Point","coordinates":['), lon.cast("string"),
+            F.when(k % 41 == 7, "{").otherwise(""), F.lit('{"type":"'), head, F.lit('","geometry":{"type":"Point","coordinates":['), lon.cast("string"),
             F.lit(","), lat.cast("string"), F.lit(']},"properties":{"id":'), pid, F.lit(',"object_type":"'), kind,
-            F.lit('","flow_tph":'), flow, F.lit(',"_tt_x":1}}'),
-            F.when(k % 41 == 7, "}").otherwise("")).alias("body"))
+            F.lit('","flow_tph":'), flow, F.lit(',"_tt_x":1}}')).alias("body"))
     p = F.col("p_partkey")
     x, y = 37 + (p % 900) / 1000.0, 55 + (p % 800) / 1000.0
     rule = F.get(F.array(*[F.lit(r[0]) for r in rules.RESTRICTIONS[:6]], F.lit("swamp")), (p % 7).cast("int"))
@@ -74,7 +74,7 @@ def feature_rows(spark, d):
 
 
 def features(spark, d):
-    return src.add_box(parsed(spark, d).filter("reject IS NULL").drop("reject", "body"))
+    return cut(src.add_box(parsed(spark, d).filter("reject IS NULL").drop("reject", "body")))
 
 
 @query("geometry_violations", """SELECT p_partkey // 40 AS dataset_id, 'p' || p_partkey AS object_id, 'RING_NOT_CLOSED' AS code
