@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from utilnet.functions import geo
 from utilnet.operators import graph, variants, windows
+from utilnet.operators.ordering import top_k
 from utilnet.plans import bridge
 from utilnet.plans.bridge import sql, table
 from utilnet.plans.registry import query
@@ -89,8 +90,13 @@ def _metrics(spark, d):
         (50 + (k * 57) % 991).cast("double").alias("installation_index"))
 
 
+def _pool(spark, d):
+    return top_k(_metrics(spark, d), ["dataset_id"], ["score", "network_id"], 60).drop("rank")
+
+
 def _metric_pairs(spark, d):
-    m = _metrics(spark, d).select("dataset_id", F.col("network_id").alias("a"))
+    # The pool of a dataset is its best sixty networks, so its pairs are bounded too.
+    m = _pool(spark, d).select("dataset_id", F.col("network_id").alias("a"))
     return m.join(m.withColumnRenamed("a", "b"), "dataset_id").filter("a < b").select(
         "dataset_id", "a", "b", ((F.col("a") + F.col("b")) % 100 / 500.0).alias("difference"),
         (F.col("a") % 2 == 0).alias("structural"))
@@ -98,7 +104,8 @@ def _metric_pairs(spark, d):
 
 _CH = {
     "m": """SELECT o_custkey AS ds, o_orderkey AS id, o_totalprice / 1000 AS score, (100 + (o_orderkey * 31) % 997)::DOUBLE AS e,
-      (50 + (o_orderkey * 57) % 991)::DOUBLE AS i FROM orders""",
+      (50 + (o_orderkey * 57) % 991)::DOUBLE AS i FROM orders
+      QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) <= 60""",
     "ap": """SELECT x.ds, x.id AS a, y.id AS b FROM m x JOIN m y ON x.ds = y.ds AND x.id <> y.id WHERE (x.id + y.id) % 100 / 500.0 >= 0.06
       OR ((x.id + y.id) % 100 / 500.0 >= 0.03 AND least(x.id, y.id) % 2 = 0)""",
     "bal": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ds ORDER BY score, id) AS n FROM m) WHERE n = 1",
@@ -117,13 +124,13 @@ _CH = {
   SELECT ds, eid, 'earthworks' FROM tri WHERE n = 1 UNION ALL SELECT ds, iid, 'installation' FROM tri WHERE n = 1 UNION ALL
   SELECT ds, id, 'earthworks' FROM one WHERE ds NOT IN (SELECT ds FROM tri)""", extra=_CH))
 def chosen_variants(spark, d):
-    return variants.choose_variants(_metrics(spark, d), _metric_pairs(spark, d))
+    return variants.choose_variants(_pool(spark, d), _metric_pairs(spark, d))
 
 
 @query("variant_audit")
 def variant_audit(spark, d):
-    roles = variants.choose_variants(_metrics(spark, d), _metric_pairs(spark, d))
-    return variants.audit_variants(_metrics(spark, d).drop("score"), roles, _metric_pairs(spark, d))
+    roles = variants.choose_variants(_pool(spark, d), _metric_pairs(spark, d))
+    return variants.audit_variants(_pool(spark, d).drop("score"), roles, _metric_pairs(spark, d))
 
 
 @query("run_comparison", """SELECT o_custkey AS dataset_id, count(*) FILTER (presence = 'both') AS matched, count(*) FILTER (presence <> 'both')
