@@ -192,11 +192,17 @@ def depth_sections(placed: DataFrame, depths: DataFrame, plan: DataFrame,
     """
     keys = list(keys)
     edge = [*keys, "edge_id"]
-    known = placed.join(depths.select(*keys, "group", "depth"), keys + ["group"]).select(*edge, "at", "depth")
-    steps = running(known, edge, ["at"], lasts={"s_from": "at", "ha": "depth"}).filter("s_from IS NOT NULL").select(
-        *edge, "s_from", F.col("at").alias("s_to"), "ha", F.col("depth").alias("hb"))
+    known = placed.join(depths.select(*keys, "group", "depth"), keys + ["group"]).select(
+        *edge, "at", "group", "depth")
+    steps = running(known, edge, ["at"], lasts={"s_from": "at", "ha": "depth", "_before": "group"}).filter(
+        "s_from IS NOT NULL").select(*edge, "s_from", F.col("at").alias("s_to"), "ha", F.col("depth").alias("hb"),
+                                     (F.col("group") == F.col("_before")).alias("_flat"))
     keyed = plan.select(*edge, F.round("s_from", 7).alias("s_from"), "factor", "method")
-    return ramp_sections(steps.join(keyed, edge + ["s_from"], "left").fillna({"factor": 1.0, "method": "base"}), **limits)
+    steps = cut(steps.join(keyed, edge + ["s_from"], "left").fillna({"factor": 1.0, "method": "base"}))
+    # Stations of one group share their depth: between them the pipe is level.
+    level = steps.filter("_flat").select(*edge, "factor", "method", "s_from", "s_to", F.col("ha").alias("h0"),
+                                         F.col("hb").alias("h1"))
+    return level.unionByName(ramp_sections(steps.filter("NOT _flat").drop("_flat"), **limits))
 
 
 def profile_report(sections: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -131,14 +131,15 @@ def export_features(nodes: DataFrame, edges: DataFrame, sections: DataFrame, cha
                        row_number="_n").withColumn("ordinal", F.col("_n") - 1)
     last = numbered.groupBy(*edge).agg(F.max("ordinal").alias("_last"))
 
-    def number_or_text(df, column):
+    def number_or_text(column):
         return F.when(F.col(f"{column}_int"), F.col(column)).otherwise(F.to_json(F.struct(
             F.col(column).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(
                 F.col(column).alias("v")))) - 6))
 
     named = nodes.join(prefixes, keys).select(
         *keys, "node_id", F.coalesce("out_id", F.concat("prefix", F.col("node_id").cast("string")))
-        .alias("name"), F.coalesce("out_is_int", F.lit(False)).alias("name_int"))
+        .alias("name"),
+        (F.col("out_id").isNotNull() & F.coalesce("out_is_int", F.lit(False))).alias("name_int"))
     rows = (numbered.join(last, edge).join(edges.select(*edge, "start_id", "end_id", "path", "flow", "dn"), edge)
             .join(prefixes, keys)
             .join(named.select(*keys, F.col("node_id").alias("start_id"), F.col("name").alias("s_name"),
@@ -178,7 +179,7 @@ def export_features(nodes: DataFrame, edges: DataFrame, sections: DataFrame, cha
     def ids(props_struct, *pairs):
         """Properties JSON with id fields put in front in their input type."""
         rest = F.to_json(props_struct)
-        front = F.concat(*[F.concat(F.lit(f'"{n}":'), number_or_text(None, c), F.lit(",")) for n, c in pairs])
+        front = F.concat(*[F.concat(F.lit(f'"{n}":'), number_or_text(c), F.lit(",")) for n, c in pairs])
         return F.concat(F.lit("{"), front, rest.substr(F.lit(2), F.length(rest)))
 
     pipes = rows.select(*keys, text.part_id(F.col("prefix"), F.col("edge_id"), F.col("ordinal")).alias("id"),
