@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utilnet.functions import geo
-from utilnet.session import cut, tune
+from utilnet.session import cut, spread, tune
 
 KEYS = ("dataset_id",)
 LEVELS, STEP = 4, 8          # cell, 8, 64 and 512 cells wide; the last takes all larger boxes
@@ -60,7 +60,7 @@ def bbox_join(a: DataFrame, b: DataFrame, r: float = 0.0, cell: float = 64.0,
                          *[(F.col(c) + (grow if c.startswith("max") else -grow))
                            .alias(f"_{name}{c}") for c in BOX])
 
-    left, right = side(a, "a", r), side(b, "b", 0.0)
+    left, right = spread(side(a, "a", r)), spread(side(b, "b", 0.0))
     on = [*keys, "_level", "_cx", "_cy"]
     coarse_b = _cells(left, "a", cell, False, False).join(_cells(right, "b", cell, True, False), on)
     coarse_a = _cells(left, "a", cell, True, False).join(_cells(right, "b", cell, False, True), on)
@@ -177,6 +177,30 @@ def resolve_building(points: DataFrame, rings: DataFrame, point_id: str = "point
         F.when(F.col("containing") > 1, "AMBIGUOUS_BUILDING_ENTRY").alias("code"))
 
 
+def _sides_may_meet() -> Column:
+    """Cheap necessary test: neither segment lies wholly on one side of the other's line."""
+    def straddles(p, q):
+        (x0, y0, x1, y1), (u0, v0, u1, v1) = _seg(p), _seg(q)
+        dx, dy = x1 - x0, y1 - y0
+        c0, c1 = dx * (v0 - y0) - dy * (u0 - x0), dx * (v1 - y0) - dy * (u1 - x0)
+        slack = 1e-6 * (F.abs(dx) + F.abs(dy)) + 1e-9
+        return (F.least(c0, c1) <= slack) & (F.greatest(c0, c1) >= -slack)
+    return straddles("a", "b") & straddles("b", "a")
+
+
+def split_segments(segments: DataFrame, step: float) -> DataFrame:
+    """Segments cut into pieces no longer than the step, so that slanted ones have small boxes."""
+    cols = [c for c in segments.columns if c not in ("x0", "y0", "x1", "y1", *BOX)]
+    side = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    n = F.greatest(F.lit(1), F.ceil(geo.distance(*side) / step).cast("int"))
+    rows = segments.select(*cols, *side, n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
+    t0, t1 = F.col("_i") / F.col("_n"), (F.col("_i") + 1) / F.col("_n")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return geo.with_box(rows.select(
+        *cols, (F.col("x0") + t0 * dx).alias("x0"), (F.col("y0") + t0 * dy).alias("y0"),
+        (F.col("x0") + t1 * dx).alias("x1"), (F.col("y0") + t1 * dy).alias("y1")))
+
+
 def line_hits(segments: DataFrame, others: DataFrame, edge_id: str = "edge_id",
               keys: Sequence[str] = KEYS) -> DataFrame:
     """Where edges meet other lines: keys, edge, object, measure on the edge, point, collinear."""
@@ -193,7 +217,7 @@ def line_hits(segments: DataFrame, others: DataFrame, edge_id: str = "edge_id",
     for share, px, py in ((0.0, ax0, ay0), (1.0, ax1, ay1)):
         ends.append(F.when(geo.point_segment_distance(px, py, *_seg("b")) <= 1e-9, F.lit(share)))
     spots = F.array_compact(F.array(F.when(meets, t), *ends))
-    return (bbox_join(segments, others, 1e-9, keys=keys)
+    return (bbox_join(segments, others, 1e-9, keys=keys).filter(_sides_may_meet())
             .withColumn("_spots", spots).filter(F.size("_spots") > 0)
             .select(*keys, F.col(f"a_{edge_id}").alias(edge_id),
                     F.col("b_object_id").alias("object_id"),

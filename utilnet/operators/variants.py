@@ -43,6 +43,7 @@ def outside_share(edges: DataFrame, segments: DataFrame, pairs: DataFrame,
         pairs.select(*keys, F.col("a").alias("network_id"), "b"), keys + ["network_id"]))
     other = segments.select(*keys, F.col("network_id").alias("b"), *[c for c in (
         "x0", "y0", "x1", "y1", *spatial.BOX)])
+    other = spatial.split_segments(other, 32.0)
     spot = [*keys, "network_id", "b", "edge_id", "slice"]
     near = (spatial.bbox_join(spatial.as_points(mids), other, radius, keys=[*keys, "b"])
             .filter(geo.point_segment_distance(

@@ -39,12 +39,12 @@ def solved(spark, d):
 
 
 @query("short_plateaus", sql("""SELECT dataset_id, edge_id, 'PLATEAU_TOO_SHORT' AS code FROM fx_edges WHERE edge_id % 3 = 2
-  AND length > 5 AND length * 0.1 < 3 - 1e-8""", "fx_edges"))
+  AND length > 5 AND length * 0.02 < 3 - 1e-8""", "fx_edges"))
 def short_plateaus(spark, d):
     e = _sized(spark, d).filter("edge_id % 3 = 2 AND length > 5")
     p = e.select("dataset_id", "edge_id", F.col("edge_id").alias("object_id"), F.lit("road").alias("rule"),
-                 F.greatest(F.lit(0.0), F.col("length") * 0.1 - 3).alias("s_from"), (F.col("length") * 0.3 + 3).alias("s_to"),
-                 (F.col("length") * 0.1).alias("core_from"), (F.col("length") * 0.3).alias("core_to"),
+                 F.greatest(F.lit(0.0), F.col("length") * 0.02 - 3).alias("s_from"), (F.col("length") * 0.3 + 3).alias("s_to"),
+                 (F.col("length") * 0.02).alias("core_from"), (F.col("length") * 0.3).alias("core_to"),
                  F.lit(1.6).alias("factor"), "length")
     return depth.short_plateaus(p, e).select("dataset_id", "edge_id", "code")
 

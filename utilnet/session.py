@@ -67,3 +67,14 @@ def tune(spark: SparkSession) -> None:
     """
     if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
         spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores before work that multiplies its rows.
+
+    A table of a few megabytes is one scan task, however much is computed from it. Inputs that
+    already come in enough splits pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * 64 * 1024 * 1024 else df
