@@ -241,13 +241,13 @@ def polygon_intervals(segments: DataFrame, rings: DataFrame, edge_id: str = "edg
     """
     keys = list(keys)
     pair = [*keys, edge_id, "object_id"]
-    extent = segments.groupBy(*keys, edge_id).agg(
-        F.max("at1").alias("len"), F.min("minx").alias("minx"), F.min("miny").alias("miny"),
-        F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
-    near = bbox_join(extent, boxes_of(rings, [*keys, "object_id"]), 0.0, keys=keys).select(
-        *keys, F.col(f"a_{edge_id}").alias(edge_id), F.col("b_object_id").alias("object_id"),
-        F.explode(F.array(F.lit(0.0), F.col("a_len"))).alias("at"))
-    hits = line_hits(segments, rings, edge_id, keys).select(*pair, "at")
+    hits = cut(line_hits(segments, rings, edge_id, keys).select(*pair, "at").distinct())
+    # A pipe that touches no side of an area is inside it only if its first point is.
+    starts = segments.filter("seq = 0").select(*keys, edge_id, F.col("x0").alias("x"), F.col("y0").alias("y"))
+    met = hits.select(*pair).unionByName(contained(starts, rings, edge_id, keys, 1e-9).select(*pair)).distinct()
+    lengths = segments.groupBy(*keys, edge_id).agg(F.max("at1").alias("len"))
+    near = met.join(lengths, keys + [edge_id]).select(
+        *pair, F.explode(F.array(F.lit(0.0), F.col("len"))).alias("at"))
     stops = near.unionByName(hits).distinct()
     order = W.partitionBy(*pair).orderBy("at")
     spans = stops.withColumn("to", F.lead("at").over(order)).filter(F.col("to") - F.col("at") > 1e-9)
