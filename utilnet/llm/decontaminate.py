@@ -297,6 +297,21 @@ def hit_words(packed: bytes | None) -> int:
     return sum(values[1::2]) - sum(values[::2])
 
 
+def contaminated(n_hit: int, n_words: int) -> bool:
+    """A twentieth of the words or more is hit, and one at least."""
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def clean(found: DataFrame) -> DataFrame:
+    """Those of ``contamination``'s rows that are not contaminated."""
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column("hits").to_pylist(), batch.column("n_words").to_pylist())
+            yield batch.filter(pa.array([not contaminated(hit_words(h), n) for h, n in rows], pa.bool_()))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated from ``contamination``'s rows."""
     def run(batches):
@@ -308,7 +323,7 @@ def digest(found: DataFrame) -> DataFrame:
                 "doc_id": batch.column("doc_id"), "n_words": n_words, "n_hit": n_hit,
                 "n_items": [len(i or ()) for i in items],
                 "items_sha256": [hashlib.sha256(",".join(i or ()).encode()).hexdigest() for i in items],
-                "contaminated": [n > 0 and 20 * n >= w for n, w in zip(n_hit, n_words)]},
+                "contaminated": [contaminated(n, w) for n, w in zip(n_hit, n_words)]},
                 schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                                   ("n_items", pa.int64()), ("items_sha256", pa.string()),
                                   ("contaminated", pa.bool_())]))

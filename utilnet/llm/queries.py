@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utilnet.llm import bpe, decontaminate, langid, simhash
+from utilnet.llm import bpe, decontaminate, langid, simhash, suffixes
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,12 @@ def fold(count: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % count
 
 
+@_query
+def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.digest(suffixes.remove_repeats(docs))
+
+
 @_query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))

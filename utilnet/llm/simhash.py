@@ -9,7 +9,7 @@ whole group together without emitting its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -88,16 +88,17 @@ def fingerprints(batch: pa.RecordBatch, words: int = 3) -> np.ndarray:
     return packed.view("<u8").reshape(-1).astype(np.uint64).view(np.int64)
 
 
-def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) for every document. Null and empty texts, and texts without words, get zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def with_fingerprints(docs: DataFrame, words: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, ``carry``, fp) for every document. Texts without words, null ones too, get zero."""
+    rows = docs.select(F.col("doc_id").cast("long"), *carry, "text")
+    names = ["doc_id", *carry]
 
     def run(batches):
         for batch in batches:
-            fp = fingerprints(batch, words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fingerprints(batch, words))],
+                                             names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -109,23 +110,25 @@ def links(fps: DataFrame) -> DataFrame:
             .filter("a IS NOT NULL AND bit_count(a ^ b) BETWEEN 1 AND 2").select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): documents whose fingerprints are linked, directly or not.
+def near_duplicates(docs: DataFrame, words: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, ``carry``, fp, component_id, label): documents whose fingerprints are linked, directly or not.
 
-    ``component_id`` is the smallest doc_id of the component. Documents of equal fingerprint are
-    one node, so a group of copies is never paired. Texts without words share the fingerprint
-    zero and are linked by it like any other. A null doc_id takes part but is never the smallest;
-    repeated doc_ids are repeated rows of the result. Other columns are ignored.
+    ``component_id`` is the smallest doc_id of the component, ``label`` its smallest fingerprint.
+    Documents of equal fingerprint are one node, so a group of copies is never paired. Texts
+    without words share the fingerprint zero and are linked by it like any other. A null doc_id
+    takes part but is never the smallest; repeated doc_ids are repeated rows of the result.
+    Columns that are not carried are ignored.
     """
-    fps = cut(with_fingerprints(docs, words))
+    fps = cut(with_fingerprints(docs, words, carry))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = cut(links(nodes))
     linked = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
     labels = components(linked, found, [], "fp")
     low = (labels.join(nodes, "fp").groupBy("label").agg(F.min("rep").alias("component_id")))
-    of_fp = cut(nodes.join(labels.join(low, "label").select("fp", "component_id"), "fp", "left")
-                .select("fp", F.coalesce("component_id", "rep").alias("component_id")))
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = cut(nodes.join(labels.join(low, "label"), "fp", "left")
+                .select("fp", F.coalesce("component_id", "rep").alias("component_id"),
+                        F.coalesce("label", "fp").alias("label")))
+    return fps.join(of_fp, "fp").select("doc_id", *carry, "fp", "component_id", "label")
 
 
 def fingerprint_hex(fp):
