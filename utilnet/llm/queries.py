@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utilnet.llm import bpe, decontaminate, langid, simhash, suffixes
+from utilnet.llm import bpe, decontaminate, langid, sharding, simhash, suffixes
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,13 @@ def fold(count: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % count
 
 
+@_query
+def op1_shards(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.assign(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query
 def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
