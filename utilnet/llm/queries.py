@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utilnet.llm import bpe, decontaminate, langid, sharding, simhash, suffixes
+from utilnet.llm import bpe, decontaminate, langid, sharding, simhash, suffixes, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
+TOXIC_FOLDS = 5
 
 
 def _query(fn):
@@ -47,6 +48,14 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+@_query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(TOXIC_FOLDS) == 0, F.lit(False))
+    scorer = toxicity.learn(docs, table(spark, folder, "labels").filter(~held_out))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), scorer)
+
+
 @_query
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
