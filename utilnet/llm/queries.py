@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utilnet.llm import bpe, decontaminate, langid, sharding, simhash, suffixes, toxicity
+from utilnet.llm import bpe, decontaminate, langid, sharding, simhash, suffixes, toxicity, vectors
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, folder, "benchmark")))
+
+
+@_query
+def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
