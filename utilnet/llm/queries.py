@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utilnet.llm import bpe, decontaminate, langid, sharding, simhash, suffixes, toxicity, vectors
+from utilnet.llm import bpe, decontaminate, html, idfiles, langid, sharding, simhash, suffixes, toxicity, vectors
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -71,12 +71,23 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
                       public_tokenizers.PATTERN)
 
 
+@_query
+def op7_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @_query
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, folder, "benchmark")))
 
 
+@_query
+def op9_idfiles(spark: SparkSession, folder: str) -> DataFrame:
+    files = idfiles.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return idfiles.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @_query
 def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
