@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,12 +39,13 @@ from utilnet.session import cut
 
 SPAN = 50
 GRAM = 20
-BLOCK = 8 << 20  # bytes of text in a block; a longer text is a block of its own
+BLOCK = 4 << 20  # bytes of text in a block; a longer text is a block of its own
 CHUNK = 1 << 18  # spans looked at together
 STEP = 10_000  # pieces compared together
-BUCKET_TEXT = 32 << 20  # bytes of text for each bucket of anchors
+BUCKET_TEXT = 16 << 20  # bytes of text for each bucket of anchors
 SHARD = 2 << 20  # bytes of pieces in a suffix array
-HOT = 16  # blocks in which an anchor may occur before its spans are dealt out one by one
+HOT = 20_000  # surroundings of an anchor beyond which its spans are dealt out one by one
+FAN = 256  # blocks whose copies of a piece are settled together
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: never smaller than another
 
 _U = np.uint64
@@ -103,6 +105,8 @@ class Runs:
         self.start = start + first
         self.count = np.flatnonzero(end & whole) + 1 - start
         self.hash = value[anchor[start]] >> _U(8)
+        # tells apart the surroundings of one anchor: first and last bytes of the run, and its length
+        self.around = value[start] * _BASE + value[start + self.count + SPAN - 1 - GRAM] + self.count.astype(np.uint64)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.first = first
 
@@ -125,22 +129,20 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def block_anchors(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Sorted distinct anchors of a block, doubled, plus one if more than one id has them."""
-    parts = []
-    for r in runs(raw, offsets):
-        order = np.lexsort((ids[r.doc], r.hash))
-        parts.append((r.hash[order], ids[r.doc[order]]))
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h, d = (np.concatenate([p[k] for p in parts]) for k in range(2))
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
+def block_anchors(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct anchors of a block, doubled, plus one if more than one id has them; and the
+    number of different surroundings of each."""
+    parts = [(r.hash, r.around, ids[r.doc]) for r in runs(raw, offsets)]
+    if not parts or not sum(len(p[0]) for p in parts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, around, d = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort((around, h))
+    h, around, d = h[order], around[order], d[order]
     at = _starts(h)
-    if not len(at):
-        return np.zeros(0, np.uint64)
     many = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-    return (h[at] << _U(1)) | many.astype(np.uint64)
+    new = np.ones(len(h), np.int64)
+    new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
+    return (h[at] << _U(1)) | many.astype(np.uint64), np.add.reduceat(new, at)
 
 
 def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -266,41 +268,46 @@ def suffix_order(raw: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(raw: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each suffix and the one before it in the order.
+def common_prefixes(raw: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of each suffix in the order and the one before it.
 
-    Kasai's observation, over whole arrays: where the neighbour of suffix p is one on from the
-    neighbour of p - 1, the prefix is one shorter than that of p - 1. Only the other suffixes
-    are compared with their neighbour.
+    ``order`` may leave suffixes out. Lengths below ``depth`` are exact, others are ``depth`` at
+    least. Kasai's observation, over whole arrays: where the neighbour of suffix p is one on from
+    the neighbour of p - 1, the prefix is one shorter than that of p - 1. The other suffixes are
+    compared with their neighbour, eight bytes at a time and ``depth`` plus some at most, and so
+    is every suffix whose carried length could have fallen below ``depth`` by that limit alone.
     """
-    n = len(raw)
-    if n == 0:
+    n, limit = len(raw), -(-depth // 8) * 8 + 16
+    if not len(order):
         return np.zeros(0, np.int64)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     carried = np.zeros(n, bool)
-    carried[1:] = (before[1:] > 0) & (before[1:] == before[:-1] + 1)
-    p = np.arange(1, n)
-    carried[1:] &= raw[p - 1] == raw[np.maximum(before[1:], 1) - 1]
-    own = np.flatnonzero(~carried)
-    length = np.zeros(n, np.int64)
+    carried[1:] = (before[1:] > 0) & (before[:-1] >= 0) & (before[1:] == before[:-1] + 1)
+    p = np.flatnonzero(carried)
+    carried[p] = raw[p - 1] == raw[before[p] - 1]
+    place = np.arange(n, dtype=np.int32)
+    steps = place - np.maximum.accumulate(np.where(carried, 0, place))
+    carried &= steps % (limit - depth + 1) != 0
+    length = np.zeros(n, np.int32)
     words = np.concatenate((raw, np.zeros(8, np.uint8)))
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(words, 8)).view("<u8").reshape(-1)
-    live = own[before[own] >= 0]
-    while len(live):
-        a, b = live + length[live], before[live] + length[live]
-        inside = (a < n) & (b < n)
-        live, a, b = live[inside], a[inside], b[inside]
+    live = np.flatnonzero((before >= 0) & ~carried)
+    for done in range(0, limit, 8):
+        a, b = live + done, before[live] + done
+        inside = np.maximum(a, b) < n
+        if not inside.all():
+            length[live[~inside]] = done
+            live, a, b = live[inside], a[inside], b[inside]
         differ = words[a] ^ words[b]
-        same = differ == 0
-        # bytes up to the lowest set bit of the difference
-        bits = np.log2((differ & (~differ + _U(1))).astype(np.float64), where=~same, out=np.full(len(live), 64.0))
-        length[live] += (bits // 8).astype(np.int64)
-        live = live[same]
-    first = np.maximum.accumulate(np.where(carried, 0, np.arange(n)))
-    length = np.maximum(length[first] - (np.arange(n) - first), 0)
-    length = np.minimum(length, np.minimum(n - np.arange(n), n - before))
-    return length[order]
+        stop = np.flatnonzero(differ)
+        bit = differ[stop] & (~differ[stop] + _U(1))  # the lowest bit that differs
+        length[live[stop]] = done + (np.frexp(bit.astype(np.float64))[1] - 1) // 8
+        live = live[differ == 0]
+    length[live] = limit
+    first = np.maximum.accumulate(np.where(carried, 0, place))
+    length = np.maximum(length[first] - (place - first), 0)
+    return np.minimum(length[order], np.minimum(n - order, n - before[order]))
 
 
 class SortedShard:
@@ -309,13 +316,13 @@ class SortedShard:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         n = len(pieces.raw)
-        owner = np.repeat(np.arange(len(pieces.start)), pieces.size)
-        inner = np.arange(n) - pieces.start[owner]
+        owner = np.repeat(np.arange(len(pieces.start), dtype=np.int32), pieces.size)
+        inner = np.arange(n, dtype=np.int32) - pieces.start[owner].astype(np.int32)
+        begins = inner < pieces.count[owner]  # suffixes that start a span of a piece
+        del inner
         order = suffix_order(pieces.raw, SPAN)
-        prefix = common_prefixes(pieces.raw, order)
-        begins = np.cumsum(prefix < SPAN)
-        span = inner[order] < pieces.count[owner[order]]  # suffixes that start a span of a piece
-        self.at, group = order[span], begins[span]
+        self.at = order[begins[order]]
+        group = np.cumsum(common_prefixes(pieces.raw, self.at, SPAN) < SPAN)
         self.head = _starts(group)
         self.owner = owner[self.at]
         self.least = np.minimum.reduceat(pieces.doc[self.owner], self.head) if len(self.head) else np.zeros(0, np.int64)
@@ -444,19 +451,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+def _ids_hash(name: str) -> int:
+    return int.from_bytes(hashlib.md5(name.encode()).digest()[:4], "big")
+
+
 def _anchors(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for row in _rows(batches):
             raw, offsets, rest = _open(row)
-            found = block_anchors(raw, offsets, _ids(rest))
+            found, weight = block_anchors(raw, offsets, _ids(rest))
+            weight = np.minimum(weight, HOT + 1).astype(np.uint16)
+            zip_ = zstandard.ZstdCompressor(level=1).compress
             bucket = ((found >> _U(25)) * _U(buckets) >> _U(32)).astype(np.int64)
             at = _starts(bucket)
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(bucket[at], pa.int32()), "grp": [row["grp"]] * len(at),
-                "anchors": [_pack(found[a:b]) for a, b in zip(at, [*at[1:], len(found)])]},
-                schema=pa.schema([("bucket", pa.int32()), ("grp", pa.string()), ("anchors", pa.binary())]))
+                "anchors": [_pack(found[a:b]) for a, b in zip(at, [*at[1:], len(found)])],
+                "weights": [zip_(weight[a:b].tobytes()) for a, b in zip(at, [*at[1:], len(found)])]},
+                schema=pa.schema([("bucket", pa.int32()), ("grp", pa.string()), ("anchors", pa.binary()), ("weights", pa.binary())]))
 
-    return blocks.mapInArrow(run, "bucket int, grp string, anchors binary")
+    return blocks.mapInArrow(run, "bucket int, grp string, anchors binary, weights binary")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
@@ -465,12 +479,13 @@ def _shared(anchors: DataFrame) -> DataFrame:
         parts = [_unpack(x) for x in table.column("anchors").to_pylist()]
         sizes = [len(p) for p in parts]
         every = np.concatenate(parts)
+        weight = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint16) for x in table.column("weights").to_pylist()])
         order = np.argsort(every >> _U(1), kind="stable")
         h = every[order] >> _U(1)
         at = _starts(h)
         count = np.diff(at, append=len(h))
         many = np.bitwise_or.reduceat(every[order] & _U(1), at) > 0
-        state = np.where((count > 1) | many, 1 + (count > HOT), 0)
+        state = np.where((count > 1) | many, 1 + (np.add.reduceat(weight[order], at, dtype=np.int64) > HOT), 0)
         back = np.empty(len(h), np.int64)
         back[order] = np.repeat(state, count)
         grps, found, n = [], [], []
@@ -510,8 +525,6 @@ def block_pieces(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found: n
 
 
 def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    schema = pa.schema([("bucket", pa.int32()), ("grp", pa.string()), ("pieces", pa.binary()), ("ranges", pa.binary())])
-
     def run(batches):
         for row in _rows(batches):
             raw, offsets, rest = _open(row)
@@ -525,29 +538,67 @@ def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             at = _starts(bucket)
             dumps = [pieces.dump(index) for index in np.split(left, at[1:])] if len(left) else []
             yield pa.RecordBatch.from_pydict({
-                "bucket": [*bucket[at].astype(np.int32).tolist(), -1], "grp": [row["grp"]] * (len(dumps) + 1),
+                "bucket": [*bucket[at].astype(np.int32).tolist(), int(_ids_hash(row["grp"]) % buckets)], "grp": [row["grp"]] * (len(dumps) + 1),
                 "pieces": [*dumps, None], "ranges": [None] * len(dumps) + [ranges.astype(np.int64).tobytes()]},
-                schema=schema)
+                schema=PIECES)
 
     back = shared.groupBy("grp").agg(F.collect_list("found").alias("found"))
     return blocks.join(back, "grp").mapInArrow(run, "bucket int, grp string, pieces binary, ranges binary")
 
 
+PIECES = pa.schema([("bucket", pa.int32()), ("grp", pa.string()), ("pieces", pa.binary()), ("ranges", pa.binary())])
+
+
+def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Rows of ranges that are known already, and rows of pieces."""
+    known = pc.is_valid(table.column("ranges"))
+    return table.filter(known).cast(PIECES), table.filter(pc.invert(known))
+
+
+def _settle(pieces: DataFrame, salts: int) -> DataFrame:
+    """Settle copies of a piece in groups of blocks, so that few of each are left for the shard."""
+    def run(table: pa.Table) -> pa.Table:
+        ready, table = _split(table)
+        if not table.num_rows:
+            return ready
+        grps = table.column("grp").to_pylist()
+        whole = Pieces.joined([Pieces.load(x, k) for k, x in enumerate(table.column("pieces").to_pylist())])
+        done = whole.settled()
+        bucket, out = int(table.column("bucket")[0].as_py()), []
+        for k, grp in enumerate(grps):
+            mine = whole.source == k
+            left, gone = np.flatnonzero(mine & ~done), np.flatnonzero(mine & done)
+            if len(left):
+                out.append((bucket, grp, whole.dump(left), None))
+            if len(gone):
+                out.append((bucket, grp, None, merged(_ranges(whole.take(gone))).astype(np.int64).tobytes()))
+        return pa.concat_tables([ready, pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), PIECES)], schema=PIECES)])
+
+    salt = F.pmod(F.xxhash64("grp"), F.lit(salts))
+    return pieces.groupBy("bucket", salt).applyInArrow(run, "bucket int, grp string, pieces binary, ranges binary")
+
+
 def _cover(pieces: DataFrame) -> DataFrame:
     """Ranges covered across blocks, for each block."""
     def run(table: pa.Table) -> pa.Table:
+        ready, table = _split(table)
+        ready = ready.select(["grp", "ranges"])
+        if not table.num_rows:
+            return ready
         grps = table.column("grp").to_pylist()
         parts = [Pieces.load(x, k) for k, x in enumerate(table.column("pieces").to_pylist())]
+        del table
         found: dict[int, list[np.ndarray]] = {}
         for source, ranges in shard_cover(parts):
             order = np.argsort(source, kind="stable")
             at = _starts(source[order])
             for part in np.split(order, at[1:]) if len(order) else ():
                 found.setdefault(int(source[part[0]]), []).append(ranges[part])
-        return pa.table({"grp": pa.array([grps[k] for k in found], pa.string()),
-                         "ranges": pa.array([merged(np.concatenate(v)).astype(np.int64).tobytes() for v in found.values()], pa.binary())})
+        own = pa.table({"grp": pa.array([grps[k] for k in found], pa.string()),
+                        "ranges": pa.array([merged(np.concatenate(v)).astype(np.int64).tobytes() for v in found.values()], pa.binary())})
+        return pa.concat_tables([ready, own])
 
-    return pieces.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, "grp string, ranges binary")
+    return pieces.groupBy("bucket").applyInArrow(run, "grp string, ranges binary")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -561,12 +612,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     base = docs.drop("n_bytes", "spans", "kept")
     blocks = cut(pack_blocks(base))
-    total = blocks.agg(F.sum("size")).first()[0] or 0
+    total, count = blocks.agg(F.sum("size"), F.count("grp")).first()
+    total = total or 0
     shared = cut(_shared(_anchors(blocks, max(1, int(total // BUCKET_TEXT)))))
     anchors = shared.agg(F.sum("n")).first()[0] or 0
-    pieces = cut(_pieces(blocks, shared, max(1, int(anchors * 100 // SHARD))))
-    ranges = (pieces.filter("ranges IS NOT NULL").select("grp", "ranges").unionByName(_cover(pieces))
-              .groupBy("grp").agg(F.collect_list("ranges").alias("ranges")))
+    pieces = _pieces(blocks, shared, max(1, int(anchors * 100 // SHARD)))
+    while count > FAN:
+        count = -(-count // FAN)
+        pieces = _settle(pieces, count)
+    ranges = _cover(pieces).groupBy("grp").agg(F.collect_list("ranges").alias("ranges"))
     kept_columns = [c for c in base.columns if c != "text"]
     out = base.select(*kept_columns, F.lit(0).cast("long").alias("n_bytes"),
                       F.lit(None).cast("array<struct<first: long, last: long>>").alias("spans"),
