@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from utilnet.operators import graph
+from utilnet.operators import evaluate, graph, ordering
 from utilnet.operators.kernels import climb, components, fold_subtrees, running
 from utilnet.functions import rules
 
@@ -48,84 +48,71 @@ def test_components_of_a_long_chain(spark):
     assert {got[i] for i in range(60)} == {0} and got[60] == 60
 
 
-def _reference_sizes(edges):
-    """Plain procedure: find an overlong run, enlarge the cheapest chain on it, start again."""
-    children = {}
-    for e in edges.values():
-        children.setdefault(e["start"], []).append(e)
-    chains = []
-
-    def group(node, parent):
-        for e in sorted(children.get(node, []), key=lambda e: e["id"]):
-            if parent is not None and abs(parent["flow"] - e["flow"]) < 1e-8:
-                chain = parent
-            else:
-                chain = {"flow": e["flow"], "parent": parent, "len": 0.0}
-                chains.append(chain)
-            chain["len"] += e["len"]
-            e["chain"] = chain
-            group(e["end"], chain)
-
-    group(0, None)
-    for c in chains:
-        i = next(i for i, cap in enumerate(rules.CAPACITY) if c["flow"] <= cap + 1e-9)
-        while c["len"] > rules.RUN_LIMIT[i] + 1e-3:
-            i += 1
-        c["i"] = i
-    for c in reversed(chains):
-        if c["parent"] is not None:
-            c["parent"]["i"] = max(c["parent"]["i"], c["i"])
-
-    def offending(node, run, prev, path):
-        for e in sorted(children.get(node, []), key=lambda e: e["id"]):
-            same = prev == e["chain"]["i"]
-            length = (run if same else 0) + e["len"]
-            here = (path if same else []) + [e["chain"]]
-            if length > rules.RUN_LIMIT[e["chain"]["i"]] + 1e-3:
-                return here
-            bad = offending(e["end"], length, e["chain"]["i"], here)
-            if bad:
-                return bad
-        return None
-
-    while bad := offending(0, 0.0, -1, []):
-        best = None
-        for c in bad:
-            target, extra, up = c["i"] + 1, 0.0, c
-            while up is not None and up["i"] < target:
-                extra += up["len"] * (rules.PRICE_NEW[target] - rules.PRICE_NEW[up["i"]])
-                up = up["parent"]
-            if best is None or extra < best[0]:
-                best = (extra, c, target)
-        up = best[1]
-        while up is not None and up["i"] < best[2]:
-            up["i"] = best[2]
-            up = up["parent"]
-    return {e["id"]: rules.DN[e["chain"]["i"]] for e in edges.values()}
-
-
-def test_repair_equals_the_step_by_step_procedure(spark):
+def _faults(tree, size):
+    """What is wrong with a choice of row numbers per edge: flow, shrinking, runs of one size."""
+    found = []
+    run = {}
+    for v in sorted(tree):
+        e, i = tree[v], size[v]
+        above = tree.get(e["up"])
+        run[v] = e["length"] + (run[e["up"]] if above and size[e["up"]] == i else 0.0)
+        if e["flow"] > rules.CAPACITY[i] + 1e-9:
+            found.append(("flow", v))
+        if above and size[e["up"]] < i:
+            found.append(("shrinks", v))
+        if run[v] > rules.RUN_LIMIT[i] + 1e-3:
+            found.append(("run", v))
+    return found
+
+
+def test_repaired_sizes_are_sound_and_tight(spark):
+    """Every rule holds, and no chain above its own least size could be one size smaller."""
     rnd = random.Random(7)
-    nodes, edges, want = [], [], {}
+    nodes, edges, trees = [], [], {}
     for ds in range(25):
-        size = rnd.randrange(4, 16)
-        up = {v: rnd.randrange(max(0, v - 3), v) for v in range(1, size)}
-        demand = {v: float(rnd.choice([0, 0.5, 1, 2, 5])) for v in range(size)}
-        below = dict(demand)
-        for v in range(size - 1, 0, -1):
-            below[up[v]] += below[v]
-        plain = {v: {"id": v, "start": up[v], "end": v, "len": float(rnd.randrange(20, 180)), "flow": below[v]}
-                 for v in up}
-        for v in range(size):
-            nodes.append((ds, v, "tie" if v == 0 else "chamber", demand[v]))
-        for e in plain.values():
-            edges.append((ds, e["id"], e["start"], e["end"], e["len"]))
-        for k, dn in _reference_sizes(plain).items():
-            want[(ds, k)] = dn
+        n = rnd.randrange(4, 16)
+        up = {v: rnd.randrange(max(0, v - 3), v) for v in range(1, n)}
+        demand = {v: float(rnd.choice([0, 0.5, 1, 2, 5])) for v in range(n)}
+        flow = dict(demand)
+        for v in range(n - 1, 0, -1):
+            flow[up[v]] += flow[v]
+        trees[ds] = {v: {"up": up[v], "length": float(rnd.randrange(20, 180)), "flow": flow[v]} for v in up}
+        nodes += [(ds, v, "chamber" if v else "tie", demand[v]) for v in range(n)]
+        edges += [(ds, v, e["up"], v, e["length"]) for v, e in trees[ds].items()]
     n = spark.createDataFrame(nodes, "dataset_id long, node_id long, node_type string, demand double")
     e = spark.createDataFrame(edges, "dataset_id long, edge_id long, start_id long, end_id long, length double")
-    out = graph.repair_dn(graph.flow_chains(graph.flows(n, e))).collect()
-    assert {(r["dataset_id"], r["edge_id"]): r["dn"] for r in out} == want
+    got = {}
+    for r in graph.repair_dn(graph.flow_chains(graph.flows(n, e))).collect():
+        got.setdefault(r["dataset_id"], {})[r["edge_id"]] = (rules.DN.index(r["dn"]), r["chain_id"])
+    for ds, tree in trees.items():
+        size = {v: i for v, (i, _) in got[ds].items()}
+        assert not _faults(tree, size)
+        chains = {}
+        for v, (_, chain) in got[ds].items():
+            chains.setdefault(chain, []).append(v)
+        for members in chains.values():
+            lower = {**size, **{v: size[v] - 1 for v in members}}
+            assert size[members[0]] == 0 or _faults(tree, lower)
+
+
+def test_flows_and_runs_beyond_the_table(spark):
+    """30,000 t/h and 12 km fit no diameter: violations, no price, no score; a sound network keeps its own."""
+    n = spark.createDataFrame([(0, 0, "tie", 0.0), (0, 1, "oks", 30000.0), (1, 0, "tie", 0.0), (1, 1, "oks", 1.0),
+                               (2, 0, "tie", 0.0), (2, 1, "oks", 1.0)],
+                              "dataset_id long, node_id long, node_type string, demand double")
+    e = spark.createDataFrame([(0, 1, 0, 1, 50.0), (1, 1, 0, 1, 12000.0), (2, 1, 0, 1, 50.0)],
+                              "dataset_id long, edge_id long, start_id long, end_id long, length double")
+    sized = graph.repair_dn(graph.flow_chains(graph.flows(n, e)))
+    assert {(r["dataset_id"], r["object_id"], r["code"]) for r in graph.size_violations(sized).collect()} == {
+        (0, 1, "CAPACITY_EXCEEDED"), (1, 1, "RUN_TOO_LONG")}
+    wanted = n.filter("demand > 0").selectExpr("dataset_id", "node_id AS demand_id", "demand AS flow")
+    tied = n.selectExpr("*", "'heat_network' AS existing_type", "IF(demand > 0, node_id, NULL) AS entry_id")
+    priced = evaluate.price_networks(tied, e, wanted)
+    got = {r["dataset_id"]: (r["pipe_cost"], r["chamber_cost"], r["score"]) for r in priced.collect()}
+    assert got[0] == (None, None, None) and got[1] == (None, None, None)
+    assert None not in got[2]
+    ranked = ordering.rank_variants(priced.selectExpr("0 AS g", "dataset_id", "score"), ["g"], ["score", "dataset_id"])
+    assert {r["dataset_id"]: r["rank"] for r in ranked.collect()} == {0: None, 1: None, 2: 1}
 
 
 def test_long_branches_get_larger_pipes(spark):

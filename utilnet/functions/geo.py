@@ -80,20 +80,23 @@ TURN_90, TURN_45, TURN_135, NEAR_EXTRA = 25.0, 50.0, 75.0, 10.0
 TURN_TOLERANCE = 1e-5
 
 
-def turn_penalty(angle: Column) -> Column:
-    near = math.radians(4)
+TURN_NEAR = math.radians(4)
+EIGHTH = math.pi / 4
+
 
-    def about(target, tolerance):
-        return F.abs(angle - target) < tolerance
+def turn_penalty(angle: Column) -> Column:
+    """Metres for a turn: by its nearest eighth of a circle, and by how far it misses that.
 
-    return (F.when(angle < TURN_TOLERANCE, 0.0)
-            .when(about(math.pi / 2, TURN_TOLERANCE), TURN_90)
-            .when(about(math.pi / 4, TURN_TOLERANCE), TURN_45)
-            .when(about(3 * math.pi / 4, TURN_TOLERANCE), TURN_135)
-            .when((angle < near) | about(math.pi / 2, near), TURN_90 + NEAR_EXTRA)
-            .when(about(math.pi / 4, near), TURN_45 + NEAR_EXTRA)
-            .when(about(3 * math.pi / 4, near), TURN_135 + NEAR_EXTRA)
-            .otherwise(2 * TURN_45))
+    A clean eighth costs its own metres, going straight on nothing; a near miss costs some more,
+    and one of going straight on as much as that of a right angle. Everything else, turning back
+    included, costs two clean turns of 45 degrees.
+    """
+    eighths = F.rint(angle / EIGHTH)
+    miss = F.abs(angle - eighths * EIGHTH)
+    metres = F.get(F.array(*[F.lit(m) for m in (TURN_90, TURN_45, TURN_90, TURN_135)]), eighths.cast("int"))
+    clean = F.when(eighths == 0, 0.0).otherwise(metres)
+    judged = F.when(miss < TURN_TOLERANCE, clean).when(miss < TURN_NEAR, metres + NEAR_EXTRA)
+    return F.when(angle.isNotNull(), F.coalesce(judged, F.lit(2 * TURN_45)))
 
 
 def turn_kind(angle: Column) -> Column:
@@ -264,13 +267,17 @@ def is_straight(path: Column) -> Column:
     return let(path, _straight)
 
 
+def offset_across(heading: Column, x: Column, y: Column) -> Column:
+    """How far a step (x, y) leads away from the line of a heading."""
+    return F.abs(x * F.sin(heading) - y * F.cos(heading))
+
+
 def _straight(path: Column) -> Column:
-    a, b = F.get(path, F.lit(0)), F.element_at(path, -1)
-    chord = distance(a["x"], a["y"], b["x"], b["y"])
-    flat = F.forall(path, lambda c: F.abs(
-        (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-        <= chord * 1e-5)
-    return F.when(F.size(path) < 3, True).otherwise((chord >= 1e-8) & flat)
+    start, end = F.element_at(path, 1), F.element_at(path, -1)
+    course = bearing(start["x"], start["y"], end["x"], end["y"])
+    strays = F.array_max(F.transform(path, lambda p: offset_across(course, p["x"] - start["x"], p["y"] - start["y"])))
+    spread = distance(start["x"], start["y"], end["x"], end["y"])
+    return (F.size(path) <= 2) | ((spread >= 1e-8) & (strays <= 1e-5))
 
 
 def heading_at(path: Column, measure: Column) -> Column:

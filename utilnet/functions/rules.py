@@ -48,18 +48,11 @@ BASE_DEPTH = 3.0     # ordinary laying depth, m
 MIN_DEPTH = 0.7
 MAX_SLOPE = 0.10
 TIE_COST = 5e6
+CLEARANCES = (5.0, 7.0, 9.0)  # from buildings, by diameter, m
 MISSING_BASE = 100e6
 MISSING_PER_TPH = 500000.0
 
 
-def dn_table(spark: SparkSession) -> DataFrame:
-    """The 18 diameters as rows (always small enough to broadcast)."""
-    rows = list(zip(range(len(DN)), DN, CAPACITY, RUN_LIMIT, PRICE_NEW, PRICE_RECON, HEIGHT))
-    return spark.createDataFrame(
-        rows, "dn_idx int, dn int, capacity double, run_limit double, price_new double, "
-              "price_recon double, height double")
-
-
 def restriction_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RESTRICTIONS, RESTRICTION_COLUMNS)
 
@@ -68,20 +61,27 @@ def _pick(values: list, idx: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), idx)
 
 
+#: The row of a pipe that no diameter of the table can be. It takes part in maxima like any
+#: other row, and has no diameter, capacity or price.
+OVERSIZE = len(DN)
+
+
+def _first_row(value: Column, limits: list[float], slack: float) -> Column:
+    """Row of the first limit that covers the value; NULL only for NULL."""
+    out = F.when(value.isNull(), F.lit(None).cast("int"))
+    for i, limit in enumerate(limits):
+        out = out.when(value <= limit + slack, i)
+    return out.otherwise(OVERSIZE)
+
+
 def flow_index(flow: Column) -> Column:
-    """0-based table row of the smallest diameter that carries the flow; NULL above the largest."""
-    out = F.when(flow <= CAPACITY[0] + 1e-9, 0)
-    for i in range(1, len(CAPACITY)):
-        out = out.when(flow <= CAPACITY[i] + 1e-9, i)
-    return out
+    """0-based table row of the smallest diameter that carries the flow; OVERSIZE above the largest."""
+    return _first_row(flow, CAPACITY, 1e-9)
 
 
 def run_index(length: Column) -> Column:
-    """0-based row of the smallest diameter that may run this far; NULL beyond the largest."""
-    out = F.when(length <= RUN_LIMIT[0] + 1e-3, 0)
-    for i in range(1, len(RUN_LIMIT)):
-        out = out.when(length <= RUN_LIMIT[i] + 1e-3, i)
-    return out
+    """0-based row of the smallest diameter that may run this far; OVERSIZE beyond the largest."""
+    return _first_row(length, RUN_LIMIT, 1e-3)
 
 
 def dn_index(dn: Column) -> Column:
@@ -125,7 +125,8 @@ def pipe_width(dn: Column) -> Column:
 
 
 def building_clearance(dn: Column) -> Column:
-    return F.when(dn < 500, 5.0).when(dn <= 800, 7.0).otherwise(9.0)
+    small, middle, large = CLEARANCES
+    return F.when(dn < 500, small).when(dn <= 800, middle).otherwise(large)
 
 
 def chamber_price(dn: Column) -> Column:
@@ -156,11 +157,3 @@ def relative_rating(value: Column, best: Column) -> Column:
     finite = ~F.isnan(value) & (F.abs(value) < float("inf")) & (F.abs(best) < float("inf"))
     ok = finite & (best >= 0) & (value >= best)
     return F.when(ok, F.when(value == 0, 100.0).otherwise(100 * (best / value)))
-
-
-def rules_sql() -> dict[str, str]:
-    """The table columns as SQL list literals, for people who write queries by hand."""
-    return {
-        "DN": str(DN), "CAPACITY": str(CAPACITY), "RUN_LIMIT": str(RUN_LIMIT),
-        "PRICE_NEW": str(PRICE_NEW), "PRICE_RECON": str(PRICE_RECON), "HEIGHT": str(HEIGHT),
-    }

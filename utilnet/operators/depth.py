@@ -106,8 +106,7 @@ def stations(nodes: DataFrame, edges: DataFrame, found: DataFrame, min_depth: fl
     return cut(bands), cut(links), placed
 
 
-def solve_depths(bands: DataFrame, links: DataFrame, keys: Sequence[str] = KEYS,
-                 max_rounds: int = 1000) -> DataFrame:
+def solve_depths(bands: DataFrame, links: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Least feasible depth per group, then the greatest one up to 3 m in the band it fell into.
 
     Both are monotone fixpoints: lower bounds spread along the links minus what a slope of 0.10
@@ -117,7 +116,7 @@ def solve_depths(bands: DataFrame, links: DataFrame, keys: Sequence[str] = KEYS,
     keys = list(keys)
     state = cut(bands.groupBy(*keys, "group").agg(F.min("low").alias("d"))
                 .withColumn("code", F.lit(None).cast("string")))
-    for _ in range(max_rounds):
+    while True:
         need = (links.join(state.filter("code IS NULL").select(*keys, F.col("group").alias("a"), "d"), keys + ["a"])
                 .groupBy(*keys, F.col("b").alias("group")).agg(F.max(F.col("d") - F.col("limit")).alias("need")))
         raised = (state.filter("code IS NULL").join(need, keys + ["group"]).filter("need > d + 1e-8")
@@ -138,7 +137,7 @@ def solve_depths(bands: DataFrame, links: DataFrame, keys: Sequence[str] = KEYS,
     upper = cut(own.withColumn("d", F.when(F.col("low_d") < rules.BASE_DEPTH - EPS,
                                            F.least(F.lit(rules.BASE_DEPTH), F.col("top")))
                                .otherwise(F.col("low_d"))).drop("top"))
-    for _ in range(max_rounds):
+    while True:
         cap = (links.join(upper.select(*keys, F.col("group").alias("a"), F.col("d").alias("_d")), keys + ["a"])
                .groupBy(*keys, F.col("b").alias("group")).agg(F.min(F.col("_d") + F.col("limit")).alias("cap")))
         moved = cut(upper.join(cap, keys + ["group"]).filter("cap < d - 1e-8")

@@ -23,13 +23,22 @@ def _depth_factor(sections: DataFrame):
                       F.lit(1.0))
 
 
+def _whole_sum(value):
+    """The sum, or NULL if any value is NULL."""
+    return F.when(F.bool_and(value.isNotNull()), F.sum(value))
+
+
 def pipe_cost(sections: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Construction cost, weighted and special length per network."""
+    """Construction cost, weighted and special length per network.
+
+    A network with a pipe that has no price has no cost.
+    """
     length = F.col("s_to") - F.col("s_from")
     weight = length * F.col("factor") * _depth_factor(sections)
     sized = edges.select(*keys, "edge_id", "dn")
+    cost = weight * rules.price_new(rules.dn_index(F.col("dn")))
     return sections.join(sized, [*keys, "edge_id"]).groupBy(*keys).agg(
-        F.sum(weight * rules.price_new(rules.dn_index(F.col("dn")))).alias("pipe_cost"),
+        _whole_sum(cost).alias("pipe_cost"),
         F.sum(length).alias("new_length"), F.sum(weight).alias("weighted_length"),
         F.sum(F.when(F.col("factor") > 1 + 1e-9, length).otherwise(0.0)).alias("special_length"))
 
@@ -37,7 +46,8 @@ def pipe_cost(sections: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS)
 def incident_dn(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     ends = edges.select(*keys, F.col("start_id").alias("node_id"), "dn").unionByName(
         edges.select(*keys, F.col("end_id").alias("node_id"), "dn"))
-    return ends.groupBy(*keys, "node_id").agg(F.max("dn").alias("dn"))
+    return ends.groupBy(*keys, "node_id").agg(
+        F.max("dn").alias("dn"), F.bool_or(F.col("dn").isNull()).alias("unsized"))
 
 
 def new_chambers(nodes: DataFrame, edges: DataFrame, pieces: DataFrame | None = None,
@@ -62,9 +72,10 @@ def new_chambers(nodes: DataFrame, edges: DataFrame, pieces: DataFrame | None =
         touching = pieces.groupBy(*keys, "node_id").agg(F.max("required_dn").alias("_required"))
         out = out.join(touching, keys + ["node_id"], "left")
         parts.append(F.col("_required"))
-    out = out.withColumn("chamber_dn", F.greatest(*parts))
+    # next to a pipe without a diameter a chamber has none either
+    out = out.withColumn("chamber_dn", F.when(~F.coalesce("unsized", F.lit(False)), F.greatest(*parts)))
     return out.select(*keys, "node_id", "chamber_dn",
-                      rules.chamber_price(F.col("chamber_dn")).alias("cost"))
+                      F.when(F.col("chamber_dn").isNotNull(), rules.chamber_price(F.col("chamber_dn"))).alias("cost"))
 
 
 def tie_cost(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -187,7 +198,7 @@ def network_summary(nodes: DataFrame, edges: DataFrame, sections: DataFrame, dem
     """
     keys = list(keys)
     chambers = new_chambers(nodes, edges, keys=keys).groupBy(*keys).agg(
-        F.sum("cost").alias("chamber_cost"))
+        F.sum("cost").alias("chamber_cost"), F.count(F.when(F.col("cost").isNull(), 1)).alias("_unpriced"))
     out = (pipe_cost(sections, edges, keys).join(chambers, keys, "left")
            .join(tie_cost(nodes, edges, keys), keys, "left")
            .join(completion(demands, nodes, keys), keys, "left"))
@@ -204,7 +215,8 @@ def network_summary(nodes: DataFrame, edges: DataFrame, sections: DataFrame, dem
             zero += columns
         else:
             out = out.withColumns({c: F.lit(0.0) for c in columns})
-    out = out.fillna(0.0, [c for c in zero if c in out.columns])
+    out = out.fillna(0.0, [c for c in zero if c in out.columns]).withColumn(
+        "chamber_cost", F.when(F.coalesce("_unpriced", F.lit(0)) == 0, F.col("chamber_cost"))).drop("_unpriced")
     construction = F.col("pipe_cost") + F.col("chamber_cost") + F.col("tie_cost")
     calculated = construction + F.col("missing_penalty")
     engineering = (F.col("pipe_cost") + F.col("chamber_cost") + F.col("engineering_tie_cost")

@@ -150,8 +150,8 @@ def cluster_conflicts(clustered: DataFrame, ends: DataFrame, keys: Sequence[str]
     return shared.unionByName(loops)
 
 
-def infer_upstream(lines: DataFrame, points: DataFrame, keys: Sequence[str] = KEYS,
-                   max_rounds: int = 10000) -> tuple[DataFrame, DataFrame]:
+def infer_upstream(lines: DataFrame, points: DataFrame, keys: Sequence[str] = KEYS
+                   ) -> tuple[DataFrame, DataFrame]:
     """Orient the network away from its source by breadth-first rounds over vertices.
 
     ``lines``: keys, object_id, dn, va, vb (vertices of the two ends). ``points``: keys,
@@ -166,9 +166,11 @@ def infer_upstream(lines: DataFrame, points: DataFrame, keys: Sequence[str] = KE
     front = cut(points.filter("object_type = 'source'").select(
         *keys, F.col("vertex_id").alias("at"), F.lit(None).cast(
             lines.schema["object_id"].dataType).alias("parent_pipe")))
-    seen, rings = front.select(*keys, "at"), None
+    # A step from one distance leads to the same distance or to its neighbours, so only the last
+    # two frontiers can have been reached before.
+    last, seen = front, front.select(*keys, "at")
     vertex_parent = front
-    for _ in range(max_rounds):
+    while True:
         # The pipe that led here is not walked back.
         steps = front.join(both, keys + ["at"]).filter(
             ~F.col("object_id").eqNullSafe(F.col("parent_pipe")))
@@ -179,7 +181,7 @@ def infer_upstream(lines: DataFrame, points: DataFrame, keys: Sequence[str] = KE
             break
         front = fresh.select(*keys, "at", "parent_pipe")
         vertex_parent = vertex_parent.unionByName(front)
-        seen = cut(seen.unionByName(front.select(*keys, "at")))
+        last, seen = front, last.select(*keys, "at").unionByName(front.select(*keys, "at"))
     parent = cut(vertex_parent)
     tree = parent.select(*keys, F.col("parent_pipe").alias("object_id")).filter("object_id IS NOT NULL")
     in_reach = both.join(parent.select(*keys, "at"), keys + ["at"], "left_semi").select(
@@ -239,7 +241,8 @@ def reconstruction(objects: DataFrame, ties: DataFrame, keys: Sequence[str] = KE
     the pipe's first vertex is the end nearer to its upstream object). ``ties``: keys, root_id,
     existing_id, at (measure on the pipe; NULL on a chamber), flow. A pipe carries in full what is
     tied in below it, which is a subtree total; what is tied to the pipe itself covers the stretch
-    from the tie to the upstream end. Prefix sums over the stretch ends give the added flow.
+    from the tie to the upstream end. A piece that no diameter can carry has a code and no size or
+    cost. Prefix sums over the stretch ends give the added flow.
     """
     keys = list(keys)
     tied = ties.groupBy(*keys, F.col("existing_id").alias("object_id")).agg(
@@ -272,10 +275,11 @@ def reconstruction(objects: DataFrame, ties: DataFrame, keys: Sequence[str] = KE
             .join(pipes.select(*keys, "object_id", "dn", F.col("flow").alias("old_flow")),
                   keys + ["object_id"])
             .withColumn("required_dn", rules.diameter(F.col("old_flow") + F.col("added")))
-            .filter("required_dn > dn")
+            .filter("required_dn > dn OR required_dn IS NULL")
             .select(*keys, "object_id", "s_from", F.col("at").alias("s_to"), "added", "required_dn",
                     ((F.col("at") - F.col("s_from"))
-                     * rules.price_recon(rules.dn_index(F.col("required_dn")))).alias("cost")))
+                     * rules.price_recon(rules.dn_index(F.col("required_dn")))).alias("cost"),
+                    F.when(F.col("required_dn").isNull(), "CAPACITY_EXCEEDED").alias("code")))
 
 
 def chamber_reconstruction(chambers: DataFrame, branch_dn: DataFrame, touching: DataFrame,

@@ -73,13 +73,6 @@ def root_of(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> D
                  keys, "node_id", "up").withColumnRenamed("top", "root_id")
 
 
-def set_fingerprint(values: DataFrame, keys: Sequence[str], column: str) -> list:
-    """Order-free summary of a set of ids: size, smallest, largest and a sum of digests."""
-    digest = F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 8), 16, 10).cast("long")
-    return [F.count(F.lit(1)).alias("n"), F.min(column).alias("first_id"),
-            F.max(column).alias("last_id"), F.sum(digest).alias("digest")]
-
-
 def terminals_below(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per edge the set of served terminals as size, range and digest (one row per edge)."""
     keys = list(keys)
@@ -248,6 +241,14 @@ def length_checks(repaired: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         (F.col("dn_idx") > rules.flow_index(F.col("flow"))).alias("raised_for_length"))
 
 
+def size_violations(repaired: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Edges without a diameter: more flow than the largest carries, or no size may run so far."""
+    over = F.col("flow") > rules.CAPACITY[-1] + 1e-9
+    return repaired.filter("dn IS NULL").select(
+        *keys, F.col("edge_id").alias("object_id"),
+        F.when(over, "CAPACITY_EXCEEDED").otherwise("RUN_TOO_LONG").alias("code"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, existing: DataFrame | None = None,
             keys: Sequence[str] = KEYS, limit: int = 4) -> DataFrame:
     """Pipes meeting at each node plus what the existing network already has there.

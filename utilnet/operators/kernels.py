@@ -89,7 +89,6 @@ def climb(
     up: str,
     sums: Sequence[str] = (),
     mins: Sequence[str] = (),
-    max_rounds: int = 64,
 ) -> DataFrame:
     """Pointer doubling to the top of each chain.
 
@@ -117,9 +116,7 @@ def climb(
          .when(F.col("_is_top").isNull(), "dangling").otherwise("open").alias("_state"))
     state = cut(state)
     remaining = state.filter("_state = 'open'").count()
-    for _ in range(max_rounds):
-        if remaining == 0:
-            break
+    while remaining:
         ahead = state.select(*keys, F.col("_v").alias("_u"), F.col("_u").alias("_u2"),
                              F.col("_h").alias("_h2"), F.col("_state").alias("_state2"),
                              *[F.col(f"_s_{s}").alias(f"_s2_{s}") for s in sums],
@@ -147,7 +144,6 @@ def fold_subtrees(
     up: str,
     sums: Sequence[str] = (),
     maxs: Sequence[str] = (),
-    max_rounds: int = 64,
 ) -> DataFrame:
     """Totals and maxima over each node and everything below it, in log2(depth) rounds.
 
@@ -160,9 +156,7 @@ def fold_subtrees(
     vals = sums + maxs
     state = cut(df.select(*keys, F.col(node).alias("_v"), F.col(up).alias("_u"), *vals))
     remaining = state.filter("_u IS NOT NULL").count()
-    for _ in range(max_rounds):
-        if remaining == 0:
-            break
+    while remaining:
         gains = (state.filter("_u IS NOT NULL").groupBy(*keys, F.col("_u").alias("_v"))
                  .agg(*[F.sum(s).alias(f"_g_{s}") for s in sums],
                       *[F.max(m).alias(f"_g_{m}") for m in maxs]))
@@ -188,7 +182,6 @@ def components(
     pairs: DataFrame,
     keys: Sequence[str],
     node: str = "node_id",
-    max_rounds: int = 64,
 ) -> DataFrame:
     """Label every node with the smallest node id it is linked to, directly or not.
 
@@ -199,7 +192,7 @@ def components(
     both = cut(pairs.select(*keys, "a", "b").unionByName(
         pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
     state = cut(nodes.select(*keys, F.col(node).alias("_v"), F.col(node).alias("_l")))
-    for _ in range(max_rounds):
+    while True:
         labels = state.select(*keys, F.col("_v").alias("b"), F.col("_l").alias("_lb"))
         offers = (both.join(labels, keys + ["b"]).groupBy(*keys, F.col("a").alias("_v"))
                   .agg(F.min("_lb").alias("_o")))

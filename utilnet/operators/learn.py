@@ -14,19 +14,7 @@ from utilnet.operators.kernels import running
 from utilnet.session import cut
 
 # Order of the candidate and context features.
-CANDIDATE_FEATURES = [
-    "distance_100m", "axis_manhattan_100m", "axis_misalignment", "dn_300", "flow_capacity_ratio",
-    "existing_target", "edge_target", "lower_score_per_entry", "connected_20", "roots_8",
-    "wall_distance_20m", "wall_length_50m", "open_bearings_ratio", "wall_direct_visible",
-    "owner_vertices_50", "hard_intersections_10", "hard_length_100m", "bypass_extent_100m",
-    "nearby_hard_20", "occupied_crossings_5", "soft_intersections_10", "length_limit_ratio",
-]
-CONTEXT_FEATURES = [
-    "connected_fraction", "demand_flow_fraction", "remaining_target_min_100m",
-    "remaining_target_mean_300m", "remaining_near_target_fraction",
-    "remaining_near_corridor_fraction", "remaining_flow_100tph", "current_score_per_demand",
-    "demand_neighbour_min_100m", "required_20",
-]
+
 
 
 def reward(score: Column, connected: Column, required: Column) -> Column:

@@ -12,17 +12,34 @@ from utilnet.functions.rules import relative_rating
 from utilnet.operators.kernels import running
 
 
+GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+SALTS = 32
+
+
 def rank_variants(networks: DataFrame, keys: Sequence[str], order: Sequence[str],
                   score: str = "score") -> DataFrame:
-    """Rank and rating of every network of a dataset; the order ends with a unique column."""
-    best = networks.groupBy(*keys).agg(F.min(score).alias("_best"))
-    return (running(networks, keys, order, row_number="rank").join(best, list(keys))
-            .withColumn("rating", relative_rating(F.col(score), F.col("_best"))).drop("_best"))
+    """Rank and rating of every network of a dataset; the order ends with a unique column.
+
+    Networks without a score have neither.
+    """
+    scored = networks.filter(F.col(score).isNotNull())
+    best = scored.groupBy(*keys).agg(F.min(score).alias("_best"))
+    ranked = (running(scored, keys, order, row_number="rank").join(best, list(keys))
+              .withColumn("rating", relative_rating(F.col(score), F.col("_best"))).drop("_best"))
+    return ranked.unionByName(networks.filter(F.col(score).isNull()), allowMissingColumns=True)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,
           rank: str = "rank") -> DataFrame:
-    """First k rows per key. Spark cuts each input partition to k per key before the shuffle."""
+    """First k rows per key.
+
+    Spark cuts each input partition to k rows per key before the shuffle up to k = 1000; for more,
+    rows are cut to k per key and salt first, so that no task gets a whole key.
+    """
+    if k > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        df = df.withColumn("_salt", salt).withColumn("_n", F.row_number().over(
+            W.partitionBy(*keys, "_salt").orderBy(*order))).filter(F.col("_n") <= k).drop("_salt", "_n")
     return df.withColumn(rank, F.row_number().over(
         W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
@@ -49,7 +66,7 @@ def best_root_outcomes(outcomes: DataFrame, keys: Sequence[str], root: str) -> D
 
 
 def replay_buffer(rows: DataFrame, keys: Sequence[str], key: str, value: str,
-                  order: Sequence[str], limit: int = 1024) -> DataFrame:
+                  order: Sequence[str], limit: int) -> DataFrame:
     """Newest ``limit`` keys by first sight, each with the last value it was given."""
     position = F.struct(*order)
     latest = rows.groupBy(*keys, key).agg(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utilnet.functions import geo, rules, text
 from utilnet.operators import spatial
+from utilnet.operators.ordering import top_k
 from utilnet.session import cut
 from utilnet.sources.features import ring_segments
 
@@ -91,8 +91,8 @@ def demands(features: DataFrame) -> DataFrame:
                          .otherwise(F.col("id")).alias("building_id"), (~ok).alias("invalid"))
 
 
-def diagnose(features: DataFrame, limit: int = 10000) -> DataFrame:
-    """Findings per dataset: object_id, code, severity. Past the limit one row says so."""
+def diagnose(features: DataFrame) -> DataFrame:
+    """All findings per dataset: object_id, code, severity. A bad geometry also makes its feature invalid."""
     kind = F.col("object_type")
     pipe = kind.isin("heat_network", "heat_chamber")
 
@@ -111,7 +111,7 @@ def diagnose(features: DataFrame, limit: int = 10000) -> DataFrame:
     bad_shape = geometry_violations(features).select(
         "dataset_id", F.col("object_id").alias("id")).distinct()
     found = [
-        rows(broken, "INVALID_FEATURE", "error"), rows(bad_shape, "INVALID_GEOMETRY", "error"),
+        rows(broken.union(bad_shape).distinct(), "INVALID_FEATURE", "error"), rows(bad_shape, "INVALID_GEOMETRY", "error"),
         rows(features.filter(pipe & blank), "MISSING_UPSTREAM", "info"),
         rows(features.filter(pipe & ~blank).join(ids, ["dataset_id", "upstream_object_id"], "left_anti"),
              "UNKNOWN_UPSTREAM", "info"),
@@ -134,9 +134,13 @@ def diagnose(features: DataFrame, limit: int = 10000) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    ranked = out.withColumn("_n", F.row_number().over(
-        W.partitionBy("dataset_id").orderBy("code", "object_id"))).filter(F.col("_n") <= limit + 1)
-    over = F.col("_n") > limit
+    return out
+
+
+def first_findings(findings: DataFrame, limit: int) -> DataFrame:
+    """For display: the first findings of each dataset; past the limit one row says so."""
+    ranked = top_k(findings, ["dataset_id"], ["code", "object_id"], limit + 1)
+    over = F.col("rank") > limit
     return ranked.select(
         "dataset_id", F.when(over, "dataset").otherwise(F.col("object_id")).alias("object_id"),
         F.when(over, "DIAGNOSTICS_TRUNCATED").otherwise(F.col("code")).alias("code"),

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utilnet.functions import geo
-from utilnet.session import cut, spread, tune
+from utilnet.session import cut
 
 KEYS = ("dataset_id",)
 LEVELS, STEP = 4, 8          # cell, 8, 64 and 512 cells wide; the last takes all larger boxes
@@ -49,18 +49,17 @@ def bbox_join(a: DataFrame, b: DataFrame, r: float = 0.0, cell: float = 64.0,
     """Pairs of rows whose boxes come within r of each other on both axes, each pair once.
 
     Result: keys, the columns of a as ``a_*`` and those of b as ``b_*``. A box lives on the grid level whose cells are at
-    least its own size, so it covers at most four cells whatever its size; a pair meets on the
+    least its own size, so it covers at most four cells unless it is wider than the coarsest ones; a pair meets on the
     coarser of its two levels, in the one shared cell with the lowest coordinates.
     """
     keys = list(keys)
-    tune(a.sparkSession)
 
     def side(df: DataFrame, name: str, grow: float) -> DataFrame:
         return df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys],
                          *[(F.col(c) + (grow if c.startswith("max") else -grow))
-                           .alias(f"_{name}{c}") for c in BOX])
+                           .alias(f"_{name}{c}") for c in BOX]).repartition(*keys, *[f"_{name}{c}" for c in BOX])
 
-    left, right = spread(side(a, "a", r)), spread(side(b, "b", 0.0))
+    left, right = side(a, "a", r), side(b, "b", 0.0)
     on = [*keys, "_level", "_cx", "_cy"]
     coarse_b = _cells(left, "a", cell, False, False).join(_cells(right, "b", cell, True, False), on)
     coarse_a = _cells(left, "a", cell, True, False).join(_cells(right, "b", cell, False, True), on)

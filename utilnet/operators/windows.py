@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from utilnet.operators import spatial
 from utilnet.operators.ordering import top_k
 
-MAX_OBJECTS, MAX_ESTIMATE = 20000, 128 * 1024 * 1024
-
 
 def in_window(features: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Boxes that meet the window, touching included; the four comparisons reach the scan."""
@@ -20,8 +18,8 @@ def in_window(features: DataFrame, x0: float, y0: float, x1: float, y1: float) -
                            & (F.col("minx") <= x1) & (F.col("miny") <= y1))
 
 
-def window_density(features: DataFrame, windows: DataFrame, keys: Sequence[str] = ("dataset_id",),
-                   max_objects: int = MAX_OBJECTS, max_estimate: int = MAX_ESTIMATE) -> DataFrame:
+def window_density(features: DataFrame, windows: DataFrame, max_objects: int, max_estimate: int,
+                   keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
     """Objects and estimated bytes per window (window_id and box), and whether that is too much.
 
     ``features`` carries geometry_bytes and property_bytes.
@@ -35,8 +33,7 @@ def window_density(features: DataFrame, windows: DataFrame, keys: Sequence[str]
         "too_dense", (F.col("objects") > max_objects) | (F.col("estimate") > max_estimate))
 
 
-def page_by_type(features: DataFrame, object_type: str, after: str | None = None,
-                 size: int = 1000) -> DataFrame:
+def page_by_type(features: DataFrame, object_type: str, size: int, after: str | None = None) -> DataFrame:
     """Next page of one type in id order: a keyset page, so no earlier rows are read again."""
     rows = features.filter(F.col("object_type") == object_type)
     if after is not None:
@@ -44,7 +41,7 @@ def page_by_type(features: DataFrame, object_type: str, after: str | None = None
     return rows.orderBy("id").limit(size)
 
 
-def viewport(features: DataFrame, keys: Sequence[str] = ("dataset_id",), size: int = 5000) -> DataFrame:
+def viewport(features: DataFrame, size: int, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
     """First objects of each dataset by drawing priority and id, and whether some were left out."""
     kind = F.col("object_type")
     priority = (F.when(kind == "oks_future", 0).when(kind == "oks_connection_point", 1)
@@ -54,8 +51,7 @@ def viewport(features: DataFrame, keys: Sequence[str] = ("dataset_id",), size: i
     return kept.filter(F.col("rank") <= size).join(more, list(keys))
 
 
-def variant_features(exported: DataFrame, keys: Sequence[str] = ("dataset_id", "variant_id"),
-                     size: int = 10000) -> DataFrame:
+def variant_features(exported: DataFrame, size: int, keys: Sequence[str] = ("dataset_id", "variant_id")) -> DataFrame:
     """Drawable features of each variant, up to the page size, and whether some were left out."""
     kept = top_k(exported.filter("has_geometry"), keys, ["id"], size + 1)
     more = kept.groupBy(*keys).agg((F.max("rank") > size).alias("truncated"))

@@ -8,7 +8,7 @@ from utilnet.functions import geo, rules
 from utilnet.operators import evaluate, graph, ordering
 from utilnet.plans import bridge
 from utilnet.plans.bridge import sql
-from utilnet.plans.graph_queries import CHAINS
+from utilnet.plans.graph_queries import CHAINS, LARGE, LARGE_CHAINS, large_nodes
 from utilnet.plans.passage_queries import KINK, SECT, fx_passages, kinked
 from utilnet.plans.registry import query
 
@@ -103,6 +103,18 @@ def flagship(spark, d):
         F.col("rank").cast("long").alias("rank"), F.round("rating", 4).alias("rating"))
 
 
+@query("unpriced_networks", sql("""SELECT dataset_id, NOT bool_or(chain_idx >= 18) AS priced, NOT bool_or(chain_idx >= 18) AS ranked
+  FROM cidx GROUP BY 1""", "fx_flows", extra=LARGE_CHAINS))
+def unpriced_networks(spark, d):
+    """A network with a pipe that no diameter can be has no cost, no score and no rank."""
+    wanted = demands(spark, d).withColumn("flow", F.col("flow") * LARGE)
+    priced = evaluate.price_networks(large_nodes(net(spark, d)), bridge.edges(spark, d), wanted)
+    ranked = ordering.rank_variants(priced.drop("score").withColumnRenamed("score_raw", "score").withColumn(
+        "district", bridge.div(F.col("dataset_id"), 4)), ["district"], ["score", "dataset_id"])
+    return ranked.select("dataset_id", (F.col("calculated_cost").isNotNull() & F.col("score").isNotNull()).alias("priced"),
+                         F.col("rank").isNotNull().alias("ranked"))
+
+
 @query("repaired_diameters", sql("""SELECT dataset_id, edge_id, dn::BIGINT AS dn, i > dn_idx AS raised_for_length
   FROM sized""", "fx_flows", extra=DP))
 def repaired_diameters(spark, d):

@@ -103,7 +103,7 @@ def demand_view(spark, d):
 @query("diagnostics", f"""SELECT dataset_id, code, count(*) AS n FROM (
   SELECT c_custkey // 40 AS dataset_id, 'INVALID_FEATURE' AS code FROM customer WHERE {_REJECT} IS NULL
     AND c_custkey % 40 <> 0 AND (c_custkey % 7 = 3 OR c_custkey % 20 = 0) UNION ALL
-  SELECT p_partkey // 40, 'INVALID_FEATURE' FROM part WHERE p_partkey % 7 = 6 UNION ALL
+  SELECT p_partkey // 40, 'INVALID_FEATURE' FROM part WHERE p_partkey % 7 = 6 OR p_partkey % 13 = 5 OR p_partkey % 11 = 3 UNION ALL
   SELECT p_partkey // 40, 'UNSPECIFIED_RESTRICTION' FROM part WHERE p_partkey % 7 = 6 UNION ALL
   SELECT p_partkey // 40, 'INVALID_GEOMETRY' FROM part WHERE p_partkey % 13 = 5 OR p_partkey % 11 = 3 UNION ALL
   SELECT DISTINCT c_custkey // 40, 'INVALID_DEMAND' FROM customer WHERE {_REJECT} IS NULL

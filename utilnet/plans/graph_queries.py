@@ -152,6 +152,33 @@ RUNS = {
 }
 
 
+# Demands so large that part of the pipes need more than the largest diameter.
+LARGE = 400.0
+LARGE_CHAINS = {"big": f"""SELECT * EXCLUDE (flow, dn_idx), flow * {LARGE} AS flow,
+  len(list_filter({rules.CAPACITY}, lambda c: flow * {LARGE} > c + 1e-9)) AS dn_idx FROM fx_flows""",
+                **{k: v.replace("fx_flows", "big") for k, v in CHAINS.items()}}
+
+
+def large_nodes(nodes):
+    return nodes.withColumn("demand", F.col("demand") * LARGE)
+
+
+@query("oversized_chains", sql(f"""SELECT dataset_id, chain_id, ({rules.DN})[chain_idx + 1]::BIGINT AS dn,
+  chain_idx >= {len(rules.DN)} AS oversized FROM cidx""", "fx_flows", extra=LARGE_CHAINS))
+def oversized_chains(spark, d):
+    flowed = graph.flows(large_nodes(bridge.nodes(spark, d)), bridge.edges(spark, d))
+    return graph.chain_dn(graph.flow_chains(flowed)).select(
+        "dataset_id", "chain_id", rules.dn_of(F.col("chain_idx")).cast("long").alias("dn"),
+        (F.col("chain_idx") == rules.OVERSIZE).alias("oversized"))
+
+
+@query("size_violations", sql("""SELECT dataset_id, edge_id AS object_id, 'CAPACITY_EXCEEDED' AS code
+  FROM big WHERE dn_idx >= 18""", "fx_flows", extra={"big": LARGE_CHAINS["big"]}))
+def size_violations(spark, d):
+    flowed = graph.flows(large_nodes(bridge.nodes(spark, d)), bridge.edges(spark, d))
+    return graph.size_violations(graph.repair_dn(graph.flow_chains(flowed)))
+
+
 @query("diameter_runs", sql(f"""SELECT dataset_id, edge_id, round(run_length, 6) AS run_length,
   run_length > ({rules.RUN_LIMIT})[i + 1] + 0.001 AS overlong FROM run""",
                             "fx_flows", extra={**CHAINS, **RUNS}))

@@ -22,7 +22,7 @@ def diameter_for_flow(spark, d):
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         rules.diameter(flow).cast("long").alias("dn"),
-        rules.flow_index(flow).isNull().alias("too_large"))
+        (rules.flow_index(flow) == rules.OVERSIZE).alias("too_large"))
 
 
 @query("pipe_rules", f"""SELECT object_id, dn, round(2 * ({rules.HEIGHT})[list_position({DN}, dn)]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from utilnet.functions import geo
 from utilnet.operators import graph, variants, windows
-from utilnet.operators.ordering import top_k
 from utilnet.plans import bridge
 from utilnet.plans.bridge import sql, table
 from utilnet.plans.registry import query
@@ -91,11 +90,10 @@ def _metrics(spark, d):
 
 
 def _pool(spark, d):
-    return top_k(_metrics(spark, d), ["dataset_id"], ["score", "network_id"], 60).drop("rank")
+    return _metrics(spark, d)
 
 
 def _metric_pairs(spark, d):
-    # The pool of a dataset is its best sixty networks, so its pairs are bounded too.
     m = _pool(spark, d).select("dataset_id", F.col("network_id").alias("a"))
     return m.join(m.withColumnRenamed("a", "b"), "dataset_id").filter("a < b").select(
         "dataset_id", "a", "b", ((F.col("a") + F.col("b")) % 100 / 500.0).alias("difference"),
@@ -105,7 +103,7 @@ def _metric_pairs(spark, d):
 _CH = {
     "m": """SELECT o_custkey AS ds, o_orderkey AS id, o_totalprice / 1000 AS score, (100 + (o_orderkey * 31) % 997)::DOUBLE AS e,
       (50 + (o_orderkey * 57) % 991)::DOUBLE AS i FROM orders
-      QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) <= 60""",
+""",
     "ap": """SELECT x.ds, x.id AS a, y.id AS b FROM m x JOIN m y ON x.ds = y.ds AND x.id <> y.id WHERE (x.id + y.id) % 100 / 500.0 >= 0.06
       OR ((x.id + y.id) % 100 / 500.0 >= 0.03 AND least(x.id, y.id) % 2 = 0)""",
     "bal": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ds ORDER BY score, id) AS n FROM m) WHERE n = 1",
@@ -183,14 +181,14 @@ def window_density(spark, d):
     wins = bridge.nodes(spark, d).select(
         "dataset_id", F.col("node_id").alias("window_id"), (F.col("x") - 60).alias("minx"), (F.col("y") - 60).alias("miny"),
         (F.col("x") + 60).alias("maxx"), (F.col("y") + 60).alias("maxy"))
-    return windows.window_density(boxes, wins, max_objects=3)
+    return windows.window_density(boxes, wins, max_objects=3, max_estimate=128 * 1024 * 1024)
 
 
 @query("type_page", sql("""SELECT dataset_id, object_id FROM fx_boxes WHERE rule = 'road' AND object_id > 100 ORDER BY object_id LIMIT 1000""",
                         "fx_boxes"))
 def type_page(spark, d):
     b = bridge.boxes(spark, d).withColumnRenamed("rule", "object_type").withColumnRenamed("object_id", "id")
-    return windows.page_by_type(b, "road", 100).select("dataset_id", F.col("id").alias("object_id"))
+    return windows.page_by_type(b, "road", 1000, after=100).select("dataset_id", F.col("id").alias("object_id"))
 
 
 @query("viewport", sql("""SELECT dataset_id, object_id, n AS rank, c > 15 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id

@@ -18,6 +18,9 @@ def local_session(cores: str = "8", shuffle: str = "8") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # Loop and spatial plans stack many aliases over few columns; inferring constraints over
+        # them takes planning time that grows exponentially and adds only not-null filters.
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,7 +49,6 @@ def cut(df: DataFrame) -> DataFrame:
     those multiply with every round of a loop until planning itself becomes slow.)
     """
     spark = df.sparkSession
-    tune(spark)
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,24 +59,3 @@ def drop_tables(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def tune(spark: SparkSession) -> None:
-    """Turn off constraint propagation for this session.
-
-    Loop and spatial plans stack many aliases over few columns, and inferring constraints over
-    them takes planning time that grows exponentially while it adds only not-null filters.
-    """
-    if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
-        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores before work that multiplies its rows.
-
-    A table of a few megabytes is one scan task, however much is computed from it. Inputs that
-    already come in enough splits pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * 64 * 1024 * 1024 else df
