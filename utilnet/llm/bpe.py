@@ -25,8 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from utilnet.llm.common import bounded
+
 STEPS = 400_000  # remembered transducer steps
-PIECES = 250_000  # remembered pieces, and as many of the generation before
+TEXT_BLOCK = 4 << 20  # bytes of text coded together
+PIECES = 400_000  # remembered pieces, and as many of the generation before
 SPACE = r"\p{White_Space}"
 LATIN = re.compile("[\x00-\u024f]*\\Z").match
 
@@ -127,7 +130,7 @@ class Transducer:
     def _ending(self, seen: bytes) -> tuple[tuple[int, int], ...]:
         """(token, length) of the entries that end ``seen``, longest first."""
         if seen not in self.ends:
-            if len(self.ends) > STEPS:
+            if len(self.ends) > STEPS // 2:
                 self.ends.clear()
             self.ends[seen] = tuple((self.rank[seen[i:]], len(seen) - i) for i in range(len(seen))
                                     if seen[i:] in self.rank and self._reaches_itself(self.rank[seen[i:]]))
@@ -322,6 +325,21 @@ def tools(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     return _tools[key]
 
 
+def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
+    """(rows, packed ids, decoded bytes) in bounded blocks of whole texts."""
+    encoder, decoder = tools(path, pattern)
+    for batch in bounded(batches, "text", TEXT_BLOCK):
+        ids, texts = [], []
+        for value in batch.column("text"):
+            packed = encoder.encode(value.as_py() or "")
+            back, whole = decoder.decode(packed)
+            if not whole:
+                raise ValueError("decoded bytes are not UTF-8")
+            ids.append(packed)
+            texts.append(back)
+        yield batch, ids, texts
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(the columns of ``docs`` without text, ids, decoded): packed ids and the decoded text.
 
@@ -334,16 +352,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     out = base.select(*kept, F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("string").alias("decoded"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, decoder = tools(path, pattern)
-        for batch in batches:
-            ids, texts = [], []
-            for value in batch.column("text"):
-                packed = encoder.encode(value.as_py() or "")
-                back, whole = decoder.decode(packed)
-                if not whole:
-                    raise ValueError("decoded bytes are not UTF-8")
-                ids.append(packed)
-                texts.append(back)
+        for batch, ids, texts in _coded(batches, path, pattern):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())],
                 names=[*kept, "ids", "decoded"])
@@ -352,18 +361,16 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, coded and decoded as in ``encode``."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                         ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            texts = batch.column("decoded").cast(pa.binary()).to_pylist()
+        for batch, ids, texts in _coded(batches, path, pattern):
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids],
                 "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
                 "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in texts]}, schema=schema)
 
-    coded = encode(docs.select(F.col("doc_id").cast("long"), "text"), path, pattern)
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
