@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from utilnet.functions import rules
@@ -9,7 +11,7 @@ from utilnet.operators import quality
 from utilnet.plans import bridge
 from utilnet.plans.bridge import table
 from utilnet.plans.registry import query
-from utilnet.session import cut
+from utilnet.session import cut, shared_folder
 from utilnet.sources import features as src
 
 
@@ -73,6 +75,43 @@ def feature_rows(spark, d):
         "dataset_id", "id", "source_id_is_int", "object_type", "flow_tph")
 
 
+# One collection file per nation, broken in a way that goes by its key.
+_FILE = {0: "NOT_JSON", 1: "NOT_A_COLLECTION", 2: "UNKNOWN_CRS", 3: "EMPTY_COLLECTION"}
+
+
+def collections(spark, d):
+    k = F.col("n_nationkey")
+    deep = F.when(k % 6 == 4, F.concat(F.repeat(F.lit("["), 70), F.repeat(F.lit("]"), 70))).otherwise(F.lit("1"))
+    point = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":[37.5,55.5]},"properties":{"id":"n'),
+                     k.cast("string"), F.lit('","object_type":"source","note":"[[\\"{","more":'), deep, F.lit("}}"))
+    text = (F.when(k % 6 == 0, '{"type":"FeatureColl')
+            .when(k % 6 == 1, F.concat(F.lit('{"type":"Topology","features":['), point, F.lit("]}")))
+            .when(k % 6 == 2, F.concat(F.lit('{"type":"FeatureCollection","crs":{"properties":{"name":"EPSG:3857"}},"features":['), point, F.lit("]}")))
+            .when(k % 6 == 3, '{"type":"FeatureCollection","features":[]}')
+            .otherwise(F.concat(F.lit('{"type":"FeatureCollection","features":['), point, F.lit(","), point, F.lit("]}"))))
+    return table(spark, d, "nation").select(k.alias("dataset_id"), text.alias("value"))
+
+
+@query("collection_checks", f"""SELECT n_nationkey::BIGINT AS dataset_id, CASE n_nationkey % 6
+  {" ".join(f"WHEN {k} THEN '{c}'" for k, c in _FILE.items())} END AS code FROM nation""")
+def collection_checks(spark, d):
+    return src.check_collection(collections(spark, d)).select(F.col("dataset_id").cast("long").alias("dataset_id"), "code")
+
+
+@query("read_round_trip", f"""SELECT n_nationkey::BIGINT AS dataset_id, 2 AS n, CASE n_nationkey % 6
+  WHEN 4 THEN 'TOO_DEEP' END AS reject FROM nation WHERE n_nationkey % 6 IN (4, 5) UNION ALL
+  SELECT n_nationkey, 1, CASE n_nationkey % 6 {" ".join(f"WHEN {k} THEN '{c}'" for k, c in _FILE.items())} END
+  FROM nation WHERE n_nationkey % 6 < 4""")
+def read_round_trip(spark, d):
+    """Files in the shared folder, read back: every one gives features or a reject."""
+    folder = f"{shared_folder(spark)}/collections-{uuid.uuid4().hex}"
+    collections(spark, d).withColumnRenamed("dataset_id", "k").repartition("k").write.partitionBy("k").text(folder)
+    good, bad = src.read_features(spark, f"{folder}/*")
+    rows = good.select("dataset_id", F.lit(None).cast("string").alias("reject")).unionByName(bad.select("dataset_id", "reject"))
+    key = F.regexp_extract("dataset_id", r"k=(\d+)/", 1).cast("long")
+    return rows.groupBy(key.alias("dataset_id"), "reject").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 def features(spark, d):
     return cut(src.add_box(parsed(spark, d).filter("reject IS NULL").drop("reject", "body")))
 

@@ -63,6 +63,23 @@ def snapshot_round_trip(spark, d):
                                           F.round(F.sum("length"), 4).alias("length"))
 
 
+@query("snapshot_files", sql("""SELECT edge_id % 7 AS bucket, 2 * count(*) AS edges, round(2 * sum(length), 3) AS length
+  FROM fx_edges WHERE edge_id % 17 <> 5 GROUP BY 1 UNION ALL SELECT -1, 1, 0.0""", "fx_edges"))
+def snapshot_files(spark, d):
+    """Every layout twice, in files of one array each beside one broken file: nothing is lost or merged."""
+    nodes, edges, _ = src.parse_snapshots(documents(spark, d))
+    folder = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    text = src.write_snapshots(nodes, edges).select(
+        F.col("dataset_id").alias("k"), F.concat(F.lit("["), "value", F.lit(","), "value", F.lit("]")).alias("value"))
+    broken = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("[{\"nodes\":").alias("value"))
+    text.unionByName(broken).repartition("k").write.partitionBy("k").text(folder)
+    _, back, rejects = src.read_snapshots(spark, f"{folder}/*")
+    lost = rejects.filter("code = 'NOT_A_SNAPSHOT'").agg(
+        F.lit(-1).cast("long").alias("bucket"), F.count(F.lit(1)).alias("edges"), F.lit(0.0).alias("length"))
+    return back.groupBy((F.col("edge_id").cast("long") % 7).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("edges"), F.round(F.sum("length"), 3).alias("length")).unionByName(lost)
+
+
 @query("variant_prefixes", """SELECT o_custkey AS dataset_id, CASE WHEN NOT bool_or(o_orderkey % 3 = 0) THEN 'tt:v1:'
   WHEN NOT bool_or(o_orderkey % 3 = 1) THEN '_tt:v1:' WHEN NOT bool_or(o_orderkey % 15 = 2) THEN '__tt:v1:' ELSE '___tt:v1:' END AS prefix
   FROM orders GROUP BY 1""")

@@ -10,7 +10,7 @@ from utilnet.functions import geo, rules, text
 # Accepted coordinate reference names (longitude, latitude order).
 CRS_NAMES = ["urn:ogc:def:crs:OGC:1.3:CRS84", "OGC:CRS84", "EPSG:4326",
              "urn:ogc:def:crs:EPSG::4326"]
-MAX_BYTES, MAX_DEPTH = 32 * 1024 * 1024, 64
+MAX_DEPTH = 64  # brackets inside each other
 _DEPTHS = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiLineString": 3, "MultiPolygon": 4}
 
 
@@ -47,16 +47,32 @@ def _parts(kind: Column, body: Column) -> Column:
             .when(kind == "MultiPolygon", F.transform(many, lambda p: F.transform(p, _points))))
 
 
-def parse_features(rows: DataFrame) -> DataFrame:
+def nesting(body: Column) -> Column:
+    """How deep the brackets of a JSON text go, those inside its strings left out."""
+    bare = F.regexp_replace(F.regexp_replace(body, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    state = F.aggregate(
+        F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, c: _deeper(s, F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)))
+    return state["most"]
+
+
+def _deeper(state: Column, step: Column) -> Column:
+    now = state["now"] + step
+    return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+
+def parse_features(rows: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One feature per row (dataset_id, pos, body JSON text), lifted to columns, with its reject code.
 
     Geometry stays in the input's degrees; ``project`` turns it to metres. Reserved ``_tt_`` keys
-    are dropped and whole-number ids are remembered.
+    are dropped and whole-number ids are remembered. A body nested deeper than ``MAX_DEPTH`` is a
+    reject, and so is one over ``max_bytes``, if that is given.
     """
     v = F.col("_v")
     kind = F.col("object_type")
-    size = F.octet_length("body")
-    df = rows.withColumn("_v", F.when(size <= MAX_BYTES, F.try_parse_json("body")))
+    too_large = F.octet_length("body") > max_bytes if max_bytes is not None else F.lit(False)
+    deep = F.coalesce(nesting(F.col("body")) > MAX_DEPTH, F.lit(False))
+    df = rows.withColumn("_v", F.when(~too_large, F.try_parse_json("body")))
     df = df.withColumn("_p", _sub(v, "$.properties"))
     names = ("id", "oks_id", "upstream_object_id", "diameter", "flow_tph", "heat_load", "height_m",
              "restriction_type", "object_type")
@@ -93,7 +109,7 @@ def parse_features(rows: DataFrame) -> DataFrame:
     for n in ("id", "oks_id", "upstream_object_id"):
         bad_ref = bad_ref | ((F.col(f"_k_{n}") != "MISSING") & (F.col(f"_k_{n}") != "STRING")
                              & ~_is_int(F.col(f"_k_{n}")))
-    reject = (F.when(F.octet_length("body") > MAX_BYTES, "TOO_LARGE")
+    reject = (F.when(too_large, "TOO_LARGE").when(deep, "TOO_DEEP")
               .when(F.col("_v").isNull(), "NOT_JSON")
               .when(F.coalesce(_sub(F.col("_v"), "$.type", "string"), F.lit("")) != "Feature", "NOT_FEATURE")
               .when(F.coalesce(~_type(F.col("_p")).startswith("OBJECT"), F.lit(True)), "NO_PROPERTIES")
@@ -135,7 +151,12 @@ def explode_collections(raw: DataFrame) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(features in metres, rejects). ``lines`` reads newline-delimited features of any file size."""
+    """(features in metres, rejects). ``lines`` reads newline-delimited features of any file size.
+
+    A file that is no readable, non-empty collection is one reject without a position, so that no
+    file goes missing.
+    """
+    files = None
     if lines:
         rows = spark.read.text(path).select(
             F.input_file_name().alias("dataset_id"), F.monotonically_increasing_id().alias("pos"),
@@ -143,10 +164,16 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> tuple[
     else:
         raw = spark.read.text(path, wholetext=True).select(
             F.input_file_name().alias("dataset_id"), "value")
-        rows = explode_collections(raw)
+        files = check_collection(raw).filter("code IS NOT NULL")
+        rows = explode_collections(raw.join(files.select("dataset_id"), "dataset_id", "left_anti"))
     parsed = parse_features(rows)
     good = project(parsed.filter("reject IS NULL").drop("reject", "body"))
-    return good, parsed.filter("reject IS NOT NULL").select("dataset_id", "pos", "reject", "body")
+    rejects = parsed.filter("reject IS NOT NULL").select("dataset_id", "pos", "reject", "body")
+    if files is not None:
+        rejects = rejects.unionByName(files.select(
+            "dataset_id", F.lit(None).cast("long").alias("pos"), F.col("code").alias("reject"),
+            F.lit(None).cast("string").alias("body")))
+    return good, rejects
 
 
 def check_collection(raw: DataFrame) -> DataFrame:

@@ -61,13 +61,20 @@ def parse_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return good_nodes, good_edges, rejects
 
 
-def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Layouts from JSON files that hold one layout or an array of them."""
-    docs = (spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
-            .withColumn("dataset_id", F.input_file_name()))
-    # Rows of one file are numbered in a stable order of their own content.
-    docs = docs.withColumn("network_id", F.sha2(F.to_json(F.struct("nodes", "edges")), 256))
-    return parse_snapshots(docs)
+def read_snapshots(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Layouts from JSON files that hold one layout or an array of them, or (``lines``) one per line.
+
+    A layout's network_id is its place in its file, so equal layouts stay apart. A file or line
+    that is no layout is a reject.
+    """
+    raw = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("dataset_id"), "value")
+    held = F.from_json("value", f"array<struct<{SNAPSHOT}>>")
+    if lines:
+        docs = raw.filter(F.trim("value") != "").select(
+            "dataset_id", F.monotonically_increasing_id().cast("string").alias("network_id"), F.get(held, F.lit(0)).alias("_d"))
+    else:
+        docs = raw.select("dataset_id", F.posexplode_outer(held).alias("network_id", "_d"))
+    return parse_snapshots(docs.select("dataset_id", F.col("network_id").cast("string").alias("network_id"), "_d.nodes", "_d.edges"))
 
 
 def write_snapshots(nodes: DataFrame, edges: DataFrame, path: str | None = None) -> DataFrame:
