@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,22 +75,22 @@ _STATE = "best double, attempts long"
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     best, count = state.get if state.exists else (None, 0)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out = []
-    for r in rows.itertuples():
-        count += 1
-        usable = bool(r.complete) and r.score == r.score
-        better = usable and (best is None or r.score < best - 1e-9)
-        if usable:
-            best = float(r.score) if best is None else min(best, float(r.score))
-        out.append((key[0], count, r.event_id, r.score, best, better))
-    state.update((best, count))
-    yield pd.DataFrame(out, columns=["job_id", "attempt", "event_id", "score", "best_so_far", "improved"])
+    score = rows["score"].to_numpy(float)
+    usable = rows["complete"].to_numpy(bool) & ~np.isnan(score)
+    lows = np.minimum.accumulate(np.concatenate(([np.inf if best is None else best], np.where(usable, score, np.inf))))
+    state.update((None if np.isinf(lows[-1]) else float(lows[-1]), count + len(rows)))
+    yield pd.DataFrame({
+        "job_id": key[0], "attempt": np.arange(count + 1, count + len(rows) + 1), "event_id": rows["event_id"].to_numpy(),
+        "score": score, "best_so_far": pd.Series(lows[1:]).where(~np.isinf(lows[1:])),
+        "improved": usable & (np.isinf(lows[:-1]) | (score < lows[:-1] - 1e-9))})
 
 
 def live_best(attempts: DataFrame) -> DataFrame:
     """Running best per job over a stream of attempts (job_id, ts, event_id, complete, score).
 
-    State per job is two numbers; attempts arrive in order from batch to batch.
+    State per job is two numbers, and a job's attempts of one micro-batch meet in one call. Attempts
+    are numbered in the order of (ts, event_id) inside a batch and of the batches among themselves:
+    one that arrives a batch late is numbered when it arrives.
     """
     return attempts.groupBy("job_id").applyInPandasWithState(
         _advance, _BEST, _STATE, "append", GroupStateTimeout.NoTimeout)
