@@ -203,7 +203,8 @@ def sample_actions(probs: DataFrame, keys: Sequence[str], order: Sequence[str],
     """One action per state: the first whose cumulative probability passes the state's draw."""
     out = running(probs, keys, order, sums={"_to": "probability"}, inclusive=True)
     # A repeatable draw per state, so that a rerun task picks the same action.
-    draw = (F.xxhash64(F.lit(seed), *keys) % 1000003 + 1000003) % 1000003 / 1000003
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     position = F.struct(*order)
     chosen = out.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(F.col("_to") > draw, position)), F.max(position)).alias("_pick"))

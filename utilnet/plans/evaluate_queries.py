@@ -123,6 +123,24 @@ def repaired_diameters(spark, d):
         "dataset_id", "edge_id", F.col("dn").cast("long").alias("dn"), "raised_for_length")
 
 
+FINAL_RUNS = {**DP, "last_run": """SELECT s.dataset_id, s.edge_id, s.length AS run_length, s.i FROM sized s
+      LEFT JOIN sized p ON p.dataset_id = s.dataset_id AND p.end_id = s.start_id
+      WHERE p.edge_id IS NULL OR p.i <> s.i UNION ALL
+      SELECT s.dataset_id, s.edge_id, r.run_length + s.length, s.i FROM last_run r
+      JOIN sized s ON s.dataset_id = r.dataset_id AND s.start_id = r.edge_id AND s.i = r.i"""}
+
+
+@query("length_checks", sql(f"""SELECT s.dataset_id, s.edge_id, s.dn::BIGINT AS dn, round(run_length, 6) AS run_length,
+  ({rules.RUN_LIMIT})[s.i + 1]::DOUBLE AS run_limit, round(s.flow, 6) AS flow, ({rules.CAPACITY})[s.i + 1]::DOUBLE AS capacity,
+  s.i > s.dn_idx AS raised_for_length FROM sized s JOIN last_run r ON r.dataset_id = s.dataset_id AND r.edge_id = s.edge_id""",
+                            "fx_flows", extra=FINAL_RUNS))
+def length_checks(spark, d):
+    from utilnet.plans.graph_queries import repaired
+    return graph.length_checks(repaired(spark, d)).select(
+        "dataset_id", "edge_id", F.col("dn").cast("long").alias("dn"), F.round("run_length", 6).alias("run_length"), "run_limit",
+        F.round("flow", 6).alias("flow"), "capacity", "raised_for_length")
+
+
 @query("network_completion", sql("""SELECT dataset_id, count(*) AS required, count(*) FILTER (NOT missing) AS connected,
   sum(CASE WHEN missing THEN 100e6 + 500000 * flow ELSE 0 END)::DOUBLE AS missing_penalty,
   NOT bool_or(missing) AS complete FROM dem GROUP BY 1""", "fx_nodes", extra=NET_SQL))

@@ -196,11 +196,6 @@ def repaired(spark, d):
     return graph.repair_dn(graph.flow_chains(_flowed(spark, d)))
 
 
-@query("length_checks")
-def length_checks(spark, d):
-    return graph.length_checks(repaired(spark, d))
-
-
 @query("node_degrees", sql("""SELECT n.dataset_id, n.node_id, count(e.edge_id) AS degree,
   count(e.edge_id) > 4 AS over_limit FROM fx_nodes n LEFT JOIN fx_edges e
   ON e.dataset_id = n.dataset_id AND (e.start_id = n.node_id OR e.end_id = n.node_id)

@@ -190,12 +190,16 @@ def action_probabilities(spark, d):
         "user_id", "event_id", F.round("probability", 9).alias("probability"), "greedy")
 
 
-@query("sampled_actions")
+@query("sampled_actions", """SELECT user_id, event_id, round(p, 9) AS probability FROM (
+  SELECT *, sum(p) OVER (PARTITION BY user_id ORDER BY event_id) AS t, ('0x' || substr(md5('7:' || user_id), 1, 8))::BIGINT / 4294967296.0 AS d
+  FROM (SELECT user_id, event_id, exp((value - m) / 10) / sum(exp((value - m) / 10)) OVER (PARTITION BY user_id) AS p
+  FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM events)))
+  QUALIFY event_id = coalesce(min(event_id) FILTER (t > d) OVER (PARTITION BY user_id), max(event_id) OVER (PARTITION BY user_id))""")
 def sampled_actions(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("logit"))
     probs = learn.action_probs(rows, ["user_id"], ["event_id"], 10.0)
     return learn.sample_actions(probs, ["user_id"], ["event_id"], seed=7).select(
-        "user_id", "event_id", "probability")
+        "user_id", "event_id", F.round("probability", 9).alias("probability"))
 
 
 @query("batch_advantages", """SELECT user_id, event_id, round((value - CASE WHEN n > 1 THEN (s - value) / (n - 1)
