@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from utilnet.session import cut
+from utilnet.session import cut, discard
 
 
 def running(
@@ -126,7 +126,8 @@ def climb(
             *[(F.col(f"_s_{s}") + F.col(f"_s2_{s}")).alias(f"_s_{s}") for s in sums],
             *[F.least(f"_m_{m}", f"_m2_{m}").alias(f"_m_{m}") for m in mins],
             F.col("_state2").alias("_state"))
-        state = cut(state.filter("_state <> 'open'").unionByName(moved))
+        last, state = state, cut(state.filter("_state <> 'open'").unionByName(moved))
+        discard(last)
         left = state.filter("_state = 'open'").count()
         if left == remaining:
             break  # every finite chain got shorter, so what stands still is a cycle
@@ -165,11 +166,12 @@ def fold_subtrees(
             *keys, F.col("_v").alias("_u"), F.col("_u").alias("_u2"))
         hop = (state.filter("_u IS NOT NULL").select(*keys, "_v", "_u")
                .join(ahead, keys + ["_u"]).select(*keys, "_v", "_u2"))
-        state = cut(
+        last, state = state, cut(
             state.join(gains, keys + ["_v"], "left").join(hop, keys + ["_v"], "left").select(
                 *keys, "_v", F.col("_u2").alias("_u"),
                 *[(F.col(s) + F.coalesce(f"_g_{s}", F.lit(0))).alias(s) for s in sums],
                 *[F.greatest(m, f"_g_{m}").alias(m) for m in maxs]))
+        discard(last)
         left = state.filter("_u IS NOT NULL").count()
         if left == remaining:
             break
@@ -205,10 +207,10 @@ def components(
             *keys, "_v", "_old", F.least("_l", "_m").alias("_l")))
         jump = lowered.select(*keys, F.col("_v").alias("_l"), F.col("_l").alias("_ll"))
         # Rows that point at themselves need no jump; a popular label is met by AQE's skew split.
-        state = cut(lowered.join(jump, keys + ["_l"]).select(
+        last, state = state, cut(lowered.join(jump, keys + ["_l"]).select(
             *keys, "_v", F.col("_ll").alias("_l"), (F.col("_ll") < F.col("_old")).alias("_moved")))
-        moved = not state.filter("_moved").isEmpty()
-        state = state.drop("_moved")
-        if not moved:
+        discard(last)
+        discard(lowered)
+        if state.filter("_moved").isEmpty():
             break
     return state.select(*keys, F.col("_v").alias(node), F.col("_l").alias("label"))
