@@ -97,14 +97,19 @@ def inference_notes(objects: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
 def cluster_endpoints(ends: DataFrame, keys: Sequence[str] = KEYS,
                       tolerance: float = rules.SNAP) -> DataFrame:
-    """Vertices: points (keys, end_id, x, y) linked within the tolerance, by smallest end id."""
+    """Vertices: points (keys, end_id, x, y) linked within the tolerance, by smallest end id.
+
+    Ends at one position are one node, so that many pipes ending together are never paired.
+    """
     keys = list(keys)
     pts = cut(ends.select(*keys, "end_id", "x", "y"))
-    near = spatial.within(spatial.as_points(pts), spatial.as_points(pts), tolerance, "end_id",
+    spots = cut(pts.groupBy(*keys, "x", "y").agg(F.min("end_id").alias("end_id")))
+    near = spatial.within(spatial.as_points(spots), spatial.as_points(spots), tolerance, "end_id",
                           "end_id", keys, cell=4 * tolerance).filter("a_end_id < b_end_id")
-    labels = components(pts, near.select(*keys, F.col("a_end_id").alias("a"),
-                                         F.col("b_end_id").alias("b")), keys, "end_id")
-    return pts.join(labels, keys + ["end_id"]).withColumnRenamed("label", "vertex_id")
+    labels = components(spots, near.select(*keys, F.col("a_end_id").alias("a"),
+                                           F.col("b_end_id").alias("b")), keys, "end_id")
+    vertices = spots.join(labels, keys + ["end_id"]).select(*keys, "x", "y", F.col("label").alias("vertex_id"))
+    return pts.join(vertices, keys + ["x", "y"]).select(*keys, "end_id", "x", "y", "vertex_id")
 
 
 def ambiguous_clusters(clustered: DataFrame, keys: Sequence[str] = KEYS,
