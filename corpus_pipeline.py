@@ -48,14 +48,14 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A cut may split a character of several bytes; what is left of that goes as well.
     """
-    found = suffixes.kept_text(suffixes.remove_repeats(docs.select(*COLUMNS)))
+    found = suffixes.remove_repeats(docs.select(*COLUMNS), as_text=True)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of which under a twentieth of the words are in benchmark windows."""
-    found = decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
-    return decontaminate.clean(found).select(*COLUMNS)
+    found = decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), clean=True)
+    return found.select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilnet.llm.common import bounded
+from utilnet.llm.common import bounded, resident, trim
 
-STEPS = 400_000  # remembered transducer steps
+STEPS = 300_000  # remembered transducer steps
 TEXT_BLOCK = 4 << 20  # bytes of text coded together
-PIECES = 400_000  # remembered pieces, and as many of the generation before
+PIECES = 300_000  # remembered pieces, and as many of the generation before
 SPACE = r"\p{White_Space}"
 LATIN = re.compile("[\x00-\u024f]*\\Z").match
 
@@ -307,22 +307,31 @@ class Decoder:
         return b"".join(map(tokens.__getitem__, numbers.tolist())), whole
 
 
-_tools: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
+class Tools:
+    """Encoder and decoder of a rank file."""
 
-
-def tools(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """Encoder and decoder of a rank file, built once in each worker."""
-    key = (path, pattern)
-    if key not in _tools:
+    def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             ranks = Ranks(lines)
-        _tools[key] = (Encoder(ranks, pattern), Decoder(ranks))
+        self.encoder, self.decoder = Encoder(ranks, pattern), Decoder(ranks)
         # The states are many small containers without garbage among them; a collector that
         # walks them again and again would take a third of the time.
         gc.collect()
         gc.freeze()
         gc.set_threshold(1_000_000, 50, 1000)
-    return _tools[key]
+
+    def close(self) -> None:
+        self.encoder.memory.clear()
+        self.encoder.memory.older = {}
+        self.encoder.machine.forget()
+        gc.unfreeze()
+        gc.set_threshold(700, 10, 10)
+
+
+def tools(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder of a rank file, built once in each worker."""
+    kept = resident(("bpe", path, pattern), lambda: Tools(path, pattern))
+    return kept.encoder, kept.decoder
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
@@ -338,6 +347,7 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
             ids.append(packed)
             texts.append(back)
         yield batch, ids, texts
+    trim()
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

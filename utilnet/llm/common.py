@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, build: Callable[[], object]) -> object:
+    """The tool of a key, kept for the next tasks of this worker until another one is built."""
+    if key not in _resident:
+        release()
+        _resident[key] = build()
+    return _resident[key]
+
+
+def release() -> None:
+    """Drop the tool that is kept and hand free memory back: workers outlive their tasks."""
+    for tool in _resident.values():
+        if hasattr(tool, "close"):
+            tool.close()
+    _resident.clear()
+    trim()
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only some C libraries have it
+        pass
+
+
 def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if column.null_count:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilnet.llm.common import bounded, mix, text_views
+from utilnet.llm.common import bounded, mix, release, text_views, trim
 from utilnet.session import cut
 
 WINDOW = 13
@@ -223,13 +223,27 @@ def _merge_hits(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.stack([a[starts], reach[np.concatenate((starts[1:] - 1, [len(a) - 1]))]], 1)
 
 
-def _pass(docs: DataFrame, ids: list[str], texts: list[bytes], window: int, gram: int) -> DataFrame:
-    """Add one benchmark block's hits: word runs (packed pairs) and ids of the items that occur."""
+def hit_words(packed: bytes | None) -> int:
+    values = struct.unpack(f"<{len(packed) // 8}q", packed) if packed else ()
+    return sum(values[1::2]) - sum(values[::2])
+
+
+def contaminated(n_hit: int, n_words: int) -> bool:
+    """A twentieth of the words or more is hit, and one at least."""
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def _pass(docs: DataFrame, ids: list[str], texts: list[bytes], window: int, gram: int, clean: bool) -> DataFrame:
+    """Add one benchmark block's hits: word runs (packed pairs) and ids of the items that occur.
+
+    With ``clean``, documents that are contaminated by then are left out.
+    """
     held = docs.sparkSession.sparkContext.broadcast((ids, texts))
     names = docs.columns
     schema = docs.schema
 
     def run(batches):
+        release()
         ids, texts = held.value
         items = Items(texts, window, gram)
         for batch in bounded(batches, "text", TEXT_BLOCK):
@@ -253,7 +267,12 @@ def _pass(docs: DataFrame, ids: list[str], texts: list[bytes], window: int, gram
             columns["n_words"] = pa.array(np.diff(doc.bounds), pa.int64())
             columns["hits"] = pa.array(old_hits, pa.binary())
             columns["items"] = pa.array(old_items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+            out = pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+            if clean:
+                pairs = zip(old_hits, columns["n_words"].to_pylist())
+                out = out.filter(pa.array([not contaminated(hit_words(h), n) for h, n in pairs], pa.bool_()))
+            yield out
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -277,41 +296,22 @@ def _blocks(benchmark: DataFrame, limit: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                  block_words: int = BLOCK_WORDS) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, clean: bool = False) -> DataFrame:
     """The columns of ``docs`` with n_words, hits (packed runs of hit words) and items (ids that occur).
 
     A null text has no words; an item without words has no window; a null item id reads as the
     empty string, and rows of one id count as one item. Every document row gets a row, repeated
-    rows too. Columns named n_words, hits or items are replaced.
+    rows too; with ``clean`` those that are not contaminated get one. Columns named n_words, hits or items are replaced.
     """
     out = docs.drop("n_words", "hits", "items").select(
         "*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"),
         F.lit(None).cast("array<string>").alias("items"))
     for k, (ids, texts) in enumerate(_blocks(benchmark, block_words)):
-        out = _pass(cut(out) if k else out, ids, texts, window, gram)
+        # what is contaminated by some of the items stays so, whatever the others add
+        out = _pass(cut(out) if k else out, ids, texts, window, gram, clean)
     return out
 
 
-def hit_words(packed: bytes | None) -> int:
-    values = struct.unpack(f"<{len(packed) // 8}q", packed) if packed else ()
-    return sum(values[1::2]) - sum(values[::2])
-
-
-def contaminated(n_hit: int, n_words: int) -> bool:
-    """A twentieth of the words or more is hit, and one at least."""
-    return n_hit > 0 and 20 * n_hit >= n_words
-
-
-def clean(found: DataFrame) -> DataFrame:
-    """Those of ``contamination``'s rows that are not contaminated."""
-    def run(batches):
-        for batch in batches:
-            rows = zip(batch.column("hits").to_pylist(), batch.column("n_words").to_pylist())
-            yield batch.filter(pa.array([not contaminated(hit_words(h), n) for h, n in rows], pa.bool_()))
-
-    return found.mapInArrow(run, found.schema)
-
-
 def digest(found: DataFrame) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated from ``contamination``'s rows."""
     def run(batches):

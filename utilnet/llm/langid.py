@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilnet.llm.common import bounded
+from utilnet.llm.common import bounded, resident, trim
 
 SAMPLE_DOCS = 400
-SAMPLE_BYTES = 60_000
+SAMPLE_BYTES = 40_000
 SEGMENT = 512
-TEXT_BLOCK = 4 << 20
+TEXT_BLOCK = 2 << 20
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -147,13 +147,15 @@ def samples(train: DataFrame, docs_per_lang: int = SAMPLE_DOCS, size: int = SAMP
     Rows are taken in the order of a hash of the id and dealt out in turn to the automaton's
     sample and the measuring sample, a passage of each, until each holds ``size`` characters.
     """
-    order = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    rows = (train.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 200 AND 20000")
-            .select("lang", order.alias("o"), "text"))
-    langs = [r.lang for r in rows.select("lang").distinct().limit(1000).collect()]
+    known = train.filter("lang IS NOT NULL AND doc_id IS NOT NULL").withColumn("o", F.xxhash64("doc_id"))
+    langs = [r.lang for r in known.select("lang").distinct().collect()]
     out = {}
     for lang in sorted(langs):
-        taken = rows.filter(F.col("lang") == lang).orderBy("o").limit(docs_per_lang).collect()
+        own = known.filter(F.col("lang") == lang)
+        # first the ids alone, so that texts are fetched for the chosen documents only
+        chosen = own.select("o").orderBy("o").limit(docs_per_lang).agg(F.max("o")).first()[0]
+        taken = (own.filter(F.col("o") <= chosen).filter("length(text) BETWEEN 200 AND 20000")
+                 .select("o", "text").orderBy("o", "text").limit(docs_per_lang).collect())
         halves: tuple[list[str], list[str]] = ([], [])
         held = [0, 0]
         for k, row in enumerate(taken):
@@ -168,17 +170,6 @@ def samples(train: DataFrame, docs_per_lang: int = SAMPLE_DOCS, size: int = SAMP
     return out
 
 
-_models: dict[str, Model] = {}
-
-
-def _model(key: str, found: dict[str, tuple[str, str]]) -> Model:
-    """Built once in each worker from the bounded samples."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(found)
-    return _models[key]
-
-
 def identify(docs: DataFrame, found: dict[str, tuple[str, str]]) -> DataFrame:
     """The columns of ``docs`` with lang_pred and score.
 
@@ -194,11 +185,12 @@ def identify(docs: DataFrame, found: dict[str, tuple[str, str]]) -> DataFrame:
     key = hashlib.md5(repr(sorted(found.items())).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        model = _model(key, held.value)
+        model = resident(key, lambda: Model(held.value))  # built once in each worker
         for batch in bounded(batches, "text", TEXT_BLOCK):
             langs, score = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(langs, pa.string()), pa.array(score)],
                 names=[*names, "lang_pred", "score"])
+        trim()
 
     return out.mapInArrow(run, out.schema)

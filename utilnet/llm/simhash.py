@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from utilnet.llm.common import doc_texts
+from utilnet.llm.common import doc_texts, release, trim
 from utilnet.operators.kernels import components
 from utilnet.session import cut
 
@@ -94,9 +94,11 @@ def with_fingerprints(docs: DataFrame, words: int = 3, carry: Sequence[str] = ()
     names = ["doc_id", *carry]
 
     def run(batches):
+        release()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fingerprints(batch, words))],
                                              names=[*names, "fp"])
+        trim()
 
     return rows.mapInArrow(run, rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilnet.llm.common import bounded, mix, text_views
+from utilnet.llm.common import bounded, mix, release, text_views, trim
 from utilnet.session import cut
 
 SPAN = 50
@@ -42,8 +42,8 @@ GRAM = 20
 BLOCK = 4 << 20  # bytes of text in a block; a longer text is a block of its own
 CHUNK = 1 << 18  # spans looked at together
 STEP = 10_000  # pieces compared together
-BUCKET_TEXT = 16 << 20  # bytes of text for each bucket of anchors
-SHARD = 2 << 20  # bytes of pieces in a suffix array
+BUCKET_TEXT = 8 << 20  # bytes of text for each bucket of anchors
+SHARD = 1 << 20  # bytes of pieces in a suffix array
 HOT = 20_000  # surroundings of an anchor beyond which its spans are dealt out one by one
 FAN = 256  # blocks whose copies of a piece are settled together
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: never smaller than another
@@ -415,6 +415,7 @@ def shard_cover(parts: list[Pieces]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def pack_blocks(docs: DataFrame) -> DataFrame:
     """Documents as blocks: name, bytes of text, compressed texts, and the other columns."""
     def run(batches: Iterator[pa.RecordBatch]):
+        release()
         task, nth = TaskContext.get().partitionId(), 0
         for part in bounded(batches, "text", BLOCK):
             raw, offsets = text_views(part.column("text"))
@@ -449,6 +450,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
+    trim()
 
 
 def _ids_hash(name: str) -> int:
@@ -596,19 +598,22 @@ def _cover(pieces: DataFrame) -> DataFrame:
                 found.setdefault(int(source[part[0]]), []).append(ranges[part])
         own = pa.table({"grp": pa.array([grps[k] for k in found], pa.string()),
                         "ranges": pa.array([merged(np.concatenate(v)).astype(np.int64).tobytes() for v in found.values()], pa.binary())})
+        del parts
+        trim()
         return pa.concat_tables([ready, own])
 
     return pieces.groupBy("bucket").applyInArrow(run, "grp string, ranges binary")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """The columns of ``docs`` but text, with n_bytes, spans and kept.
 
     ``spans`` lists the maximal removed byte ranges [from, to) of the document, ``kept`` is what
     remains. Null texts are empty; texts under ``SPAN`` bytes are kept whole. A null doc_id is
     never smaller than another, so such rows lose what numbered rows have and keep what they
     share among themselves; so do rows that repeat one id. Columns of the three new names are
-    replaced.
+    replaced. With ``as_text`` the result has the columns of ``docs``, and text is what remains;
+    a cut may split a character of several bytes, of which nothing is left then.
     """
     base = docs.drop("n_bytes", "spans", "kept")
     blocks = cut(pack_blocks(base))
@@ -626,6 +631,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                       F.lit(None).cast("array<struct<first: long, last: long>>").alias("spans"),
                       F.lit(None).cast("binary").alias("kept"))
 
+    if as_text:
+        out = base.select(*kept_columns, F.lit("").alias("text"))
+
     def run(batches):
         for row in _rows(batches):
             raw, offsets, rest = _open(row)
@@ -641,6 +649,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 edges = [0, *(e for c in cuts for e in c), b - a]
                 spans.append([{"first": x, "last": y} for x, y in cuts])
                 kept.append(b"".join(whole[a + x:a + y] for x, y in zip(edges[::2], edges[1::2])))
+            if as_text:
+                texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+                yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in kept_columns), texts], names=[*kept_columns, "text"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [rest.column(c) for c in kept_columns] + [
                     pa.array(np.diff(offsets), pa.int64()),
@@ -650,20 +662,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return blocks.join(ranges, "grp", "left").mapInArrow(run, out.schema)
 
 
-def kept_text(found: DataFrame) -> DataFrame:
-    """``kept`` as a text column in place of the three new ones; broken characters go."""
-    rows = found.drop("n_bytes", "spans")
-    names = [c for c in rows.columns if c != "kept"]
-
-    def run(batches):
-        for batch in batches:
-            texts = [(k or b"").decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())],
-                                             names=[*names, "text"])
-
-    return rows.mapInArrow(run, rows.withColumn("text", F.lit("")).drop("kept").schema)
-
-
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 from ``remove_repeats``'s rows."""
     return found.select(
