@@ -309,7 +309,7 @@ class Renderer(HTMLParser):
             for selectors, body in _RULE.findall(data):
                 if _NONE.search(body):
                     self.rules.update(s.strip() for s in selectors.split(",") if _SIMPLE.match(s.strip()))
-        if not e.seen or not e.shown:
+        if not e.seen or not e.shown or e.tag == "details!":
             return
         if e.tag in ("table", "tr", "tbody", "thead", "tfoot"):  # text outside cells stands before the table
             if not data.strip():

@@ -27,11 +27,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utilnet.llm.bpe import LATIN, latin_pattern, rank_pattern
-from utilnet.llm.common import bounded
+from utilnet.llm.common import bounded, resident
 from utilnet.session import cut
 
 BLOCK = 2048  # ids in a block
-SEGMENT = 1 << 21  # ids in a segment; a longer document is a segment of its own
+SEGMENT = 1 << 23  # ids in a segment; a longer document is a segment of its own
 TEXT_BLOCK = 4 << 20
 PIECES = 200_000  # remembered pieces, and as many of the generation before
 SLOTS = 2048  # contexts that a block remembers for each order
@@ -45,87 +45,99 @@ _SEEN = 96  # weight of a neighbourhood for each id met in it
 
 
 class Lanes:
-    """Models of many blocks, one position at a time."""
+    """Models of many blocks, one position at a time. Tables are flat: block, then place."""
 
     def __init__(self, n: int):
-        self.hashes = [np.zeros(n, np.int64) for _ in range(2)]
-        self.guess = [np.zeros((n, SLOTS), np.uint16) for _ in range(2)]
-        self.trust = [np.full((n, SLOTS), -1, np.int8) for _ in range(2)]
-        self.right = [np.ones((n, 3), np.int64) for _ in range(2)]
-        self.wrong = [np.ones((n, 3), np.int64) for _ in range(2)]
+        self.hashes = [np.zeros(n, np.int32) for _ in range(2)]
+        self.guess = [np.zeros(n * SLOTS, np.uint16) for _ in range(2)]
+        self.trust = [np.full(n * SLOTS, -1, np.int8) for _ in range(2)]
+        self.right = [np.ones(n * 3, np.int32) for _ in range(2)]
+        self.wrong = [np.ones(n * 3, np.int32) for _ in range(2)]
         # order 0: ids met below each of 16 areas, and below each of 16 parts inside an area
-        self.areas = np.zeros((n, 17), np.int64)
-        self.parts = np.zeros((n, 16, 17), np.int64)
-        self.last = np.zeros(n, np.int64)
-        self.steps = np.arange(17)
+        self.areas = np.zeros((n, 17), np.int32)
+        self.parts = np.zeros((n * 16, 17), np.int32)
+        self.met = np.zeros(n, np.int32)
+        self.last = np.zeros(n, np.int32)
+        self.lane = np.arange(n, dtype=np.int32)
+        self.steps = np.arange(17, dtype=np.int32)
 
     def predict(self, n: int) -> None:
         """Look up the guesses of the first n blocks and weigh them."""
-        self.rows = np.arange(n)
-        base = self.areas[:n, 16] * _SEEN + _EVEN * 65536
-        self.total = base.copy()
+        self.n = n
+        self.base = (self.met[:n] * _SEEN + _EVEN * 65536).astype(np.int64)
+        self.total = self.base.copy()
         self.bets = []
         for k in range(2):
-            slot = self.hashes[k][:n]
-            trust = self.trust[k][self.rows, slot]
-            level = np.maximum(trust, 0)
-            odds = np.minimum((self.right[k][self.rows, level] << 8) // self.wrong[k][self.rows, level], 1 << 13)
-            weight = np.where(trust >= 0, (base * odds) >> 8, 0)
-            guess = self.guess[k][self.rows, slot].astype(np.int64)
+            slot = self.lane[:n] * SLOTS + self.hashes[k][:n]
+            trust = self.trust[k].take(slot)
+            level = self.lane[:n] * 3 + np.maximum(trust, 0)
+            odds = np.minimum((self.right[k].take(level) << 8) // self.wrong[k].take(level), 1 << 13)
+            weight = np.where(trust >= 0, (self.base * odds) >> 8, 0)
+            guess = self.guess[k].take(slot).astype(np.int32)
             self.bets.append((slot, trust, level, guess, weight))
             self.total += weight
 
-    def below(self, x: np.ndarray) -> np.ndarray:
-        """Weight of all ids under x, bets left out."""
-        n, area, part = len(x), x >> 12, (x >> 8) & 15
-        met = self.areas[self.rows, area] + self.parts[self.rows, np.minimum(area, 15), part]
-        inside = self.parts[self.rows, np.minimum(area, 15), part + 1] - self.parts[self.rows, np.minimum(area, 15), part]
-        return np.where(area > 15, self.areas[:n, 16] * _SEEN, met * _SEEN + ((inside * _SEEN * (x & 255)) >> 8)) + _EVEN * x
+    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight of all ids under x, weight of x), bets left out."""
+        area, part, inner = x >> 12, (x >> 8) & 15, x & 255
+        row = self.lane[:self.n] * 16 + area
+        at = row * 17 + part
+        parts = self.parts.reshape(-1)
+        first = parts.take(at)
+        inside = (parts.take(at + 1) - first) * _SEEN
+        low = (inside * inner) >> 8
+        below = (self.areas.reshape(-1).take(self.lane[:self.n] * 17 + area) + first) * _SEEN + low + _EVEN * x
+        return below.astype(np.int64), (((inside * (inner + 1)) >> 8) - low + _EVEN).astype(np.int64)
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weight of the ids under x, weight of x)."""
-        low, high = self.below(x), self.below(x + 1)
-        size = high - low
+        low, size = self.own(x)
         for _, _, _, guess, weight in self.bets:
-            low = low + np.where(guess < x, weight, 0)
-            size = size + np.where(guess == x, weight, 0)
+            low += weight * (guess < x)
+            size += weight * (guess == x)
         return low, size
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The id whose range of weights holds the target."""
-        rest = target.copy()
-        out = np.full(len(target), -1, np.int64)
-        starts = [self.place(b[3]) for b in self.bets]
-        for bet, (low, size) in zip(self.bets, starts):
-            out = np.where((out < 0) & (bet[4] > 0) & (low <= target) & (target < low + size), bet[3], out)
-            rest -= np.where((bet[4] > 0) & (target >= low + size), bet[4], 0)
-        rest = np.where(out < 0, rest, 0)
-        area = (self.areas[self.rows] * _SEEN + _EVEN * 4096 * self.steps <= rest[:, None]).sum(axis=1) - 1
-        area = np.minimum(area, 15)
-        rest = rest - self.areas[self.rows, area] * _SEEN - _EVEN * 4096 * area
-        parts = self.parts[self.rows, area]
-        part = np.minimum((parts * _SEEN + _EVEN * 256 * self.steps <= rest[:, None]).sum(axis=1) - 1, 15)
-        low = parts[self.rows, part]
-        inside = (parts[self.rows, part + 1] - low) * _SEEN
-        rest = rest - low * _SEEN - _EVEN * 256 * part
+        rest, out = target.copy(), np.full(self.n, -1, np.int32)
+        for _, _, _, guess, weight in self.bets:
+            low, size = self.place(guess)
+            past = target >= low + size
+            out = np.where((out < 0) & (weight > 0) & (low <= target) & ~past, guess, out)
+            rest -= weight * past
+        left = np.flatnonzero(out < 0)
+        if not len(left):
+            return out
+        rest, lane = rest[left].astype(np.int32), self.lane[left]
+        areas = self.areas[lane] * _SEEN + _EVEN * 4096 * self.steps
+        area = np.minimum((areas <= rest[:, None]).sum(axis=1, dtype=np.int32) - 1, 15)
+        index = np.arange(len(left))
+        rest -= areas[index, area]
+        row = self.parts[lane * 16 + area] * _SEEN
+        parts = row + _EVEN * 256 * self.steps
+        part = np.minimum((parts <= rest[:, None]).sum(axis=1, dtype=np.int32) - 1, 15)
+        rest -= parts[index, part]
+        inside = row[index, part + 1] - row[index, part]
         inner = np.minimum((rest << 8) // (inside + _EVEN * 256), 255)
         for _ in range(2):  # the quotient may be one off
             inner += (inner < 255) & (((inside * (inner + 1)) >> 8) + _EVEN * (inner + 1) <= rest)
             inner -= ((inside * inner) >> 8) + _EVEN * inner > rest
-        return np.where(out < 0, (area << 12) + (part << 8) + inner, out)
+        out[left] = (area << 12) + (part << 8) + inner
+        return out
 
     def learn(self, x: np.ndarray) -> None:
-        n, rows = len(x), self.rows
+        n = self.n
         for k, (slot, trust, level, guess, _) in enumerate(self.bets):
             known, hit = trust >= 0, guess == x
-            self.right[k][rows, level] += 2 * (known & hit)
-            self.wrong[k][rows, level] += 2 * (known & ~hit)
+            self.right[k][level] += 2 * (known & hit)
+            self.wrong[k][level] += 2 * (known & ~hit)
             new = ~known | (~hit & (trust == 0))
-            self.guess[k][rows, slot] = np.where(new, x, guess)
-            self.trust[k][rows, slot] = np.where(new, 0, np.where(hit, np.minimum(trust + 1, 2), trust - 1))
+            self.guess[k][slot] = np.where(new, x, guess)
+            self.trust[k][slot] = np.where(new, 0, np.where(hit, np.minimum(trust + 1, 2), trust - 1))
         area, part = x >> 12, (x >> 8) & 15
         self.areas[:n] += self.steps > area[:, None]
-        self.parts[rows, area] += self.steps > part[:, None]
+        self.parts[self.lane[:n] * 16 + area] += self.steps > part[:, None]
+        self.met[:n] += 1
         self.hashes[0][:n] = (x * 40503 >> 4) % SLOTS
         self.hashes[1][:n] = (self.last[:n] * 30011 + x * 62989 >> 3) % SLOTS
         self.last[:n] = x
@@ -152,7 +164,7 @@ def encode(ids: np.ndarray) -> bytes:
     lanes = -(-len(ids) // BLOCK)
     if not lanes:
         return MAGIC + struct.pack("<I", 0)
-    padded = np.zeros(lanes * BLOCK, np.int64)
+    padded = np.zeros(lanes * BLOCK, np.int32)
     padded[:len(ids)] = ids
     table = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     tail = len(ids) - (lanes - 1) * BLOCK
@@ -206,7 +218,7 @@ def decode(data: bytes) -> np.ndarray:
     used = np.full(lanes, 8)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     model = Lanes(lanes)
-    table = np.zeros((BLOCK, lanes), np.int64)
+    table = np.zeros((BLOCK, lanes), np.int32)
     tail = heads[-1][0]
     for t in range(max(h[0] for h in heads)):
         n = lanes if t < tail else lanes - 1
@@ -268,16 +280,6 @@ class Tokenizer:
         return out
 
 
-_tokenizers: dict[tuple[str, str], Tokenizer] = {}
-
-
-def _tokenizer(path: str, pattern: str) -> Tokenizer:
-    key = (path, pattern)
-    if key not in _tokenizers:
-        _tokenizers[key] = Tokenizer(path, pattern)
-    return _tokenizers[key]
-
-
 def write(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Write the id files of (doc_id, text) in the shared folder and return their segments.
 
@@ -291,7 +293,7 @@ def write(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tokenizer, part, nth = _tokenizer(path, pattern), TaskContext.get().partitionId(), 0
+        tokenizer, part, nth = resident(("ids", path, pattern), lambda: Tokenizer(path, pattern)), TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         names: list[int | None] = []
         size = 0
@@ -306,7 +308,7 @@ def write(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in bounded(batches, "text", TEXT_BLOCK):
             coded = tokenizer.encode([t or "" for t in batch.column("text").to_pylist()])
             for name, ids in zip(batch.column("doc_id").to_pylist(), coded):
-                if held and size + len(ids) > 4 * SEGMENT:
+                if held and size + len(ids) > 4 * SEGMENT:  # four bytes an id
                     yield segment()
                     held, names, size, nth = [], [], 0, nth + 1
                 held.append(ids + end)
