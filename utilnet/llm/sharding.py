@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from utilnet.session import cut
+from utilnet.session import cut, discard
 
 SHARDS = 40
 LEVELS = 64  # offers are accepted in the order of their gain, on a logarithmic scale
@@ -47,21 +47,24 @@ def positions(df: DataFrame, *order: str) -> DataFrame:
 def _rounds(cells: DataFrame, shards: int, quota: int) -> DataFrame:
     """Propagate until no offer is accepted. ``cells``: text, shard, n."""
     spark = cells.sparkSession
-    by_size = W.partitionBy("text").orderBy("full", F.desc("n"), "shard")
     mates = W.partitionBy("text")
-    nth = 0
+    by_size = mates.orderBy(F.desc("moves"), "full", F.desc("n"), "shard")
+    largest_open = F.max(F.when(~F.col("full"), F.col("n"))).over(mates)
+    nth, last = 0, None
     while True:
         nth += 1
         loads = cells.groupBy("shard").agg(F.sum("n").alias("load"))
         room = F.broadcast(spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(
             loads, "shard", "left").select("shard", F.greatest(F.lit(0), quota - F.coalesce("load", F.lit(0))).alias("room")))
+        # in a full shard, only cells that an open one outgrows take part
         ranked = (cells.join(room, "shard").withColumn("full", F.col("room") == 0)
-                  .select("text", "shard", "n", "full", F.row_number().over(by_size).alias("i"),
-                          F.count(F.lit(1)).over(mates).alias("m"),
+                  .withColumn("moves", F.coalesce(~F.col("full") | (F.col("n") < largest_open), F.lit(False)))
+                  .select("text", "shard", "n", "full", "moves", F.row_number().over(by_size).alias("i"),
+                          F.count(F.when(F.col("moves"), 1)).over(mates).alias("m"),
                           F.collect_list(F.struct("n", "shard", "full")).over(
                               by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all")))
         host = F.col("all")[F.col("m") - F.col("i")]
-        offers = ranked.withColumn("host", F.when(F.col("i") > F.col("m") - F.col("i") + 1, host)).select(
+        offers = ranked.withColumn("host", F.when(F.col("moves") & (F.col("i") > F.col("m") - F.col("i") + 1), host)).select(
             "text", "shard", "n",
             F.when(~F.col("host.full") & ((F.col("host.n") > F.col("n")) | (
                 (F.col("host.n") == F.col("n")) & (F.col("host.shard") < F.col("shard")))), F.col("host.shard")).alias("to"),
@@ -81,7 +84,10 @@ def _rounds(cells: DataFrame, shards: int, quota: int) -> DataFrame:
             moved.filter("go > 0").select("text", F.col("to").alias("shard"), F.col("go").alias("n"), "go"))
         state = cut(after.groupBy("text", "shard").agg(F.sum("n").alias("n"), F.sum("go").alias("go")).filter("n > 0"))
         went = state.agg(F.sum("go")).first()[0] or 0
-        cells = state.drop("go")
+        discard(offers)
+        if last is not None:
+            discard(last)
+        last, cells = state, state.drop("go")
         if went == 0:
             return cells
 
