@@ -252,6 +252,20 @@ def test_languages_are_told_apart(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.identify(odd_docs, langid.samples(no_docs)).collect()} == {"und"}
 
 
+def test_short_and_long_texts_are_learnt(spark):
+    short = {"aa": "kalo mira", "bb": "schung terein", "cc": "eauoux llement"}
+    rows = [(k, short[lang], lang) for k, lang in enumerate(list(short) * 20)]
+    rows += [(100 + k, "wxyz qzvw " * 3000, "dd") for k in range(3)]
+    # most rows of a language from a source of empty and of letterless texts
+    rows += [(200 + k, "" if k % 2 else "12 34", "ee") for k in range(2000)] + [(3000 + k, "fjord bjǫrk", "ee") for k in range(4)]
+    rows += [(4000, "42", "ff"), (4001, None, "ff"), (4002, "", "ff")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = langid.samples(docs)
+    assert set(learnt) == {r[2] for r in rows} and all(len(x) <= langid.SAMPLE_BYTES + 400 for pair in learnt.values() for x in pair)
+    got = langid.identify(docs, learnt).filter("text rlike '[a-z]'").collect()
+    assert len(got) == 67 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_phrases_are_longest_matches():
     known, text = b"abracadabra", b"abracadxbrabrazz"
     machine = langid.SuffixAutomaton(np.frombuffer(known, np.uint8).astype(np.int64), 256)

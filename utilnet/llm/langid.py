@@ -19,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utilnet.llm.common import bounded, resident, trim
 
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 40_000
+ENOUGH = 2000  # held-back bytes that measure a language's usual phrase alone
 SEGMENT = 512
 TEXT_BLOCK = 2 << 20
 UNKNOWN = "und"
@@ -96,11 +98,12 @@ class Model:
         self.names = list(known)
         width = len(used) + 1
         self.automata = [SuffixAutomaton(self.code[np.frombuffer(a, np.uint8)], width) for a, _ in known.values()]
-        own = []
-        for machine, (a, b) in zip(self.automata, known.values()):
-            n = self._count(machine, [b or a])[0]
-            own.append(max(n, 1) / max(len(b or a), 1))
-        self.usual = np.array(own)
+        held = np.array([len(b) for _, b in known.values()])
+        own = np.array([self._count(m, [b])[0] if b else 0 for m, (_, b) in zip(self.automata, known.values())])
+        # little text tells little of a usual phrase; what is missing counts as the languages' common one
+        common = max(own.sum(), 1) / max(held.sum(), 1)
+        short = np.maximum(ENOUGH - held, 0)
+        self.usual = (np.maximum(own, held > 0) + common * short) / (held + short)
 
     def _segments(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raw = self.code[np.frombuffer(b"".join(texts), np.uint8)]
@@ -146,27 +149,29 @@ def samples(train: DataFrame, docs_per_lang: int = SAMPLE_DOCS, size: int = SAMP
 
     Rows are taken in the order of a hash of the id and dealt out in turn to the automaton's
     sample and the measuring sample, a passage of each, until each holds ``size`` characters.
+    Texts of any length count, those without a letter only where a language has too few others;
+    every language with a text that is not empty is learnt.
     """
-    known = train.filter("lang IS NOT NULL AND doc_id IS NOT NULL").withColumn("o", F.xxhash64("doc_id"))
-    langs = [r.lang for r in known.select("lang").distinct().collect()]
+    part = max(200, size // 40)  # a fortieth of the sample from each document, so that no odd text can fill it
+    order = ["bare", "o"]
+    known = train.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0").select(
+        "lang", (~F.col("text").rlike(r"\p{L}")).alias("bare"), F.xxhash64("doc_id").alias("o"), F.substring("text", 1, part).alias("text"))
+    # first the ids alone, so that texts are fetched for the chosen documents only
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(*order))
+    last = (known.select("lang", *order).withColumn("nth", rank).filter(F.col("nth") <= docs_per_lang)
+            .groupBy("lang").agg(F.max(F.struct(*order)).alias("last")).collect())
     out = {}
-    for lang in sorted(langs):
-        own = known.filter(F.col("lang") == lang)
-        # first the ids alone, so that texts are fetched for the chosen documents only
-        chosen = own.select("o").orderBy("o").limit(docs_per_lang).agg(F.max("o")).first()[0]
-        taken = (own.filter(F.col("o") <= chosen).filter("length(text) BETWEEN 200 AND 20000")
-                 .select("o", "text").orderBy("o", "text").limit(docs_per_lang).collect())
+    for lang, (bare, o) in sorted((r.lang, r.last) for r in last):
+        own = known.filter((F.col("lang") == lang) & (F.struct(*order) <= F.struct(F.lit(bare), F.lit(o))))
+        taken = own.orderBy(*order, "text").limit(docs_per_lang).collect()
         halves: tuple[list[str], list[str]] = ([], [])
         held = [0, 0]
         for k, row in enumerate(taken):
-            # a fortieth of the sample from each document, so that no odd text can fill it
-            part, room = row.text, size - held[k % 2]
+            room = size - held[k % 2]
             if room > 0:
-                part = part[:min(room, max(200, size // 40))]
-                halves[k % 2].append(part)
-                held[k % 2] += len(part)
-        if halves[0]:
-            out[lang] = ("\n".join(halves[0]), "\n".join(halves[1]))
+                halves[k % 2].append(row.text[:room])
+                held[k % 2] += len(halves[k % 2][-1])
+        out[lang] = ("\n".join(halves[0]), "\n".join(halves[1]))
     return out
 
 
