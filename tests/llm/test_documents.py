@@ -157,6 +157,42 @@ def test_settling_in_groups_changes_nothing(spark, monkeypatch):
     assert sorted(map(tuple, suffixes.digest(suffixes.remove_repeats(docs)).collect())) == want
 
 
+def test_copies_of_one_id_are_sorted_once(spark, monkeypatch):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(700))
+    rows = [(None, text + str(k % 7) * 60) for k in range(60)] + [(7, text[:400] + "tail")] * 9
+    rows += [(3, "x" + text[100:220] + "y"), (2, "-" * 3000), (5, "a" + "-" * 2000 + "b" + text[150:300] + "-" * 90 + text[150:300])]
+    docs = [(suffixes.NO_ID if i is None else i, t.encode()) for i, t in rows]
+    hits = brute_cover(docs)
+    sorted_sizes, plain = [], suffixes.SortedShard
+    monkeypatch.setattr(suffixes, "SortedShard", lambda p: sorted_sizes.append(len(p.start)) or plain(p))
+    for blocks in (1, 3):
+        assert all((a == b).all() for a, b in zip(hits, cover_in_parts(docs, blocks, 100)))
+    assert sum(sorted_sizes) < 1000  # two cuts; every run of dashes alone has thousands of places
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "text")
+    want = [(i, len(t) - int(h.sum())) for (i, t), h in zip(rows, hits)]
+    for fan in (256, 2):
+        monkeypatch.setattr(suffixes, "FAN", fan)
+        got = suffixes.digest(suffixes.remove_repeats(frame)).collect()
+        same_rows([(r.doc_id, r.n_bytes - r.n_removed) for r in got], want)
+
+
+def test_a_block_sends_one_of_equal_pieces():
+    docs = [(suffixes.NO_ID, b"0123456789abcdefghijklmnopqrstuvwxyz" * 3)] * 50 + [(4, b" " * 5000), (6, b"!" + b" " * 70)]
+    raw = np.frombuffer(b"".join(t for _, t in docs), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for _, t in docs]))).astype(np.int64)
+    ids = np.array([i for i, _ in docs], np.int64)
+    found = suffixes.block_anchors(raw, offsets, ids)[0]
+    pieces, _ = suffixes.block_pieces(raw, offsets, ids, found >> np.uint64(1) << np.uint64(1))
+    done, home = pieces.settle()
+    assert len(home) > 5000 and (~done & (home == np.arange(len(home)))).sum() < 60
+    hung = suffixes.hang(pieces, home)
+    left = np.flatnonzero(~done & (home == np.arange(len(home))))
+    back = suffixes.unhang(suffixes.apart(suffixes._ranges(pieces.take(left))), [hung])
+    pieces.place = pieces.start
+    assert back.tolist() == suffixes.merged(suffixes._ranges(pieces.take(np.flatnonzero(~done)))).tolist()
+
+
 # simhash
 
 def brute_fingerprint(text):

@@ -9,7 +9,8 @@ document of smaller id. The work is divided so that equal spans meet and nothing
    out as pieces (runs of overlapping spans of one anchor) and sent to shards by anchor. Copies
    of a piece inside a block are settled there. The spans of an anchor that occurs in very many
    blocks go to shards one by one by the hash of the whole span, so that no shard grows with a
-   frequent passage.
+   frequent passage. Of pieces equal in bytes and document a block sends one; what is covered
+   of it is covered in the others, which the block finds again when the ranges come back.
 3. Each shard sorts the suffixes of its pieces (Larsson-Sadakane refinement: ranks of the first
    h bytes order the first 2h), computes common prefixes of neighbours (Kasai's carry: a suffix
    shares at least one byte less than the suffix before it in the text), and so groups equal spans
@@ -47,6 +48,7 @@ SHARD = 1 << 20  # bytes of pieces in a suffix array
 HOT = 20_000  # surroundings of an anchor beyond which its spans are dealt out one by one
 FAN = 256  # blocks whose copies of a piece are settled together
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: never smaller than another
+HOLDS = 1 << 62  # added to the place of a piece that stands for others of its block
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -178,8 +180,14 @@ class Pieces:
 
     def settled(self) -> np.ndarray:
         """Pieces equal, byte by byte, to a piece of a smaller document: wholly covered."""
+        return self.settle()[0]
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """What ``settled`` finds; and for each piece the first one of equal bytes and document,
+        which is covered where this one is (the piece itself, if there is none before it)."""
+        home = np.arange(len(self.start))
         if not len(self.start):
-            return np.zeros(0, bool)
+            return np.zeros(0, bool), home
         size = self.size
         weight = mix(np.arange(1, int(size.max()) + 1, dtype=np.uint64))
         key = np.empty(len(size), np.uint64)
@@ -195,19 +203,35 @@ class Pieces:
         head = np.repeat(order[heads], np.diff(heads, append=len(order)))
         later = np.flatnonzero((self.doc[order] > self.doc[head]) & (size[order] == size[head]))
         out = np.zeros(len(self.start), bool)
-        a, b = order[later], head[later]
+        out[order[later]] = self._equal(order[later], head[later])
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]) | (self.doc[order[1:]] != self.doc[order[:-1]])
+        heads = np.flatnonzero(new)
+        head = np.repeat(order[heads], np.diff(heads, append=len(order)))
+        again = np.flatnonzero(~new & ~out[order] & ~out[head] & (size[order] == size[head]))
+        same = again[self._equal(order[again], head[again])]
+        home[order[same]] = head[same]
+        return out, home
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pieces a and b, of equal sizes, have the same bytes."""
+        size, out = self.size, np.zeros(len(a), bool)
         for k in range(0, len(a), STEP):
             x, y = a[k:k + STEP], b[k:k + STEP]
             same = _gather(self.raw, self.start[x], size[x]) == _gather(self.raw, self.start[y], size[y])
-            out[x] = np.logical_and.reduceat(same, np.cumsum(size[x]) - size[x])
+            out[k:k + STEP] = np.logical_and.reduceat(same, np.cumsum(size[x]) - size[x])
         return out
 
     def dump(self, index: np.ndarray) -> bytes:
         p = self.take(index)
         head = np.array([len(index)], np.int64).tobytes()
-        body = head + p.count.astype(np.int32).tobytes() + p.doc.astype(np.int64).tobytes() \
-            + p.place.astype(np.int64).tobytes() + _gather(p.raw, p.start, p.size).tobytes()
-        return zstandard.ZstdCompressor(level=3).compress(body)
+        head += p.count.astype(np.int32).tobytes() + p.doc.astype(np.int64).tobytes() + p.place.astype(np.int64).tobytes()
+        size = p.size
+        zip_ = zstandard.ZstdCompressor(level=3).compressobj(size=len(head) + int(size.sum()))
+        out = [zip_.compress(head)]
+        for k in range(0, len(size), STEP):
+            out.append(zip_.compress(_gather(p.raw, p.start[k:k + STEP], size[k:k + STEP]).tobytes()))
+        return b"".join([*out, zip_.flush()])
 
     @staticmethod
     def load(data: bytes, source: int) -> "Pieces":
@@ -396,20 +420,64 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[first, 0], reach[np.concatenate((first[1:] - 1, [len(ranges) - 1]))]], 1)
 
 
+def apart(ranges: np.ndarray) -> np.ndarray:
+    """Maximal ranges, but those of pieces that stand for others each alone."""
+    holds = ranges[:, 0] >= HOLDS
+    return np.concatenate((merged(ranges[~holds]), ranges[holds]))
+
+
+def _each(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, n numbers."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def hang(pieces: Pieces, home: np.ndarray) -> bytes:
+    """Mark the pieces that others of their block stand behind; (place, spans, other place) of these."""
+    other = np.flatnonzero(home != np.arange(len(home)))
+    on = home[other]
+    rows = np.stack([pieces.place[on], pieces.count[on], pieces.place[other]]).astype(np.int64)
+    pieces.place = pieces.place.copy()
+    pieces.place[np.unique(on)] += HOLDS
+    return zstandard.ZstdCompressor(level=3).compress(rows.tobytes())
+
+
+def unhang(ranges: np.ndarray, hung: list[bytes]) -> np.ndarray:
+    """All covered ranges of a block: those that came back, and the same in the pieces behind."""
+    holds = ranges[:, 0] >= HOLDS
+    own = ranges[holds] - HOLDS
+    own = own[np.argsort(own[:, 0], kind="stable")]
+    out = [ranges[~holds], own]
+    for data in hung if len(own) else ():
+        place, count, other = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64).reshape(3, -1)
+        first = np.searchsorted(own[:, 0], place)
+        n = np.searchsorted(own[:, 0], place + count) - first
+        out.append(own[_each(first, n)] + np.repeat(other - place, n)[:, None])
+    return merged(np.concatenate(out))
+
+
 def shard_cover(parts: list[Pieces]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Covered ranges of all pieces of a bucket."""
     whole = Pieces.joined(parts)
-    done = whole.settled()
+    done, home = whole.settle()
     covered = whole.take(np.flatnonzero(done))
     yield covered.source, _ranges(covered)
-    rest = whole.take(np.flatnonzero(~done))
+    # of pieces equal in bytes and document one is sorted, for all of them
+    open_ = np.flatnonzero(~done)
+    open_ = open_[np.argsort(home[open_], kind="stable")]
+    begin = _starts(home[open_])
+    members = np.diff(begin, append=len(open_))
+    rest = whole.take(home[open_[begin]])
+    rest.source = np.arange(len(begin))
     edges = np.flatnonzero(np.diff(np.cumsum(rest.size) // SHARD, prepend=0)) if len(rest.start) else []
     shards = [SortedShard(rest.take(index).compact()) for index in np.split(np.arange(len(rest.start)), edges) if len(index)]
     for i, one in enumerate(shards):
         for other in shards[i + 1:]:
             one.merge(other)
     for one in shards:
-        yield one.covered()
+        which, ranges = one.covered()
+        n = members[which]
+        every = open_[_each(begin[which], n)]
+        yield whole.source[every], np.repeat(ranges - rest.place[which][:, None], n, axis=0) + whole.place[every][:, None]
 
 
 def pack_blocks(docs: DataFrame) -> DataFrame:
@@ -532,23 +600,26 @@ def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             raw, offsets, rest = _open(row)
             found = np.sort(np.concatenate([_unpack(x) for x in row["found"]]))
             pieces, route = block_pieces(raw, offsets, _ids(rest), found)
-            done = pieces.settled()
+            done, home = pieces.settle()
             ranges = merged(_ranges(pieces.take(np.flatnonzero(done))))
-            left = np.flatnonzero(~done)
+            hung = hang(pieces, home)
+            left = np.flatnonzero(~done & (home == np.arange(len(home))))
             bucket = (route[left] >> _U(32)) * _U(buckets) >> _U(32)
             left, bucket = left[np.argsort(bucket, kind="stable")], np.sort(bucket)
             at = _starts(bucket)
             dumps = [pieces.dump(index) for index in np.split(left, at[1:])] if len(left) else []
             yield pa.RecordBatch.from_pydict({
                 "bucket": [*bucket[at].astype(np.int32).tolist(), int(_ids_hash(row["grp"]) % buckets)], "grp": [row["grp"]] * (len(dumps) + 1),
-                "pieces": [*dumps, None], "ranges": [None] * len(dumps) + [ranges.astype(np.int64).tobytes()]},
+                "pieces": [*dumps, None], "ranges": [None] * len(dumps) + [ranges.astype(np.int64).tobytes()],
+                "hung": [None] * len(dumps) + [hung]},
                 schema=PIECES)
 
     back = shared.groupBy("grp").agg(F.collect_list("found").alias("found"))
-    return blocks.join(back, "grp").mapInArrow(run, "bucket int, grp string, pieces binary, ranges binary")
+    return blocks.join(back, "grp").mapInArrow(run, "bucket int, grp string, pieces binary, ranges binary, hung binary")
 
 
-PIECES = pa.schema([("bucket", pa.int32()), ("grp", pa.string()), ("pieces", pa.binary()), ("ranges", pa.binary())])
+PIECES = pa.schema([("bucket", pa.int32()), ("grp", pa.string()), ("pieces", pa.binary()), ("ranges", pa.binary()),
+                    ("hung", pa.binary())])
 
 
 def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -571,20 +642,20 @@ def _settle(pieces: DataFrame, salts: int) -> DataFrame:
             mine = whole.source == k
             left, gone = np.flatnonzero(mine & ~done), np.flatnonzero(mine & done)
             if len(left):
-                out.append((bucket, grp, whole.dump(left), None))
+                out.append((bucket, grp, whole.dump(left), None, None))
             if len(gone):
-                out.append((bucket, grp, None, merged(_ranges(whole.take(gone))).astype(np.int64).tobytes()))
+                out.append((bucket, grp, None, apart(_ranges(whole.take(gone))).astype(np.int64).tobytes(), None))
         return pa.concat_tables([ready, pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), PIECES)], schema=PIECES)])
 
     salt = F.pmod(F.xxhash64("grp"), F.lit(salts))
-    return pieces.groupBy("bucket", salt).applyInArrow(run, "bucket int, grp string, pieces binary, ranges binary")
+    return pieces.groupBy("bucket", salt).applyInArrow(run, "bucket int, grp string, pieces binary, ranges binary, hung binary")
 
 
 def _cover(pieces: DataFrame) -> DataFrame:
     """Ranges covered across blocks, for each block."""
     def run(table: pa.Table) -> pa.Table:
         ready, table = _split(table)
-        ready = ready.select(["grp", "ranges"])
+        ready = ready.select(["grp", "ranges", "hung"])
         if not table.num_rows:
             return ready
         grps = table.column("grp").to_pylist()
@@ -597,12 +668,13 @@ def _cover(pieces: DataFrame) -> DataFrame:
             for part in np.split(order, at[1:]) if len(order) else ():
                 found.setdefault(int(source[part[0]]), []).append(ranges[part])
         own = pa.table({"grp": pa.array([grps[k] for k in found], pa.string()),
-                        "ranges": pa.array([merged(np.concatenate(v)).astype(np.int64).tobytes() for v in found.values()], pa.binary())})
+                        "ranges": pa.array([apart(np.concatenate(v)).astype(np.int64).tobytes() for v in found.values()], pa.binary()),
+                        "hung": pa.nulls(len(found), pa.binary())})
         del parts
         trim()
         return pa.concat_tables([ready, own])
 
-    return pieces.groupBy("bucket").applyInArrow(run, "grp string, ranges binary")
+    return pieces.groupBy("bucket").applyInArrow(run, "grp string, ranges binary, hung binary")
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
@@ -625,7 +697,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     while count > FAN:
         count = -(-count // FAN)
         pieces = _settle(pieces, count)
-    ranges = _cover(pieces).groupBy("grp").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = _cover(pieces).groupBy("grp").agg(F.collect_list("ranges").alias("ranges"), F.collect_list("hung").alias("hung"))
     kept_columns = [c for c in base.columns if c != "text"]
     out = base.select(*kept_columns, F.lit(0).cast("long").alias("n_bytes"),
                       F.lit(None).cast("array<struct<first: long, last: long>>").alias("spans"),
@@ -638,7 +710,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
         for row in _rows(batches):
             raw, offsets, rest = _open(row)
             found = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in row["ranges"] or ()]
-            found = merged(np.concatenate(found)) if found else np.zeros((0, 2), np.int64)
+            found = unhang(np.concatenate(found), row["hung"] or []) if found else np.zeros((0, 2), np.int64)
             # neighbouring documents may both be covered up to their common edge
             first = np.searchsorted(found[:, 1], offsets[:-1], "right")
             last = np.searchsorted(found[:, 0], offsets[1:], "left")
