@@ -436,3 +436,15 @@ def test_files_hold_every_document_in_order(spark, odd_docs, odd_rows, no_docs):
     order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda i: -1 if i is None else i)
     assert idfiles.read(idfiles.write(no_docs, path, P.PATTERN)).count() == 0
+
+
+def test_added_tokens_are_read_as_the_library_reads_them(spark):
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "日本<|endoftext|>語  ", "<|endoftext| >", "one two", ""]
+    rows = idfiles.read(idfiles.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, P.PATTERN)).collect()
+    want = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert want[0] == [505, 220, 50256, 734, 0]
+    rows.sort(key=lambda r: r.doc_id)
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in rows] == want
+    assert [r.start for r in rows] == np.cumsum([0, *map(len, want)])[:-1].tolist()

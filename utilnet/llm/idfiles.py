@@ -244,7 +244,8 @@ def decode(data: bytes) -> np.ndarray:
 class Tokenizer:
     """Whole texts to packed ids: the library encodes every piece that its own pattern splits off.
 
-    Pieces are encoded independently by such a tokenizer, so those met before are remembered.
+    Pieces are encoded independently by such a tokenizer, so those met before are remembered. A
+    text that holds the string of an added token goes to the library whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -253,14 +254,16 @@ class Tokenizer:
 
         from tokenizers import Tokenizer as Library
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.split = regex.compile(rank_pattern(pattern)).findall
         self.latin = re.compile(latin_pattern(pattern)).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [(self.latin if LATIN(t) else self.split)(t) for t in texts]
+        whole = {k: t for k, t in enumerate(texts) if self.added(t)}
+        pieces = [() if k in whole else (self.latin if LATIN(t) else self.split)(t) for k, t in enumerate(texts)]
         if len(self.known) > PIECES:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
@@ -274,6 +277,8 @@ class Tokenizer:
         for p, found in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
             known[p] = array("I", found.ids).tobytes()
         out = [b"".join(map(known.__getitem__, row)) for row in pieces]
+        for k, found in zip(whole, self.library.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
+            out[k] = array("I", found.ids).tobytes()
         for p in missing:
             if len(p) > 60:
                 del known[p]
