@@ -64,6 +64,31 @@ def test_odd_pages(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_only_sheets_of_the_screen_hide_and_later_rules_show():
+    page = "<style{}>{}</style><p class='nav x' id=i>menu</p><table><tr><td>cell</table><div class=box><p class=nav>deep</p></div>"
+    def seen(css, media=""):
+        return html.render(page.format(media, css)).split()
+    every = ["menu", "cell", "deep"]
+    assert seen("@media print { .nav {display:none} table{display:none} }") == every
+    assert seen("@media (max-width: 600px) { .nav {display:none} } @supports (display:grid) { @media all { p{display:none} } }") == every
+    assert seen(".nav{display:none}", " media=print") == every
+    assert seen("/* .nav{display:none} */ p::after{content:'} .nav{display:none}'}") == every
+    assert seen(".nav{display:none} .nav{display:block}") == every and seen("p{display:none} #i{color:red} p{display:inline}") == every
+    assert seen(".nav{display:none} p{display:block}") == ["cell"] and seen("p{display:none} #i{display:block}") == ["menu", "cell"]
+    assert seen("p{display:none!important} #i{display:block}") == ["cell"]
+    assert seen("@media screen{.nav{display:none}} @import 'x'; .box>.nav{display:block}") == ["cell", "deep"]
+    assert seen("div .nav{display:none") == ["menu", "cell"] and seen(".y .nav, table > .nav{display:none}") == every
+    assert html.render("<noscript><style>p{display:none}</style></noscript><p style='display:none;display:block'>a</p>") == "a"
+    assert html.render("<p class=a>x</p><p class=b>y</p><style media='screen, print'>.a{display:none}</style>") == "y"
+
+
+def test_drawings_formulas_and_fallbacks_are_read():
+    assert html.render("<svg><title>t</title><defs/><path d='M0'/><desc>d</desc><g> raw <text>Jan</text><text><tspan x=1>Feb</tspan>"
+                       "<tspan x=2>Mar</tspan></text></g><style>q{}</style></svg><p>after</p>").split() == ["Jan", "Feb", "Mar", "after"]
+    assert html.render("a <math><mfrac><mi>x</mi><mn>2</mn></mfrac><mo>+</mo><mspace/><mi>y</mi></math> b") == "a x 2+y b"
+    assert html.render("<object data=x.swf><p>no player</p></object>") == "no player"
+
+
 def cosine(a, b):
     a, b = a / abs(a).max(), b / abs(b).max()
     return (a @ b) / np.sqrt((a @ a) * (b @ b))

@@ -23,8 +23,12 @@ BLOCKS = SPACED | frozenset(
     "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html "
     "legend li main nav option section summary tbody td tfoot th thead tr search optgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript title iframe object audio video canvas svg math datalist "
-                   "noframes noembed".split())
+UNSEEN = frozenset("script style template noscript title iframe audio video canvas datalist noframes noembed "
+                   "annotation annotation-xml".split())
+#: Drawings show the text of these elements only, and nothing of what they define or describe.
+DRAWN = frozenset({"text", "foreignobject"})
+DEFINED = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+FOREIGN = frozenset({"svg", "math"})
 #: A start tag ends these open elements, up to the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir", "table", "td", "th"}), "dt": ({"dt", "dd"}, {"dl", "table", "td", "th"}),
@@ -36,10 +40,149 @@ ENDS = {
 CELL_SCOPE = frozenset({"td", "th", "table", "caption"})
 TABLE_TAGS = frozenset("table tr td th thead tbody tfoot caption".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NONE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-_SIMPLE = re.compile(r"^(?:[a-z][a-z0-9]*|[.#][\w-]+)$", re.I)
+_STYLED = re.compile(r"<style\b.*?\bnone\b", re.I | re.S)
+_QUOTED = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+_EDGE = re.compile(r"[{};]")
+_COMPOUND = re.compile(r"(?:\*|[a-z][\w-]*)?(?:[.#][\w-]+)*\Z", re.I)
+_PART = re.compile(r"[.#]?[\w-]+|\*")
+
+
+def on_screen(media: str) -> bool:
+    """Whether a media list holds for any screen; what depends on its features does not."""
+    for one in media.lower().split(","):
+        words = one.split()
+        if words[:1] == ["only"]:
+            words = words[1:]
+        if words in ([], ["all"], ["screen"]) or len(words) == 2 and words[0] == "not" and words[1] not in ("all", "screen"):
+            return True
+    return False
+
+
+def display(body: str) -> tuple[bool, bool] | None:
+    """(important, none) of the last display declaration that counts."""
+    found = None
+    for part in body.split(";"):
+        name, _, value = part.partition(":")
+        if name.strip().lower() != "display":
+            continue
+        value, _, mark = value.strip().lower().partition("!")
+        important = mark.strip() == "important"
+        if re.fullmatch(r"[a-z][a-z -]*", value.strip()) and (found is None or important >= found[0]):
+            found = (important, value.strip() == "none")
+    return found
+
+
+class Rules:
+    """Display rules of the sheets that hold on a screen.
+
+    Selectors are tags, classes and ids, joined as descendants and children; rules with other
+    selectors, and those inside conditions other than plain media, do not apply.
+    """
+
+    def __init__(self) -> None:
+        self.steps: dict[str, list[tuple[int, int, frozenset[str], bool]]] = {}
+        self.ends: list[tuple[int, tuple, bool]] = []  # last step, weight, none
+
+    def read(self, css: str) -> None:
+        css = _QUOTED.sub(lambda m: " " if m.group()[0] == "/" else "''", css).replace("<!--", " ").replace("-->", " ")
+        inside, at, selectors, body = ["list"], 0, "", []
+        for m in [*_EDGE.finditer(css), None]:
+            part, edge = (css[at:m.start()], m.group()) if m else (css[at:], "")
+            at = m.end() if m else len(css)
+            if edge == "{":
+                head = part.strip()
+                if inside[-1] != "list":
+                    inside.append("skip")
+                elif head.startswith("@"):
+                    name, _, condition = head[1:].replace("(", " (", 1).partition(" ")
+                    holds = name.lower() == "layer" or name.lower() == "media" and on_screen(condition)
+                    inside.append("list" if holds else "skip")
+                else:
+                    inside.append("rule")
+                    selectors, body = head, []
+                continue
+            if inside[-1] == "rule":
+                body.append(part)
+            if edge != ";":
+                if inside[-1] == "rule":
+                    self._add(selectors, ";".join(body))
+                if len(inside) > 1:
+                    inside.pop()
+
+    def _add(self, selectors: str, body: str) -> None:
+        found = display(body)
+        if found is None:
+            return
+        for selector in selectors.split(","):
+            words = re.sub(r"\s*>\s*", " > ", selector).split()
+            chain, child = [], False
+            for word in words:
+                if word == ">":
+                    child = True
+                elif _COMPOUND.match(word):
+                    chain.append((frozenset(p if p[0] in ".#" else p.lower() for p in _PART.findall(word)), child))
+                    child = False
+                else:
+                    chain = []
+                    break
+            if not chain or child or chain[0][1]:
+                continue
+            parts = [p for names, _ in chain for p in names if p != "*"]
+            weight = (found[0], sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts),
+                      sum(p[0] not in "#." for p in parts), len(self.ends))
+            for k, (names, direct) in enumerate(chain):
+                self.steps.setdefault(min(names), []).append((len(self.ends), k, names, direct))
+            self.ends.append((len(chain) - 1, weight, found[1]))
+
+    def match(self, names: set[str], above: "Element", e: "Element") -> tuple[bool, bool] | None:
+        """(important, none) of the rule that wins for an element; notes how far rules got with it."""
+        best, met = None, set()
+        for name in names:
+            for rule, k, wanted, direct in self.steps.get(name, ()):
+                if wanted <= names and (not k or (rule, k - 1) in (above.met if direct else above.under)):
+                    last, weight, none = self.ends[rule]
+                    if k < last:
+                        met.add((rule, k))
+                    elif best is None or weight > best[0]:
+                        best = (weight, none)
+        e.met = frozenset(met)
+        e.under = above.under | met if met - above.under else above.under
+        return best and (best[0][0], best[1])
+
+
+class Sheets(HTMLParser):
+    """Reads the style elements of a page ahead of its text, since later sheets hold for all of it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rules = Rules()
+        self.css: list[str] | None = None
+        self.inert: dict[str, int] = {"template": 0, "noscript": 0}
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        given = dict(attrs)
+        if tag in self.inert:
+            self.inert[tag] += 1
+        elif tag == "style" and not any(self.inert.values()):
+            kind = (given.get("type") or "text/css").strip().lower()
+            if kind == "text/css" and on_screen(given.get("media") or ""):
+                self.css = []
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.inert:
+            self.inert[tag] = max(0, self.inert[tag] - 1)
+        elif tag == "style":
+            self.finish()
+
+    def handle_data(self, data: str) -> None:
+        if self.css is not None:
+            self.css.append(data)
+
+    def finish(self) -> None:
+        if self.css is not None:
+            self.rules.read("".join(self.css))
+            self.css = None
 
 
 class Flow:
@@ -148,13 +291,14 @@ class Table:
 
 
 class Element:
-    __slots__ = ("tag", "seen", "shown", "pre", "count", "flow", "table", "indent", "span")
+    __slots__ = ("tag", "seen", "shown", "pre", "count", "flow", "table", "indent", "span", "met", "under")
 
     def __init__(self, tag, seen, shown, pre):
         self.tag, self.seen, self.shown, self.pre = tag, seen, shown, pre
         self.count = 0
         self.flow = self.table = self.indent = None
         self.span = (1, 1)
+        self.met = self.under = frozenset()
 
 
 def _number(value: str | None, default: int, most: int = 1000) -> int:
@@ -162,11 +306,11 @@ def _number(value: str | None, default: int, most: int = 1000) -> int:
 
 
 class Renderer(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, rules: Rules) -> None:
         super().__init__(convert_charrefs=True)
         self.flow = Flow()
         self.open = [Element("", True, True, False)]
-        self.rules: set[str] = set()
+        self.rules = rules
         self.opened: dict[str, int] = {}
 
     # tree building
@@ -207,21 +351,32 @@ class Renderer(HTMLParser):
     def _start(self, tag: str, given: dict[str, str | None]) -> None:
         above = self.open[-1]
         style = given.get("style") or ""
-        names = {tag, *("." + c for c in (given.get("class") or "").split())}
+        names = {"*", tag, *("." + c for c in (given.get("class") or "").split())}
         if given.get("id"):
             names.add("#" + given["id"])
-        hidden = (tag in UNSEEN or "hidden" in given or bool(_NONE.search(style)) or bool(names & self.rules)
-                  or (tag == "dialog" and "open" not in given) or (above.tag == "details!" and tag != "summary"))
-        shown = above.shown
+        drawn = bool(self.opened.get("svg")) and tag != "svg"
+        e = Element("details!" if tag == "details" and "open" not in given else tag, above.seen, above.shown,
+                    above.pre or tag in ("pre", "textarea", "listing"))
+        ruled = self.rules.match(names, above, e) if self.rules.ends else None
+        own = display(style) if style else None
+        if own is None or ruled and ruled[0] > own[0]:
+            own = ruled
+        if own is None:  # what the page says itself comes before the defaults
+            own = (False, "hidden" in given or (tag == "dialog" and "open" not in given)
+                   or ((drawn or tag == "svg") and given.get("display") == "none"))
+        hidden = tag in UNSEEN or own[1] or (drawn and tag in DEFINED) or (above.tag == "details!" and tag != "summary")
+        e.seen = above.seen and not hidden
         found = _VISIBILITY.search(style)
         if found:
-            shown = found.group(1).lower() == "visible"
-        e = Element("details!" if tag == "details" and "open" not in given else tag, above.seen and not hidden, shown,
-                    above.pre or tag in ("pre", "textarea", "listing"))
+            e.shown = found.group(1).lower() == "visible"
         self.open.append(e)
         self.opened[e.tag] = self.opened.get(e.tag, 0) + 1
         if not e.seen:
             return
+        if drawn and (tag == "text" or tag == "tspan" and ("x" in given or "y" in given)):
+            self.flow.end_line()
+        elif above.tag in ("mfrac", "mtr", "mtable"):
+            self.flow.space = True
         if tag in BLOCKS and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
             nested = tag in ("ul", "ol", "menu") and self._has({"li"}, {"table"})
             self.flow.block(tag in SPACED and not nested)
@@ -247,7 +402,11 @@ class Renderer(HTMLParser):
             e.span = (_number(given.get("colspan"), 1), _number(given.get("rowspan"), 1))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes nothing but void elements
+        self.handle_starttag(tag, attrs)
+        # a slash closes nothing but void elements, and elements of drawings and formulas
+        k = self._has(FOREIGN | {"foreignobject"}, ())
+        if k and self.open[-1].tag == tag and (self.open[k].tag in FOREIGN or k == len(self.open) - 1):
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -271,6 +430,8 @@ class Renderer(HTMLParser):
         if not e.seen:
             return
         tag = e.tag.rstrip("!")
+        if tag == "text" and self.opened.get("svg"):
+            self.flow.end_line()
         if e.flow is not None:
             lines, self.flow = self.flow.done(), e.flow
             if tag == "caption":
@@ -305,23 +466,31 @@ class Renderer(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         e = self.open[-1]
-        if e.tag == "style":
-            for selectors, body in _RULE.findall(data):
-                if _NONE.search(body):
-                    self.rules.update(s.strip() for s in selectors.split(",") if _SIMPLE.match(s.strip()))
         if not e.seen or not e.shown or e.tag == "details!":
             return
         if e.tag in ("table", "tr", "tbody", "thead", "tfoot"):  # text outside cells stands before the table
             if not data.strip():
                 return
+        if self.opened.get("svg") and self.open[self._has(DRAWN | {"svg"}, ())].tag == "svg":
+            return
         self.flow.text(data, e.pre)
 
 
+def rules_of(page: str) -> Rules:
+    """The display rules of a page's own sheets."""
+    sheets = Sheets()
+    if _STYLED.search(page):
+        sheets.feed(page)
+        sheets.close()
+        sheets.finish()
+    return sheets.rules
+
+
 def render(page: str | None) -> str:
     """All visible text of a page, laid out. Null and empty pages have none."""
     if not page:
         return ""
-    r = Renderer()
+    r = Renderer(rules_of(page))
     r.feed(page)
     r.close()
     r._close(1)
