@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utilnet.llm import bpe, centroids, decontaminate, html, idfiles, langid, sharding, simhash, suffixes, toxicity, vectors
+from utilnet.llm import bpe, centroids, decontaminate, graphs, html, idfiles, langid, sharding, simhash, suffixes, toxicity, vectors
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,12 @@ def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@_query
+def op11_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return graphs.nearest(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
 @_query
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster(table(spark, folder, "embeddings")))
