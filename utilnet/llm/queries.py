@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utilnet.llm import bpe, centroids, decontaminate, graphs, html, idfiles, langid, sharding, simhash, suffixes, toxicity, vectors
+from utilnet.llm import bpe, centroids, decontaminate, graphs, html, idfiles, langid, prefixes, sharding, simhash, suffixes, toxicity, vectors
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +99,11 @@ def op11_graphs(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.nearest(rows, rows.filter("vec_id % 50 = 0"), 5)
 
 
+@_query
+def op12_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(*prefixes.shared_starts(prefixes.paths(table(spark, folder, "conversations"))))
+
+
 @_query
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster(table(spark, folder, "embeddings")))
