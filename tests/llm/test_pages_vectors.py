@@ -1,6 +1,7 @@
 """HTML text, embeddings, and the pipeline as a whole."""
 
 import collections
+import itertools
 
 import numpy as np
 from pyspark.sql import types as T
@@ -138,6 +139,34 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_duplicates(nobody).filter("component_id IS NULL AND kept").count() == 30
 
 
+def test_vectors_at_cell_and_budget_edges(spark, monkeypatch):
+    """Pairs whose gap on an axis is just within or just over a subspace's budget, beside the edges of its cells."""
+    rng = np.random.default_rng(11)
+    dim, blocks = 16, vectors.BLOCKS
+    budget = (2 - 2 * vectors.THRESHOLD) / blocks
+    sides = [2 * np.sqrt(budget), 2 * (np.sqrt(budget) + 1e-5), 2 * (np.sqrt(budget + vectors.SLACK) + vectors.ROUNDING)]
+    rows = []
+    extra = (-1e-5, 0, 2e-6, 6e-6, 9.9e-6, 1.2e-5)
+    beside = (-2e-5, -5e-6, -1e-9, 1e-9, 5e-6, 2e-5)
+    for axis, side, more, off, up in itertools.product((0, 1, blocks), sides, extra, beside, (True, False)):
+        gap = np.sqrt(budget + more)
+        edge = side * rng.integers(-1, 2) + off
+        low, high = (edge, edge + gap) if up else (edge - gap, edge)
+        rest = rng.normal(size=dim)
+        rest[axis] = 0
+        for value in (low, high):
+            v = rest / np.linalg.norm(rest) * np.sqrt(1 - value * value)
+            v[axis] = value
+            rows.append((len(rows), v.tolist()))
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= vectors.THRESHOLD).sum(axis=1) - 1
+    monkeypatch.setattr(vectors, "_axes", lambda found, size: (np.zeros(size), np.eye(size)))
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r.n_links for r in sorted(got, key=lambda r: r.vec_id)] == links.tolist()
+    assert links.sum() >= len(rows)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
     words = "der die das und nicht ein eine mit von zu".split(), "the and of to in is that for with was".split()
