@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +24,15 @@ _REPORT = ("territory long, policy string, elapsedMs long, search struct<status:
            "calculated_cost:double,new_network_length:double,score:double,rank:int,rating:double>>")
 
 
+# Names of the summary's facts in exported files.
+SUMMARY_FACTS = [
+    ("connected", "connected_connection_count", "long"), ("ties", "existing_chamber_tie_in_count", "long"),
+    ("tie_cost", "existing_chamber_tie_in_cost", "double"), ("chamber_cost", "chamber_construction_cost", "double"),
+    ("new_length", "new_network_length", "double"), ("construction_cost", "construction_cost", "double"),
+    ("penalty", "unconnected_penalty", "double"), ("calculated_cost", "calculated_cost", "double"), ("score", "score", "double"),
+]
+
+
 def parse_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, rejects) of layout documents (dataset_id, network_id, nodes, edges arrays)."""
     keys = ["dataset_id", "network_id"]
@@ -219,6 +228,44 @@ def export_features(nodes: DataFrame, edges: DataFrame, sections: DataFrame, cha
     return pipes.unionByName(breaks).unionByName(cams).unionByName(total)
 
 
+def typed_id(value: Column, whole: Column) -> Column:
+    """One text for ids that are texts or whole numbers: 5 is ``#5``, and no text looks like it."""
+    return F.when(whole, F.concat(F.lit("#"), value)).when(value.startswith("#"), F.concat(F.lit("#"), value)).otherwise(value)
+
+
+def read_export(lines: DataFrame) -> DataFrame:
+    """Exported GeoJSON features (dataset_id, value) as objects, nothing of them taken on trust.
+
+    Ids are ``typed_id`` texts. ``path`` holds the vertices in degrees (one for a point), ``summary``
+    the facts of a variant summary. What is missing or of another type is NULL; text that is no JSON
+    has nothing but NULLs beside its dataset_id.
+    """
+    p = F.col("_p")
+
+    def sub(name: str, kind: str) -> Column:
+        return F.try_variant_get(p, f"$.{name}", kind)
+
+    def any_id(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
+        return F.when(whole | (kind == "STRING"), typed_id(F.try_variant_get(v, "$", "string"), whole))
+
+    rows = lines.withColumn("_v", F.try_parse_json("value")).withColumn("_p", F.try_variant_get("_v", "$.properties", "variant"))
+    kind = F.try_variant_get("_v", "$.geometry.type", "string")
+    body = F.to_json(F.try_variant_get("_v", "$.geometry.coordinates", "variant"))
+    vertices = F.when(kind == "Point", F.array(F.from_json(body, "array<double>"))).when(
+        kind == "LineString", F.from_json(body, "array<array<double>>"))
+    path = F.transform(vertices, lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y")))
+    facts = F.struct(*[sub(n, t).alias(c) for c, n, t in SUMMARY_FACTS],
+                     F.transform(sub("unconnected_oks_ids", "array<variant>"), any_id).alias("unconnected"))
+    return rows.select(
+        "dataset_id", sub("variant_id", "string").alias("variant_id"), any_id(sub("id", "variant")).alias("id"),
+        sub("object_type", "string").alias("object_type"), any_id(sub("start_node_id", "variant")).alias("start_id"),
+        any_id(sub("end_node_id", "variant")).alias("end_id"), sub("flow_tph", "double").alias("flow"), sub("diameter", "int").alias("dn"),
+        sub("length", "double").alias("length"), sub("laying_method", "string").alias("method"), sub("cost", "double").alias("cost"),
+        path.alias("path"), F.when(sub("object_type", "string") == "variant_summary", facts).alias("summary"))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Candidate label lines with the file they came from."""
     return spark.read.schema(_CANDIDATE).json(path).withColumn("file", F.input_file_name())
