@@ -193,7 +193,8 @@ def network_summary(nodes: DataFrame, edges: DataFrame, sections: DataFrame, dem
     """One row per network: costs, lengths, scores.
 
     ``recon`` (keys, recon_cost, recon_length, chamber_recon_cost) and ``penalties`` (keys,
-    facade_metres, wall_metres) count in the engineering profiles only. The contest profile uses
+    facade_metres, wall_metres) count in the engineering profiles only; a NULL in them leaves the
+    network without an engineering cost and score. The contest profile uses
     new length alone and has no turn, facade or wall terms.
     """
     keys = list(keys)
@@ -211,8 +212,9 @@ def network_summary(nodes: DataFrame, edges: DataFrame, sections: DataFrame, dem
     for extra, columns in ((recon, ["recon_cost", "recon_length", "chamber_recon_cost"]),
                            (penalties, ["facade_metres", "wall_metres"])):
         if extra is not None:
-            out = out.join(extra.select(*keys, *columns), keys, "left")
-            zero += columns
+            # Zero where there is nothing to do; a NULL that comes with a row stays, and leaves no score.
+            out = out.join(extra.select(*keys, *columns, F.lit(True).alias("_row")), keys, "left").withColumns(
+                {c: F.when(F.col("_row"), F.col(c)).otherwise(0.0) for c in columns}).drop("_row")
         else:
             out = out.withColumns({c: F.lit(0.0) for c in columns})
     out = out.fillna(0.0, [c for c in zero if c in out.columns]).withColumn(
@@ -257,12 +259,14 @@ def cost_lower_bound(nodes: DataFrame, edges: DataFrame, objective: str = "balan
     """
     keys = list(keys)
     pipes = edges.groupBy(*keys).agg(
-        F.sum(F.col("length") * rules.price_new(rules.dn_index(F.col("dn")))).alias("_pipes"),
+        _whole_sum(F.col("length") * rules.price_new(rules.dn_index(F.col("dn")))).alias("_pipes"),
         F.sum("length").alias("_length"),
         F.sum(F.col("length") * (rules.pipe_width(F.col("dn")) + 1.0)).alias("_area"))
-    chambers = new_chambers(nodes, edges, keys=keys).groupBy(*keys).agg(F.sum("cost").alias("_cam"))
+    chambers = new_chambers(nodes, edges, keys=keys).groupBy(*keys).agg(
+        _whole_sum(F.col("cost")).alias("_cam"), F.lit(True).alias("_any"))
     ties = tie_cost(nodes, edges, keys)
-    out = pipes.join(chambers, keys, "left").join(ties, keys, "left").fillna(0.0, ["_cam", "tie_cost"])
+    out = pipes.join(chambers, keys, "left").join(ties, keys, "left").fillna(0.0, ["tie_cost"]).withColumn(
+        "_cam", F.when(F.col("_any"), F.col("_cam")).otherwise(0.0))
     balanced = rules.score(F.col("_pipes") + F.col("_cam") + F.col("tie_cost"), F.col("_length"))
     bound = balanced
     if objective == "earthworks":

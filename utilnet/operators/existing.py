@@ -246,8 +246,9 @@ def reconstruction(objects: DataFrame, ties: DataFrame, keys: Sequence[str] = KE
     the pipe's first vertex is the end nearer to its upstream object). ``ties``: keys, root_id,
     existing_id, at (measure on the pipe; NULL on a chamber), flow. A pipe carries in full what is
     tied in below it, which is a subtree total; what is tied to the pipe itself covers the stretch
-    from the tie to the upstream end. A piece that no diameter can carry has a code and no size or
-    cost. Prefix sums over the stretch ends give the added flow.
+    from the tie to the upstream end. A piece that no diameter can carry (CAPACITY_EXCEEDED) or whose
+    old flow is not known (UNKNOWN_FLOW) has a code and no size or cost. Prefix sums over the stretch
+    ends give the added flow.
     """
     keys = list(keys)
     tied = ties.groupBy(*keys, F.col("existing_id").alias("object_id")).agg(
@@ -279,24 +280,47 @@ def reconstruction(objects: DataFrame, ties: DataFrame, keys: Sequence[str] = KE
     return (swept.filter("at - s_from > 1e-7 AND added > 1e-7")
             .join(pipes.select(*keys, "object_id", "dn", F.col("flow").alias("old_flow")),
                   keys + ["object_id"])
-            .withColumn("required_dn", rules.diameter(F.col("old_flow") + F.col("added")))
+            .withColumn("_idx", rules.flow_index(F.col("old_flow") + F.col("added")))
+            .withColumn("required_dn", rules.dn_of(F.col("_idx")))
             .filter("required_dn > dn OR required_dn IS NULL")
             .select(*keys, "object_id", "s_from", F.col("at").alias("s_to"), "added", "required_dn",
                     ((F.col("at") - F.col("s_from"))
                      * rules.price_recon(rules.dn_index(F.col("required_dn")))).alias("cost"),
-                    F.when(F.col("required_dn").isNull(), "CAPACITY_EXCEEDED").alias("code")))
+                    F.when(F.col("_idx").isNull(), "UNKNOWN_FLOW").when(F.col("_idx") == rules.OVERSIZE, "CAPACITY_EXCEEDED").alias("code")))
+
+
+def reconstruction_totals(pieces: DataFrame, chambers: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Cost and length of reconstruction per network: keys, recon_cost, recon_length, chamber_recon_cost.
+
+    A piece or chamber without a cost leaves its network without one: it can't be priced as if nothing
+    had to be done there. A network without pieces has no row.
+    """
+    keys = list(keys)
+
+    def whole(column: str):
+        return F.when(F.bool_and(F.col(column).isNotNull()), F.sum(column))
+
+    out = pieces.groupBy(*keys).agg(whole("cost").alias("recon_cost"), F.sum(F.col("s_to") - F.col("s_from")).alias("recon_length"))
+    if chambers is None:
+        return out.withColumn("chamber_recon_cost", F.lit(0.0))
+    grown = chambers.groupBy(*keys).agg(whole("cost").alias("chamber_recon_cost"), F.lit(True).alias("_any"))
+    return out.join(grown, keys, "full").select(
+        *keys, F.when(F.col("recon_length").isNull(), 0.0).otherwise(F.col("recon_cost")).alias("recon_cost"),
+        F.coalesce("recon_length", F.lit(0.0)).alias("recon_length"),
+        F.when(F.col("_any"), F.col("chamber_recon_cost")).otherwise(0.0).alias("chamber_recon_cost"))
 
 
 def chamber_reconstruction(chambers: DataFrame, branch_dn: DataFrame, touching: DataFrame,
                            keys: Sequence[str] = KEYS) -> DataFrame:
     """Old chambers that grow: the widest of their own, the new branches, the pieces that touch.
 
-    ``branch_dn`` and ``touching``: keys, object_id, dn.
+    ``branch_dn`` and ``touching``: keys, object_id, dn. Beside a branch or piece without a size a
+    chamber has no size and no cost either.
     """
     keys = list(keys)
     offers = branch_dn.select(*keys, "object_id", F.col("dn").alias("_dn")).unionByName(
         touching.select(*keys, "object_id", F.col("dn").alias("_dn")))
-    need = offers.groupBy(*keys, "object_id").agg(F.max("_dn").alias("required_dn"))
-    return chambers.join(need, keys + ["object_id"]).filter("required_dn > dn").select(
+    need = offers.groupBy(*keys, "object_id").agg(F.when(F.bool_and(F.col("_dn").isNotNull()), F.max("_dn")).alias("required_dn"))
+    return chambers.join(need, keys + ["object_id"]).filter("required_dn > dn OR required_dn IS NULL").select(
         *keys, "object_id", "required_dn",
-        rules.chamber_price(F.col("required_dn")).alias("cost"))
+        F.when(F.col("required_dn").isNotNull(), rules.chamber_price(F.col("required_dn"))).alias("cost"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from utilnet.functions import geo, rules
-from utilnet.operators import evaluate, graph, ordering
+from utilnet.operators import evaluate, existing, graph, ordering, passages
 from utilnet.plans import bridge
 from utilnet.plans.bridge import sql
+from utilnet.plans.existing_queries import _REC, _ties, _tree_objects
 from utilnet.plans.graph_queries import CHAINS, LARGE, LARGE_CHAINS, large_nodes
 from utilnet.plans.passage_queries import KINK, SECT, fx_passages, kinked
 from utilnet.plans.registry import query
+from utilnet.session import cut
 
 NET_SQL = {
     "net": """SELECT *, CASE WHEN node_id = 0 THEN CASE WHEN dataset_id % 2 = 0 THEN 'heat_network'
@@ -238,3 +240,63 @@ def turn_statistics(spark, d):
     segs = geo.explode_segments(e.select("dataset_id", "edge_id", "path"))
     return evaluate.turn_stats(evaluate.turns(segs, bridge.edges(spark, d))).select(
         "dataset_id", "bends", "connection_turns", "turn_metres")
+
+
+# ---- all profiles and objectives over real passages, reconstruction and penalties ----
+RUNS = [("contest", "balanced"), ("appendix", "balanced"), ("appendix", "earthworks"), ("protocol", "balanced"), ("protocol", "installation")]
+HUGE = 30000.0  # t/h, beyond the widest pipe
+
+_PROFILES = {
+    **SECT, **_FLOWNET, **_REC,
+    # In every eleventh map an old pipe has to carry more than any diameter, in another its flow is not known.
+    "sp": _REC["sp"].replace(
+        "sum(demand) AS f", f"sum(CASE WHEN a.dataset_id % 11 = 3 AND a.node_id = 13 THEN {HUGE} ELSE demand END) AS f").replace(
+        "demand FROM fx_nodes WHERE demand > 0", f"CASE WHEN dataset_id % 11 = 3 AND node_id = 13 THEN {HUGE} ELSE demand END FROM fx_nodes WHERE demand > 0"),
+    "pc3": """SELECT sp.*, CASE WHEN n.dataset_id % 11 = 5 AND object_id = 2 THEN NULL ELSE src % 5 + f END AS fl
+      FROM sp JOIN fx_nodes n ON n.dataset_id = sp.dataset_id AND n.node_id = sp.object_id""",
+    "ix": f"SELECT *, CASE WHEN fl IS NOT NULL THEN len(list_filter({rules.CAPACITY}, lambda c: fl > c + 1e-9)) END AS i FROM pc3",
+    "rec": f"""SELECT dataset_id, CASE WHEN bool_and(i IS NOT NULL AND i < 18) THEN sum((b - a) * ({rules.PRICE_RECON})[i + 1]) END AS recon, sum(b - a) AS rlen
+      FROM ix WHERE i > 0 OR i IS NULL GROUP BY 1""",
+    "pcs": f"""SELECT dataset_id, sum((t - f) * factor * ({rules.PRICE_NEW})[i + 1]) AS pipes, sum(t - f) AS len,
+      sum((t - f) * (1 + 2 * ({rules.HEIGHT})[i + 1] + CASE WHEN dn <= 150 THEN 0.15 ELSE 0.25 END) * 3 * (1 + 3 * greatest(0, factor - 1))) AS earth
+      FROM sec JOIN sized USING (dataset_id, edge_id) GROUP BY 1""",
+    "trn": f"""SELECT dataset_id, sum({_TP}) AS metres FROM (SELECT c.dataset_id,
+      acos(least(1, abs(cos(atan2(c.y1 - c.y0, c.x1 - c.x0) - atan2(q.y1 - q.y0, q.x1 - q.x0))))) AS a
+      FROM fx_edges c JOIN fx_edges q ON q.dataset_id = c.dataset_id AND q.edge_id = c.start_id) GROUP BY 1""",
+    "pnl": "SELECT dataset_id, sum(node_id % 3)::DOUBLE AS facade, sum(node_id % 2)::DOUBLE AS wall FROM fx_nodes GROUP BY 1",
+    "ms": """SELECT dataset_id, sum(CASE WHEN missing THEN 100e6 + 500000 * flow ELSE 0 END) AS pen FROM dem GROUP BY 1""",
+    "ties2": """SELECT e.dataset_id, sum(CASE WHEN existing_type = 'heat_chamber' THEN 5e6 ELSE 0 END) AS ties, count(*) * 5e6 AS eties
+      FROM fx_edges e JOIN net n ON n.dataset_id = e.dataset_id AND n.node_id = e.start_id AND n.node_type = 'tie' GROUP BY 1""",
+    "parts": """SELECT dataset_id, pipes, len, earth, coalesce(cam, 0) AS cam, coalesce(ties, 0) AS ties, coalesce(eties, 0) AS eties, coalesce(pen, 0) AS pen,
+      CASE WHEN rlen IS NULL THEN 0 ELSE recon END AS recon, coalesce(rlen, 0) AS rlen, coalesce(metres, 0) AS metres, facade, wall
+      FROM pcs LEFT JOIN cm USING (dataset_id) LEFT JOIN ties2 USING (dataset_id) LEFT JOIN ms USING (dataset_id)
+      LEFT JOIN rec USING (dataset_id) LEFT JOIN trn USING (dataset_id) LEFT JOIN pnl USING (dataset_id)""",
+    "bal": """SELECT p.*, profile, objective, pipes + cam + eties + recon AS engineering_cost,
+      CASE WHEN profile = 'contest' THEN 0.7 * (pipes + cam + ties + pen) / 25e6 + 0.3 * len / 100 ELSE
+      wc * (pipes + cam + eties + recon + pen) / 25e6 + wl * (len + rlen + facade + wall + metres) / 100 END AS b
+      FROM parts p, (VALUES ('contest', 'balanced', 0.7, 0.3), ('appendix', 'balanced', 0.7, 0.3), ('appendix', 'earthworks', 0.7, 0.3),
+      ('protocol', 'balanced', 0.3, 0.7), ('protocol', 'installation', 0.3, 0.7)) r(profile, objective, wc, wl)""",
+}
+
+
+@query("profile_scores", sql("""SELECT dataset_id, profile, objective, round(engineering_cost, 0) AS engineering_cost, round(CASE objective
+  WHEN 'earthworks' THEN earth / 400 + 0.08 * b WHEN 'installation' THEN metres / 70 + 0.08 * b ELSE b END, 3) AS score FROM bal""",
+                             "fx_flows", "fx_areas", "fx_ulines", extra=_PROFILES))
+def profile_scores(spark, d):
+    """Every network under each profile and objective; no engineering score where an old pipe can't be sized."""
+    objects = _tree_objects(spark, d).withColumn("flow", F.when(~((F.col("dataset_id") % 11 == 5) & (F.col("object_id") == 2)), F.col("flow")))
+    ties = _ties(spark, d).withColumn("flow", F.when((F.col("dataset_id") % 11 == 3) & (F.col("existing_id") == 13), HUGE).otherwise(F.col("flow")))
+    recon = cut(existing.reconstruction_totals(existing.reconstruction(objects, ties)))
+    n = net(spark, d)
+    metres = n.groupBy("dataset_id").agg(F.sum(F.col("node_id") % 3).cast("double").alias("facade_metres"),
+                                         F.sum(F.col("node_id") % 2).cast("double").alias("wall_metres"))
+    e = cut(graph.flows(n, bridge.with_path(bridge.edges(spark, d))))
+    pieces = cut(passages.sections(bridge.edges(spark, d), fx_passages(spark, d)))
+    segments = cut(geo.explode_segments(e.select("dataset_id", "edge_id", "path")))
+    out = None
+    for profile, objective in RUNS:
+        one = evaluate.network_summary(n, e, pieces, demands(spark, d), segments, recon, metres, profile, objective).select(
+            "dataset_id", F.lit(profile).alias("profile"), F.lit(objective).alias("objective"),
+            F.round("engineering_cost", 0).alias("engineering_cost"), F.round("score_raw", 3).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
