@@ -10,6 +10,7 @@ recurses, so depth is bounded by memory alone.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -246,21 +247,30 @@ class Flow:
 class Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[tuple[int, int], bool] = {}
+        self.hanging: list[tuple[int, int, int]] = []  # first row below, first and next column of cells that reach down
+        self.taken: list[tuple[int, int]] = []  # columns of this row that cells above fill, merged
 
     def row(self) -> None:
         self.rows.append([])
+        y = len(self.rows) - 1
+        self.hanging = [h for h in self.hanging if h[0] > y]
+        self.taken = []
+        for _, begin, end in sorted(self.hanging, key=lambda h: h[1]):
+            if self.taken and begin <= self.taken[-1][1]:
+                self.taken[-1] = (self.taken[-1][0], max(end, self.taken[-1][1]))
+            else:
+                self.taken.append((begin, end))
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
             self.row()
-        y, cells = len(self.rows) - 1, self.rows[-1]
+        cells = self.rows[-1]
         x = cells[-1][0] + cells[-1][1] if cells else 0
-        while (y, x) in self.taken:
-            x += 1
-        for dy in range(1, down):
-            for dx in range(across):
-                self.taken[y + dy, x + dx] = True
+        k = bisect.bisect_right(self.taken, x, key=lambda t: t[0]) - 1
+        if k >= 0 and x < self.taken[k][1]:
+            x = self.taken[k][1]
+        if down > 1:
+            self.hanging.append((len(self.rows) - 1 + down, x, x + across))
         cells.append((x, across, lines))
 
     def lines(self) -> list[str]:
@@ -272,11 +282,13 @@ class Table:
         for cells in self.rows:
             for x, across, lines in cells:
                 if across > 1:  # a wide cell stretches its last column
-                    have = sum(width.get(x + k, 0) for k in range(across)) + 2 * (across - 1)
+                    have = sum(w for c, w in width.items() if x <= c < x + across) if len(width) < across else sum(
+                        width.get(x + k, 0) for k in range(across))
+                    have += 2 * (across - 1)
                     last = x + across - 1
                     width[last] = width.get(last, 0) + max(0, max((len(line) for line in lines), default=0) - have)
-        begin, at = {}, 0
-        for x in range(max(width, default=-1) + 1):
+        begin, at, most = {}, 0, max(width, default=-1)
+        for x in sorted({*width, *(x for cells in self.rows for x, _, _ in cells if x <= most)}):
             begin[x] = at
             at += width.get(x, 0) + 2 if width.get(x, 0) else 0
         out = []
@@ -302,7 +314,10 @@ class Element:
 
 
 def _number(value: str | None, default: int, most: int = 1000) -> int:
-    return min(most, int(value)) if value and value.isdecimal() and int(value[:9]) else default
+    digits = value.lstrip("0") if value and value.isdecimal() else ""
+    if len(digits) > 9:
+        return most
+    return min(most, int(digits)) or default if digits else default
 
 
 class Renderer(HTMLParser):
