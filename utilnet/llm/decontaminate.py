@@ -15,6 +15,7 @@ items is handled the same way.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 
 import numpy as np
@@ -34,6 +35,7 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # of texts in lower case
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = True
 _WORD[128:] = True
@@ -150,6 +152,15 @@ class Items:
                 self.short[size] = (first[order], h[order])
 
 
+def distinct_items(ids: list[str], texts: list[bytes]) -> tuple[list[list[str]], list[bytes]]:
+    """Items of the same words as one: (ids of each, its words joined by spaces); those without words have no window."""
+    groups: dict[bytes, list[str]] = {}
+    for name, text in zip(ids, texts):
+        groups.setdefault(b" ".join(_WORDS.findall(text.lower())), []).append(name)
+    groups.pop(b"", None)
+    return list(groups.values()), list(groups)
+
+
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every (row, index) with lo <= index < hi."""
     size = hi - lo
@@ -244,7 +255,7 @@ def _pass(docs: DataFrame, ids: list[str], texts: list[bytes], window: int, gram
 
     def run(batches):
         release()
-        ids, texts = held.value
+        ids, texts = distinct_items(*held.value)
         items = Items(texts, window, gram)
         for batch in bounded(batches, "text", TEXT_BLOCK):
             raw, offsets = text_views(batch.column("text"))
@@ -262,7 +273,7 @@ def _pass(docs: DataFrame, ids: list[str], texts: list[bytes], window: int, gram
                 f = np.concatenate((before[:, 0], f))
                 s = np.concatenate((before[:, 1] - before[:, 0], s))
                 old_hits[r] = _merge_hits(f, s).tobytes()
-                old_items[r] = sorted({*(old_items[r] or []), *(ids[k] for k in np.unique(item[a:b]).tolist())})
+                old_items[r] = sorted({*(old_items[r] or []), *(name for k in np.unique(item[a:b]).tolist() for name in ids[k])})
             columns = {n: batch.column(n) for n in names}
             columns["n_words"] = pa.array(np.diff(doc.bounds), pa.int64())
             columns["hits"] = pa.array(old_hits, pa.binary())
