@@ -29,9 +29,9 @@ SAMPLE = 20_000  # labelled rows that are learnt from
 CANDIDATES = 5_000  # patterns looked at, best first
 SHORTEST, LONGEST = 3, 10  # letters of a word's beginning
 END = "$"  # marks a whole word
-CLAUSE = 400  # characters around a match that its clause may span
 _WORD = re.compile(r"[^\W\d_]+")
-_BREAK = re.compile(r"[.!?;:\n]")
+_BREAKS = ".!?;:\n"
+_BREAK = re.compile(f"[{_BREAKS}]")
 
 #: Fixed word lists of the grammar.
 INSULTS = "idiot moron scum loser worthless pathetic stupid trash disgusting".split()
@@ -120,24 +120,37 @@ class Scorer:
             at = end - size + 1
             if at < done or (at and text[at - 1].isalpha()):
                 continue
-            low = max(0, at - CLAUSE)
-            breaks = [m.end() for m in _BREAK.finditer(text, low, at)]
-            begin = max(breaks[-1] if breaks else low, max(done, 0))
-            stop = _BREAK.search(text, at, at + CLAUSE)
-            done = stop.start() if stop else min(len(text), at + CLAUSE)
+            # From break to break, however far they are: what lies before has been looked at once.
+            low = max(done, 0)
+            begin = max(low, *(text.rfind(b, low, at) + 1 for b in _BREAKS))
+            stop = _BREAK.search(text, at)
+            done = stop.start() if stop else len(text)
             yield begin, done
 
+    def read(self, text: str, begin: int, end: int) -> tuple[float, int, tuple]:
+        """(weight of the insults, their number, what the grammar finds) of one clause, word by word."""
+        found = [0.0, 0]
+
+        def classes() -> Iterator[str]:
+            for m in _WORD.finditer(text, begin, end):
+                c, x = self.lexicon.of(m[0])
+                if c == "insult":
+                    found[0] += x
+                    found[1] += 1
+                yield c
+
+        facts = self.grammar.read(classes())
+        return found[0], found[1], facts
+
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
         total = plain = aimed = denied = told = threats = 0.0
         hits = 0
         for begin, end in self.clauses(text):
-            classes = [self.lexicon.of(w) for w in _WORD.findall(text, begin, end)]
-            weight = sum(x for c, x in classes if c == "insult")
-            insult, threat, target, negation, report = self.grammar.read(c for c, _ in classes)
+            weight, insults, (insult, threat, target, negation, report) = self.read(text, begin, end)
             if not insult and not threat:
                 continue
-            hits += sum(c == "insult" for c, _ in classes)
+            hits += insults
             total += weight
             threats += threat
             aimed += weight * target
