@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from utilnet.functions import rules
 from utilnet.operators.kernels import components, running
+from utilnet.operators.passages import sections as cut_sections
 from utilnet.session import cut
 
 KEYS = ("dataset_id",)
@@ -266,3 +267,96 @@ def audit_depth(sections: DataFrame, min_depth: float = rules.MIN_DEPTH, max_dep
     torn = ends.groupBy(*keys, "node_id").agg((F.max("h") - F.min("h")).alias("spread")).filter("spread > 1e-7").select(
         *keys, F.col("node_id").cast("string").alias("object_id"), F.lit("NODE_DEPTH").alias("code"))
     return single.unionByName(torn)
+
+
+def audit_profiles(pieces: DataFrame, nodes: DataFrame, found: DataFrame, profile: str = "appendix",
+                   keys: Sequence[str] = KEYS) -> DataFrame:
+    """Stored profiles against the map, without planning: keys, object_id, code.
+
+    ``pieces``: keys, edge_id, piece_id, start_id, end_id, s_from, s_to, h0, h1, dn, length, cost and path with
+    (x, y, z); ``nodes``: keys, node_id, z; ``found``: passages with their cores and factors. The profile is sampled
+    where passages begin, end and have their middle and where pieces meet inside them: it has to be level there and
+    to keep the vertical gap. Every vertex has to lie on its piece's straight depth line, every node at the depth of
+    the pieces that meet in it, and prices are made anew from the cuts that the passages make.
+    """
+    keys = list(keys)
+    edge, piece = [*keys, "edge_id"], [*keys, "edge_id", "piece_id"]
+    sizes = cut(pieces.groupBy(*edge).agg(F.max("s_to").alias("length"), F.max("dn").alias("dn")))
+    p = _enriched(found, sizes, profile, keys).withColumn(
+        "point_id", F.concat_ws("|", F.col("object_id").cast("string"), F.round("core_from", 6).cast("string")))
+    whole = [F.col("core_from") - F.col("extension"), F.col("core_to") + F.col("extension")]
+    p = cut(p.withColumn("truncated", (whole[0] < -0.002) | (whole[1] > F.col("length") + 0.002))
+            .withColumn("s_from", F.greatest(F.lit(0.0), whole[0])).withColumn("s_to", F.least("length", whole[1])))
+    spot = [*edge, "point_id"]
+    middle = ((F.col("s_from") + F.col("s_to")) / 2).alias("at")
+    ends = p.select(*spot, F.explode(F.array("s_from", "s_to")).alias("at"))
+    joints = p.select(*spot, "s_from", "s_to").join(pieces.select(*edge, F.col("s_from").alias("at")), edge).filter(
+        "at > s_from AND at < s_to").select(*spot, "at")
+    profiles = pieces.select(*edge, "s_from", "s_to", "h0", "h1")
+    mids = cut(depth_at(profiles, p.select(*spot, middle).distinct(), keys).select(*spot, F.col("depth").alias("mid")))
+    around = depth_at(profiles, ends.unionByName(joints).distinct(), keys).join(mids, spot)
+    uneven = around.groupBy(*spot).agg(F.max(F.abs(F.col("depth") - F.col("mid"))).alias("off")).filter("off >= 0.001")
+    above, below = (F.col("top") - F.col("mid") - F.col("new_height")), (F.col("mid") - F.col("top") - F.col("old_height"))
+    actual = F.when(F.col("is_polygon"), F.col("mid")).otherwise(F.greatest(above, below))
+
+    def told(df: DataFrame, code, name: str) -> DataFrame:
+        code = F.lit(code) if isinstance(code, str) else code
+        return df.select(*keys, F.col(name).cast("string").alias("object_id"), code.alias("code"))
+
+    label = p.withColumn("label", F.concat_ws("|", F.col("edge_id").cast("string"), F.col("object_id").cast("string")))
+    parts = [told(label.filter("truncated"), "PLATEAU_TRUNCATED", "label"),
+             told(label.join(uneven, spot, "left_semi"), "PLATEAU_NOT_LEVEL", "label"),
+             told(label.join(mids, spot).filter(actual < F.col("gap") - 1e-5), "VERTICAL_CLEARANCE", "label")]
+
+    # Vertices on the depth line of their piece.
+    run = F.aggregate(F.sequence(F.lit(1), F.size("path") - 1), F.struct(F.lit(0.0).alias("at"), F.array(F.lit(0.0)).alias("out")),
+                      lambda acc, i: _further(acc, F.get("path", i - 1), F.get("path", i)), lambda acc: acc["out"])
+    measured = cut(pieces.withColumn("_run", run).withColumn("_size", F.element_at("_run", -1)))
+    line = F.transform("path", lambda v, i: F.abs(v["z"] + F.col("h0") + (F.col("h1") - F.col("h0")) * F.get("_run", i) / F.col("_size")))
+    parts += [told(measured.filter(F.coalesce(F.array_max(line) >= 1e-5, F.lit(True)) | F.exists("path", lambda v: v["z"].isNull())), "Z_OFF", "piece_id"),
+              told(measured.filter(F.abs(F.col("_size") - F.col("length")) >= 0.002), "LENGTH", "piece_id")]
+    # Nodes at the depth of the pieces that end there.
+    tips = pieces.select(*keys, "piece_id", F.explode(F.array(F.struct(F.col("start_id").alias("node_id"), F.col("h0").alias("h")),
+                                                              F.struct(F.col("end_id").alias("node_id"), F.col("h1").alias("h")))).alias("t"))
+    met = tips.select(*keys, "piece_id", "t.*").join(nodes.select(*keys, "node_id", "z"), keys + ["node_id"], "left")
+    parts.append(told(met.filter(~F.coalesce(F.abs(F.col("z") + F.col("h")) < 1e-7, F.lit(False))), "NODE_DEPTH", "piece_id").distinct())
+    # Prices from the cuts of passages and pieces.
+    named = found.select("rule", "factor").distinct()
+    factors = cut(cut_sections(sizes, p.join(named, "rule").select(*edge, "s_from", "s_to", "factor"), keys))
+    both = pieces.join(factors.select(*edge, F.col("s_from").alias("_f"), F.col("s_to").alias("_t"), F.col("factor").alias("_k")), edge).withColumn(
+        "_l", F.greatest("s_from", "_f")).withColumn("_r", F.least("s_to", "_t")).filter("_r - _l > 1e-9")
+    span = F.col("s_to") - F.col("s_from")
+
+    def at(x: str) -> Column:
+        return rules.depth_factor(F.col("h0") + (F.col("h1") - F.col("h0")) * (F.col(x) - F.col("s_from")) / span)
+
+    price = (F.col("_r") - F.col("_l")) * rules.price_new(rules.dn_index(F.col("dn"))) * F.col("_k") * (at("_l") + at("_r")) / 2
+    priced = both.groupBy(*piece).agg(F.sum(price).alias("price"), F.max("cost").alias("cost"))
+    parts.append(told(priced.filter(~F.coalesce(F.abs(F.col("price") - F.col("cost")) < 3, F.lit(False))), "PRICE", "piece_id"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _further(acc: Column, a: Column, b: Column) -> Column:
+    """One more vertex of a running length."""
+    to = acc["at"] + F.sqrt((b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2)
+    return F.struct(to.alias("at"), F.concat(acc["out"], F.array(to)).alias("out"))
+
+
+def profile_totals(pieces: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Range, steepest slope, length and price of stored profiles per network, to hold against what a report states."""
+    span = F.col("s_to") - F.col("s_from")
+    return pieces.groupBy(*keys).agg(
+        F.least(F.lit(rules.BASE_DEPTH), F.min(F.least("h0", "h1"))).alias("min_depth"),
+        F.greatest(F.lit(rules.BASE_DEPTH), F.max(F.greatest("h0", "h1"))).alias("max_depth"),
+        F.max(F.abs(F.col("h1") - F.col("h0")) / span).alias("max_slope"), F.sum(span).alias("length"), F.sum("cost").alias("cost"))
+
+
+def total_findings(totals: DataFrame, stated: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Stated totals (same names) that differ from the profiles', or are missing: keys, code."""
+    slack = {"min_depth": 1e-3, "max_depth": 1e-3, "max_slope": 1e-5, "length": 1e-2, "cost": 10.0}
+    said = stated.select(*keys, *[F.col(c).alias(f"_{c}") for c in slack])
+    codes = [F.when(~F.coalesce(F.abs(F.col(c) - F.col(f"_{c}")) < s, F.lit(False)), f"STATED_{c.upper()}") for c, s in slack.items()]
+    return totals.join(said, list(keys), "left").select(*keys, F.explode(F.array_compact(F.array(*codes))).alias("code"))

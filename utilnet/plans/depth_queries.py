@@ -106,3 +106,90 @@ def depth_at_points(spark, d):
                  F.lit(4.0).alias("h1"))
     p = e.select("dataset_id", "edge_id", F.lit(0).alias("point_id"), (F.col("length") / 2).alias("at"))
     return depth.depth_at(s, p).select("dataset_id", "edge_id", F.round("depth", 6).alias("depth"))
+
+
+# ---- stored profiles of all pipes with their real passages ----
+LEVEL = 3.75  # depth of every pipe's middle third; nodes lie between 3 and that
+
+
+def stored_profiles(spark, d):
+    """(pieces, nodes): every pipe in three pieces, down to a level and up again, with some heights, lengths and prices off."""
+    from utilnet.operators import graph
+    n = bridge.nodes(spark, d)
+    h = lambda c: F.lit(3.0) + (F.col(c) % 4) * 0.25
+    e = graph.flows(n, bridge.edges(spark, d)).join(bridge.edges(spark, d).select("dataset_id", "edge_id"), ["dataset_id", "edge_id"])
+    third = F.col("length") / 3
+    rows = e.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("s_from", third * F.col("n")).withColumn(
+        "s_to", F.when(F.col("n") == 2, F.col("length")).otherwise(third * (F.col("n") + 1)))
+    rows = rows.withColumn("h0", F.when(F.col("n") == 0, h("start_id")).otherwise(LEVEL)).withColumn(
+        "h1", F.when(F.col("n") == 2, h("end_id")).otherwise(LEVEL))
+    joint = F.concat(F.col("edge_id").cast("string"), F.lit(":"))
+    name = lambda c, k, last: F.when(F.col("n") == last, F.col(c).cast("string")).otherwise(F.concat(joint, (F.col("n") + k).cast("string")))
+
+    def vertex(share: float, off=0.0):
+        at = (F.col("s_from") + share * (F.col("s_to") - F.col("s_from"))) / F.col("length")
+        return F.struct((F.col("x0") + at * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + at * (F.col("y1") - F.col("y0"))).alias("y"),
+                        (-(F.col("h0") + share * (F.col("h1") - F.col("h0"))) + off).alias("z"))
+
+    lift = F.when((F.col("edge_id") % 13 == 4) & (F.col("n") == 1), 0.01).otherwise(0.0)
+    unit, mean = rules.price_new(F.col("dn_idx")), (rules.depth_factor(F.col("h0")) + rules.depth_factor(F.col("h1"))) / 2
+    path = F.array(vertex(0.0), vertex(0.5, lift), vertex(1.0))
+    pieces = cut(rows.select(
+        "dataset_id", "edge_id", F.concat(joint, F.lit("p"), F.col("n").cast("string")).alias("piece_id"), name("start_id", 0, 0).alias("start_id"),
+        name("end_id", 1, 2).alias("end_id"), "s_from", "s_to", "h0", "h1", "dn", path.alias("path"),
+        (F.col("s_to") - F.col("s_from") + F.when((F.col("edge_id") % 17 == 6) & (F.col("n") == 0), 1.0).otherwise(0.0)).alias("length"),
+        ((F.col("s_to") - F.col("s_from")) * unit * mean).alias("cost")))
+    low = F.when((F.col("dataset_id") % 5 == 2) & (F.col("node_id") == 7), 0.1).otherwise(0.0)
+    nodes = n.select("dataset_id", F.col("node_id").cast("string").alias("node_id"), (-h("node_id") + low).alias("z")).unionByName(
+        pieces.filter("start_id LIKE '%:%'").select("dataset_id", F.col("start_id").alias("node_id"), F.lit(-LEVEL).alias("z")))
+    return pieces, cut(nodes)
+
+
+def _profiles():
+    from utilnet.plans.passage_queries import SECT
+    heights = ", ".join(f"('{r[0]}', {r[2]}, {r[4]}::DOUBLE, {r[7]}::DOUBLE, {r[8]}::DOUBLE, {r[9]}::DOUBLE)" for r in rules.RESTRICTIONS if not r[1])
+    new, high = rules.PRICE_NEW, rules.HEIGHT
+    return {
+        **SECT, "rl": f"SELECT * FROM (VALUES {heights}) t(rule, poly, ext, gap, oldh, top)",
+        "ph": f"SELECT dataset_id, edge_id, length AS len, 3 + start_id % 4 * 0.25 AS a, 3 + end_id % 4 * 0.25 AS b, start_id, end_id, dn_idx FROM fx_flows",
+        "crs": """SELECT c.dataset_id, c.edge_id, c.object_id, poly, gap, oldh, top, c0 - ext AS f, c1 + ext AS t, greatest(0, c0 - ext) AS sf, least(len, c1 + ext) AS st, len, a, b, dn_idx
+          FROM core c JOIN rl USING (rule) JOIN ph ON ph.dataset_id = c.dataset_id AND ph.edge_id = c.edge_id""",
+        "smp": """SELECT *, (sf + st) / 2 AS x, true AS mid FROM crs UNION ALL SELECT *, sf, false FROM crs UNION ALL SELECT *, st, false FROM crs
+          UNION ALL SELECT crs.*, len * k / 3, false FROM crs, (VALUES (1), (2)) v(k) WHERE len * k / 3 > sf AND len * k / 3 < st""",
+        "dep": f"""SELECT *, CASE WHEN x <= len / 3 THEN a + ({LEVEL} - a) * x / (len / 3) WHEN x <= 2 * len / 3 THEN {LEVEL} ELSE {LEVEL} + (b - {LEVEL}) * (x - 2 * len / 3) / (len / 3) END AS h FROM smp""",
+        "mids": "SELECT *, h AS m FROM dep WHERE mid",
+        "pz": f"""SELECT dataset_id, edge_id, n, len * n / 3 AS s0, len * (n + 1) / 3 AS s1, CASE n WHEN 0 THEN a ELSE {LEVEL} END AS h0, CASE n WHEN 2 THEN b ELSE {LEVEL} END AS h1,
+          start_id, end_id, dn_idx FROM ph, (VALUES (0), (1), (2)) v(n)""",
+        "prc": f"""SELECT dataset_id, edge_id, n, sum((r - l) * ({new})[dn_idx + 1] * factor * (1 + 0.1 * (h0 + (h1 - h0) * (l - s0) / (s1 - s0) - 3) + 1 + 0.1 * (h0 + (h1 - h0) * (r - s0) / (s1 - s0) - 3)) / 2) AS price,
+          any_value((s1 - s0) * ({new})[dn_idx + 1] * (2 + 0.1 * (h0 - 3) + 0.1 * (h1 - 3)) / 2) AS cost FROM (SELECT pz.*, factor, greatest(s0, f) AS l, least(s1, t) AS r
+          FROM pz JOIN sec ON sec.dataset_id = pz.dataset_id AND sec.edge_id = pz.edge_id) WHERE r - l > 1e-9 GROUP BY 1, 2, 3""",
+        "bad": f"""SELECT DISTINCT dataset_id, edge_id || '|' || object_id AS object_id, 'PLATEAU_TRUNCATED' AS code FROM crs WHERE f < -0.002 OR t > len + 0.002
+          UNION ALL SELECT DISTINCT d.dataset_id, d.edge_id || '|' || d.object_id, 'PLATEAU_NOT_LEVEL' FROM dep d JOIN mids m ON m.dataset_id = d.dataset_id AND m.edge_id = d.edge_id
+            AND m.object_id = d.object_id AND m.sf = d.sf AND m.st = d.st WHERE abs(d.h - m.m) >= 0.001
+          UNION ALL SELECT DISTINCT dataset_id, edge_id || '|' || object_id, 'VERTICAL_CLEARANCE' FROM mids WHERE CASE WHEN poly THEN m ELSE greatest(top - m - ({high})[dn_idx + 1], m - top - oldh) END < gap - 1e-5
+          UNION ALL SELECT dataset_id, edge_id || ':p1', 'Z_OFF' FROM ph WHERE edge_id % 13 = 4
+          UNION ALL SELECT dataset_id, edge_id || ':p0', 'LENGTH' FROM ph WHERE edge_id % 17 = 6
+          UNION ALL SELECT dataset_id, edge_id || ':p' || n, 'NODE_DEPTH' FROM pz WHERE dataset_id % 5 = 2 AND ((n = 0 AND start_id = 7) OR (n = 2 AND end_id = 7))
+          UNION ALL SELECT dataset_id, edge_id || ':p' || n, 'PRICE' FROM prc WHERE abs(price - cost) >= 3""",
+    }
+
+
+@query("profile_audit", sql("SELECT * FROM bad", "fx_flows", "fx_areas", "fx_ulines", extra=_profiles()))
+def profile_audit(spark, d):
+    """Stored profiles of all pipes against their real passages: level stretches, gaps, heights of vertices and nodes, prices."""
+    from utilnet.plans.passage_queries import fx_passages
+    pieces, nodes = stored_profiles(spark, d)
+    return depth.audit_profiles(pieces, nodes, cut(fx_passages(spark, d))).distinct()
+
+
+@query("profile_totals", sql(f"""SELECT dataset_id, code FROM (SELECT dataset_id, unnest([CASE WHEN dataset_id % 6 = 0 THEN 'STATED_MIN_DEPTH' END, CASE WHEN dataset_id % 6 = 1 THEN 'STATED_MAX_DEPTH' END,
+  CASE WHEN dataset_id % 6 = 2 THEN 'STATED_MAX_SLOPE' END, CASE WHEN dataset_id % 6 = 3 THEN 'STATED_LENGTH' END, CASE WHEN dataset_id % 6 = 4 THEN 'STATED_COST' END]) AS code
+  FROM fx_edges GROUP BY 1) WHERE code IS NOT NULL""", "fx_edges"))
+def profile_totals(spark, d):
+    """Totals of stored profiles against a report with one figure off in most maps."""
+    pieces, _ = stored_profiles(spark, d)
+    totals = cut(depth.profile_totals(pieces))
+    kind = F.col("dataset_id") % 6
+    shift = {"min_depth": (0, 0.01), "max_depth": (1, 0.01), "max_slope": (2, 0.001), "length": (3, 0.5), "cost": (4, 100.0)}
+    stated = totals.withColumns({c: F.col(c) + F.when(kind == k, by).otherwise(0.0) for c, (k, by) in shift.items()})
+    return depth.total_findings(totals, stated)
