@@ -38,17 +38,6 @@ def solved(spark, d):
     return bands, links, placed, cut(depth.solve_depths(bands, links))
 
 
-@query("short_plateaus", sql("""SELECT dataset_id, edge_id, 'PLATEAU_TOO_SHORT' AS code FROM fx_edges WHERE edge_id % 3 = 2
-  AND length > 5 AND length * 0.02 < 3 - 1e-8""", "fx_edges"))
-def short_plateaus(spark, d):
-    e = _sized(spark, d).filter("edge_id % 3 = 2 AND length > 5")
-    p = e.select("dataset_id", "edge_id", F.col("edge_id").alias("object_id"), F.lit("road").alias("rule"),
-                 F.greatest(F.lit(0.0), F.col("length") * 0.02 - 3).alias("s_from"), (F.col("length") * 0.3 + 3).alias("s_to"),
-                 (F.col("length") * 0.02).alias("core_from"), (F.col("length") * 0.3).alias("core_to"),
-                 F.lit(1.6).alias("factor"), "length")
-    return depth.short_plateaus(p, e).select("dataset_id", "edge_id", "code")
-
-
 @query("station_bands", sql("""SELECT dataset_id, edge_id, round(low, 6)::DOUBLE AS low, round(high, 6)::DOUBLE AS high FROM fx_edges,
   LATERAL (SELECT * FROM (VALUES (0, 0.7, 2.475), (0, 3.4, 12.0), (1, 0.7, 2.075), (1, 3.4, 12.0), (2, 1.0, 12.0)) t(k, low, high)
   WHERE k = edge_id % 3) WHERE length > 20""", "fx_edges"))
@@ -97,17 +86,6 @@ def depth_audit(spark, d):
     return depth.audit_depth(s)
 
 
-@query("depth_at_points", sql("""SELECT dataset_id, edge_id, round(CASE WHEN edge_id % 2 = 0 THEN 3 + 0.25 * edge_id % 4 ELSE 3.5 END, 6)::DOUBLE AS depth
-  FROM (SELECT dataset_id, edge_id FROM fx_edges WHERE edge_id % 2 = 1)""", "fx_edges"))
-def depth_at_points(spark, d):
-    """Midpoint of odd pipes that fall from 3 to 4 m."""
-    e = _sized(spark, d).filter("edge_id % 2 = 1")
-    s = e.select("dataset_id", "edge_id", F.lit(0.0).alias("s_from"), F.col("length").alias("s_to"), F.lit(3.0).alias("h0"),
-                 F.lit(4.0).alias("h1"))
-    p = e.select("dataset_id", "edge_id", F.lit(0).alias("point_id"), (F.col("length") / 2).alias("at"))
-    return depth.depth_at(s, p).select("dataset_id", "edge_id", F.round("depth", 6).alias("depth"))
-
-
 # ---- stored profiles of all pipes with their real passages ----
 LEVEL = 3.75  # depth of every pipe's middle third; nodes lie between 3 and that
 
@@ -193,3 +171,51 @@ def profile_totals(spark, d):
     shift = {"min_depth": (0, 0.01), "max_depth": (1, 0.01), "max_slope": (2, 0.001), "length": (3, 0.5), "cost": (4, 100.0)}
     stated = totals.withColumns({c: F.col(c) + F.when(kind == k, by).otherwise(0.0) for c, (k, by) in shift.items()})
     return depth.total_findings(totals, stated)
+
+
+_STORED = ("fx_flows", "fx_areas", "fx_ulines")
+
+
+@query("short_plateaus", sql("""SELECT DISTINCT dataset_id, edge_id, object_id, 'PLATEAU_TOO_SHORT' AS code FROM crs
+  WHERE f < -1e-8 OR t > len + 1e-8""", *_STORED, extra=_profiles()))
+def short_plateaus(spark, d):
+    """Passages of all pipes whose level stretch an end of the pipe cuts off."""
+    from utilnet.plans.passage_queries import fx_passages
+    return depth.short_plateaus(fx_passages(spark, d), _sized(spark, d)).distinct()
+
+
+@query("depth_at_points", sql(f"""SELECT dataset_id, edge_id, share, round(CASE WHEN share <= 1 THEN a + ({LEVEL} - a) * share * 0.75
+  WHEN share = 2 THEN {LEVEL} ELSE {LEVEL} + (b - {LEVEL}) * 0.25 END, 6) AS depth FROM ph, (VALUES (0), (1), (2), (3)) v(share)""", *_STORED, extra=_profiles()))
+def depth_at_points(spark, d):
+    """Depths at the start and at every quarter of all pipes' stored profiles."""
+    pieces, _ = stored_profiles(spark, d)
+    size = pieces.groupBy("dataset_id", "edge_id").agg(F.max("s_to").alias("length"))
+    points = size.withColumn("point_id", F.explode(F.array(*[F.lit(k) for k in range(4)]))).withColumn("at", F.col("length") * F.col("point_id") / 4)
+    return depth.depth_at(pieces.select("dataset_id", "edge_id", "s_from", "s_to", "h0", "h1"), points.drop("length")).select(
+        "dataset_id", "edge_id", F.col("point_id").alias("share"), F.round("depth", 6).alias("depth"))
+
+
+@query("stored_crossings", sql(f"""SELECT dataset_id, edge_id, object_id, round(sf, 4) AS s_from, round(st, 4) AS s_to, round(m, 6) AS depth,
+  CASE WHEN poly THEN 'under_surface' WHEN up >= gap - 1e-8 THEN 'above' ELSE 'below' END AS position, gap AS required, round(real, 6) AS actual,
+  CASE WHEN real < gap - 1e-8 THEN 'VERTICAL_CLEARANCE' END AS code FROM (SELECT *, CASE WHEN poly THEN m WHEN up >= gap - 1e-8 THEN up ELSE m - top - oldh END AS real
+  FROM (SELECT *, top - m - ({rules.HEIGHT})[dn_idx + 1] AS up FROM mids))""", *_STORED, extra=_profiles()))
+def stored_crossings(spark, d):
+    """Every real passage under the stored profiles: which side the pipe takes, and the gap it keeps."""
+    from utilnet.plans.passage_queries import fx_passages
+    pieces, _ = stored_profiles(spark, d)
+    sizes = pieces.groupBy("dataset_id", "edge_id").agg(F.max("dn").alias("dn"), F.max("s_to").alias("length"))
+    out = depth.crossing_report(pieces.select("dataset_id", "edge_id", "s_from", "s_to", "h0", "h1"), cut(fx_passages(spark, d)), cut(sizes))
+    return out.select("dataset_id", "edge_id", "object_id", *[F.round(c, 4).alias(c) for c in ("s_from", "s_to")], F.round("depth", 6).alias("depth"),
+                      "position", "required", F.round("actual", 6).alias("actual"), "code")
+
+
+@query("stored_profile_report", sql(f"""SELECT dataset_id, least(3, min(least(h0, h1))) AS min_depth, greatest(3, max(greatest(h0, h1))) AS max_depth,
+  round(max(abs(h1 - h0) / (s1 - s0)), 8) AS max_slope, round(sum((s1 - s0) * ({rules.PRICE_NEW})[dn_idx + 1] * (0.1 * (h0 - 3) + 0.1 * (h1 - 3)) / 2), 1) AS depth_cost
+  FROM pz GROUP BY 1""", *_STORED, extra=_profiles()))
+def stored_profile_report(spark, d):
+    """Range, slope and what the depth adds to the price, per map."""
+    pieces, _ = stored_profiles(spark, d)
+    sizes = pieces.groupBy("dataset_id", "edge_id").agg(F.max("dn").alias("dn"))
+    flat = pieces.select("dataset_id", "edge_id", "s_from", "s_to", "h0", "h1", F.lit(1.0).alias("factor"))
+    return depth.profile_report(flat, sizes).select("dataset_id", "min_depth", "max_depth", F.round("max_slope", 8).alias("max_slope"),
+                                                    F.round("depth_cost", 1).alias("depth_cost"))

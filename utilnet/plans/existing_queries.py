@@ -181,7 +181,7 @@ def reconstruction(spark, d):
   count(DISTINCT l.object_id) AS degree FROM fx_nodes n LEFT JOIN (SELECT ln.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by
   FROM ln JOIN fx_nodes a ON a.dataset_id = ln.dataset_id AND a.node_id = va JOIN fx_nodes b ON b.dataset_id = ln.dataset_id
   AND b.node_id = vb) l ON l.dataset_id = n.dataset_id AND ((l.ax = n.x AND l.ay = n.y) OR (l.bx = n.x AND l.by = n.y))
-  WHERE n.node_id % 4 = 1 GROUP BY 1, 2""", "fx_edges", extra={"ln": _ORI["ln"]}))
+  GROUP BY 1, 2""", "fx_edges", extra={"ln": _ORI["ln"]}))
 def chamber_diameters(spark, d):
     n = bridge.nodes(spark, d)
     ln = _lines(spark, d).filter("object_id <> 900")
@@ -190,5 +190,5 @@ def chamber_diameters(spark, d):
         F.struct(F.lit(0).alias("end"), F.col("va").alias("v")),
         F.struct(F.lit(1).alias("end"), F.col("vb").alias("v")))).alias("_e")).select(
         "dataset_id", "object_id", "dn", "_e.*").join(xy, ["dataset_id", "v"]).drop("v")
-    chambers = n.filter("node_id % 4 = 1").select("dataset_id", F.col("node_id").alias("object_id"), "x", "y")
+    chambers = n.select("dataset_id", F.col("node_id").alias("object_id"), "x", "y")
     return ops.chamber_diameters(chambers, ends)
