@@ -217,9 +217,12 @@ def index(rows: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     nodes = cut(few.groupBy("node", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"),
                                                F.max(F.col("vec_id").isNull()).alias("none"), F.any_value("v").alias("v"))
                 .withColumn("ids", F.when(F.col("none"), F.concat("ids", F.array(F.lit(None).cast("long")))).otherwise(F.col("ids"))))
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    shards = cut(nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards")))
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    return cut(dealt.select("dim", "shard", "node", "ids", "v").groupBy("dim", "shard").applyInArrow(_build, NODE))
+    # Small in bytes, long in work: a task for each shard, which no merging of small partitions undoes.
+    tasks = int(shards.agg(F.sum("shards")).first()[0] or 1)
+    return cut(dealt.select("dim", "shard", "node", "ids", "v").repartition(tasks, "dim", "shard")
+               .groupBy("dim", "shard").applyInArrow(_build, NODE))
 
 
 def search(graph: DataFrame, queries: DataFrame, k: int, block: int = QUERIES, width: int = WIDTH) -> DataFrame:
@@ -233,8 +236,9 @@ def search(graph: DataFrame, queries: DataFrame, k: int, block: int = QUERIES, w
     """
     asked = cut(_rows(queries).filter("vec_id IS NOT NULL"))
     names = asked.groupBy("node", "dim").agg(F.any_value("v").alias("v"))
-    blocks = names.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    shards = graph.select(F.col("dim").alias("dim"), F.col("shard").alias("shard")).distinct()
+    blocks = cut(names.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    shards = cut(graph.select("dim", "shard").distinct())
+    tasks = int(shards.join(blocks, "dim").agg(F.sum("blocks")).first()[0] or 1)
     dealt = (names.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .join(shards, "dim").select("dim", "shard", "block", "node", "v"))
     sides = (graph.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -244,7 +248,8 @@ def search(graph: DataFrame, queries: DataFrame, k: int, block: int = QUERIES, w
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
         return _search(shard, block, most, width)
 
-    found = sides.groupBy("dim", "shard", "block").cogroup(dealt.groupBy("dim", "shard", "block")).applyInArrow(run, FOUND)
+    tile = ["dim", "shard", "block"]
+    found = sides.repartition(tasks, *tile).groupBy(*tile).cogroup(dealt.repartition(tasks, *tile).groupBy(*tile)).applyInArrow(run, FOUND)
     order = [F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("node")]
     best = (found.withColumn("vec_id", F.explode("ids"))
             .withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= most)
