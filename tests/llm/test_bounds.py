@@ -73,3 +73,59 @@ def test_a_clause_ends_where_it_ends():
     start = time.time()
     scorer.features("idiot " * 200_000 + "x " * 1_000_000)
     assert time.time() - start < 30
+
+
+def test_moves_of_full_shards_balance():
+    import random
+
+    from utilnet.llm.sharding import circulation
+    for seed in range(400):
+        r = random.Random(seed)
+        k = r.randint(2, 8)
+        fixed = {(a, b): r.randint(1, 5) for a in range(k) for b in range(k) if a != b and r.random() < .4}
+        free = {(a, b): r.randint(1, 5) for a in range(k) for b in range(a + 1, k) if r.random() < .5}
+        moves = circulation(fixed, free)
+        for s in range(k):
+            assert sum(n for (a, _), n in moves.items() if a == s) == sum(n for (_, b), n in moves.items() if b == s)
+        for a in range(k):
+            for b in range(a + 1, k):
+                beyond = [max(0, moves.get(p, 0) - fixed.get(p, 0)) for p in ((a, b), (b, a))]
+                assert sum(beyond) <= free.get((a, b), 0)
+    rings = {}
+    r = random.Random(1)
+    for _ in range(50):  # every shard has an even number of offers: all can go
+        c = r.sample(range(40), r.randint(3, 9))
+        for a, b in zip(c, c[1:] + c[:1]):
+            rings[min(a, b), max(a, b)] = rings.get((min(a, b), max(a, b)), 0) + 1
+    assert sum(circulation({}, rings).values()) == sum(rings.values())
+
+
+def test_full_shards_exchange(spark):
+    """Every text twice, every shard full: nearly all pairs can be whole, and are."""
+    from pyspark.sql import functions as F
+
+    from utilnet.llm import sharding
+    docs = spark.createDataFrame([(2 * k + c, f"text {k}") for k in range(400) for c in range(2)], "doc_id long, text string")
+    found = sharding.assign(docs, 40).join(docs, "doc_id")
+    assert {r.n for r in found.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {20}
+    split = found.groupBy("text").agg(F.countDistinct("shard").alias("m")).filter("m > 1").count()
+    assert split <= 20
+
+
+def test_exchange_keeps_loads_and_joins_cells(spark):
+    """Cells of mixed sizes: no shard gains or loses a row, no text either, and fewer texts are split."""
+    import random
+
+    from utilnet.llm import sharding
+    r = random.Random(9)
+    rows = [(f"t{k}", s, r.randint(1, 6)) for k in range(120) for s in r.sample(range(8), r.randint(1, 3))]
+    cells = spark.createDataFrame(rows, "text string, shard int, n long")
+    after = [tuple(c) for c in sharding._exchange(cells).select("text", "shard", "n").collect()]
+    for column in (0, 1):
+        sums = [{}, {}]
+        for total, found in zip(sums, (rows, after)):
+            for c in found:
+                total[c[column]] = total.get(c[column], 0) + c[2]
+        assert sums[0] == sums[1]
+    assert min(c[2] for c in after) > 0 and len(after) < 0.75 * len(rows)
+    assert sharding._exchange(cells.limit(0)).count() == 0
