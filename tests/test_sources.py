@@ -67,3 +67,23 @@ def test_findings_are_cut_on_demand_only(spark):
     found = spark.createDataFrame([("d", str(k), "CODE", "info") for k in range(9)], "dataset_id string, object_id string, code string, severity string")
     cut = quality.first_findings(found, 4).collect()
     assert len(cut) == 5 and {r["code"] for r in cut} == {"CODE", "DIAGNOSTICS_TRUNCATED"}
+
+
+def test_lines_keep_their_ids_however_files_are_split(spark, tmp_path):
+    from utilnet.sources import features, networks
+    layout = '{"nodes":[{"id":"a","x":1,"y":2,"type":"tie"}],"edges":[]}'
+    (tmp_path / "n.jsonl").write_text("\n".join([layout, layout, layout.replace('"a"', '"b"'), "", "broken"] * 40))
+    point = '{"type":"Feature","geometry":{"type":"Point","coordinates":[37.5,55.5]},"properties":{"id":"n","object_type":"source"}}'
+    (tmp_path / "f.jsonl").write_text("\n".join([point, point, point.replace('"n"', '"m"'), "no"] * 40))
+    found = []
+    for size in ("134217728", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            nodes, _, rejects = networks.read_snapshots(spark, str(tmp_path / "n.jsonl"), lines=True)
+            good, bad = features.read_features(spark, str(tmp_path / "f.jsonl"), lines=True)
+            found.append([sorted(map(tuple, df.collect())) for df in (nodes.select("network_id", "node_id"), rejects.select("network_id", "code"),
+                                                                      good.select("pos", "id"), bad.select("pos", "reject"))])
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1]
+    assert [len(set(rows)) for rows in found[0]] == [120, 40, 120, 40]

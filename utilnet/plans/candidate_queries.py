@@ -87,7 +87,7 @@ PROPOSED = {
   ({rules.DN})[dn_idx + 1] / 300, flow / ({rules.CAPACITY})[dn_idx + 1], (start_id < 5)::INT, (start_id >= 5)::INT, demand / 10 / (c.edge_id % 10 + 1), c.edge_id % 10 / 20,
   (1 + c.dataset_id % 3) / 8, coalesce(wd, 0) / 20, coalesce(wl, 0) / 50, coalesce(open8, 8) / 8, coalesce(vis, 1), CASE WHEN wd IS NULL THEN 0 ELSE 5 / 50 END,
   coalesce(hits, 0) / 10, coalesce(inlen, 0) / 100, coalesce(bypass, 0) / 100, coalesce(nearby, 0) / 20, coalesce(occ.n, 0) / 5, coalesce(sft.n, 0) / 10,
-  length / ({rules.RUN_LIMIT})[least(18, dn_idx + 2)]][pos], 5)::DOUBLE AS value
+  length / ({rules.RUN_LIMIT})[least(18, dn_idx + 2)]][pos], 5)::DOUBLE + 0.0::DOUBLE AS value
   FROM (SELECT *, CASE WHEN axis IS NULL THEN 0 ELSE atan2(qy - py, qx - px) - axis END AS dl FROM cand) c LEFT JOIN gfeat USING (dataset_id, edge_id)
   LEFT JOIN obst USING (dataset_id, edge_id) LEFT JOIN occ USING (dataset_id, edge_id) LEFT JOIN sft USING (dataset_id, edge_id), (SELECT unnest(range(1, 23)) AS pos) w""",
                                  "fx_flows", "fx_areas", "fx_ulines", extra=PROPOSED))
@@ -106,10 +106,10 @@ def candidate_features(spark, d):
     lines = lines.withColumn("object_id", F.col("object_id").cast("string"))
     found = candidates.candidate_features(cands, hard, houses, pipes, lines, soft)
     return found.select("dataset_id", "cand_id", F.posexplode("features").alias("pos", "value")).select(
-        "dataset_id", "cand_id", F.col("pos").cast("long").alias("pos"), F.round("value", 5).alias("value"))
+        "dataset_id", "cand_id", F.col("pos").cast("long").alias("pos"), (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
-@query("context_features", sql("""SELECT c.dataset_id, c.state AS state_id, c.node_id AS cand_id, pos - 1 AS pos, round([done / required, c.demand / total,
+@query("context_features", sql("""SELECT c.dataset_id, c.state::BIGINT AS state_id, c.node_id AS cand_id, pos - 1 AS pos, round([done / required, c.demand / total,
   coalesce(least, 0) / 100, coalesce(mean, 0) / 300, coalesce(near, 0), coalesce(corr, 0), coalesce(f, 0) / 100, c.state / required, coalesce(nb, 0) / 100, required / 20][pos], 5)::DOUBLE AS value
   FROM (SELECT n.*, p.x AS tx, p.y AS ty, state FROM fx_nodes n JOIN fx_nodes p ON p.dataset_id = n.dataset_id AND p.node_id = n.parent_id, (VALUES (3), (5)) s(state) WHERE n.demand > 0) c
   JOIN (SELECT dataset_id, count(*) AS required, sum(demand) AS total FROM fx_nodes WHERE demand > 0 GROUP BY 1) t USING (dataset_id)
@@ -130,5 +130,5 @@ def context_features(spark, d):
         "score", F.col("state_id").cast("double"))
     done = users.select("dataset_id", states, "demand_id").filter("demand_id % state_id = 1")
     found = candidates.context_features(cands, users, done)
-    return found.select("dataset_id", F.col("state_id"), "cand_id", F.posexplode("context").alias("pos", "value")).select(
+    return found.select("dataset_id", F.col("state_id").cast("long").alias("state_id"), "cand_id", F.posexplode("context").alias("pos", "value")).select(
         "dataset_id", "state_id", "cand_id", F.col("pos").cast("long").alias("pos"), F.round("value", 5).alias("value"))

@@ -129,14 +129,14 @@ def _profiles():
     new, high = rules.PRICE_NEW, rules.HEIGHT
     return {
         **SECT, "rl": f"SELECT * FROM (VALUES {heights}) t(rule, poly, ext, gap, oldh, top)",
-        "ph": f"SELECT dataset_id, edge_id, length AS len, 3 + start_id % 4 * 0.25 AS a, 3 + end_id % 4 * 0.25 AS b, start_id, end_id, dn_idx FROM fx_flows",
+        "ph": f"SELECT dataset_id, edge_id, length AS len, (3 + start_id % 4 * 0.25)::DOUBLE AS a, (3 + end_id % 4 * 0.25)::DOUBLE AS b, start_id, end_id, dn_idx FROM fx_flows",
         "crs": """SELECT c.dataset_id, c.edge_id, c.object_id, poly, gap, oldh, top, c0 - ext AS f, c1 + ext AS t, greatest(0, c0 - ext) AS sf, least(len, c1 + ext) AS st, len, a, b, dn_idx
           FROM core c JOIN rl USING (rule) JOIN ph ON ph.dataset_id = c.dataset_id AND ph.edge_id = c.edge_id""",
         "smp": """SELECT *, (sf + st) / 2 AS x, true AS mid FROM crs UNION ALL SELECT *, sf, false FROM crs UNION ALL SELECT *, st, false FROM crs
           UNION ALL SELECT crs.*, len * k / 3, false FROM crs, (VALUES (1), (2)) v(k) WHERE len * k / 3 > sf AND len * k / 3 < st""",
         "dep": f"""SELECT *, CASE WHEN x <= len / 3 THEN a + ({LEVEL} - a) * x / (len / 3) WHEN x <= 2 * len / 3 THEN {LEVEL} ELSE {LEVEL} + (b - {LEVEL}) * (x - 2 * len / 3) / (len / 3) END AS h FROM smp""",
         "mids": "SELECT *, h AS m FROM dep WHERE mid",
-        "pz": f"""SELECT dataset_id, edge_id, n, len * n / 3 AS s0, len * (n + 1) / 3 AS s1, CASE n WHEN 0 THEN a ELSE {LEVEL} END AS h0, CASE n WHEN 2 THEN b ELSE {LEVEL} END AS h1,
+        "pz": f"""SELECT dataset_id, edge_id, n, len * n / 3 AS s0, len * (n + 1) / 3 AS s1, CASE n WHEN 0 THEN a ELSE {LEVEL}::DOUBLE END AS h0, CASE n WHEN 2 THEN b ELSE {LEVEL}::DOUBLE END AS h1,
           start_id, end_id, dn_idx FROM ph, (VALUES (0), (1), (2)) v(n)""",
         "prc": f"""SELECT dataset_id, edge_id, n, sum((r - l) * ({new})[dn_idx + 1] * factor * (1 + 0.1 * (h0 + (h1 - h0) * (l - s0) / (s1 - s0) - 3) + 1 + 0.1 * (h0 + (h1 - h0) * (r - s0) / (s1 - s0) - 3)) / 2) AS price,
           any_value((s1 - s0) * ({new})[dn_idx + 1] * (2 + 0.1 * (h0 - 3) + 0.1 * (h1 - 3)) / 2) AS cost FROM (SELECT pz.*, factor, greatest(s0, f) AS l, least(s1, t) AS r
@@ -184,15 +184,15 @@ def short_plateaus(spark, d):
     return depth.short_plateaus(fx_passages(spark, d), _sized(spark, d)).distinct()
 
 
-@query("depth_at_points", sql(f"""SELECT dataset_id, edge_id, share, round(CASE WHEN share <= 1 THEN a + ({LEVEL} - a) * share * 0.75
-  WHEN share = 2 THEN {LEVEL} ELSE {LEVEL} + (b - {LEVEL}) * 0.25 END, 6) AS depth FROM ph, (VALUES (0), (1), (2), (3)) v(share)""", *_STORED, extra=_profiles()))
+@query("depth_at_points", sql(f"""SELECT dataset_id, edge_id, share::BIGINT AS share, round(CASE WHEN share <= 1 THEN a + ({LEVEL} - a) * share * 0.75
+  WHEN share = 2 THEN {LEVEL} ELSE {LEVEL} + (b - {LEVEL}) * 0.25 END::DOUBLE, 6) AS depth FROM ph, (VALUES (0), (1), (2), (3)) v(share)""", *_STORED, extra=_profiles()))
 def depth_at_points(spark, d):
     """Depths at the start and at every quarter of all pipes' stored profiles."""
     pieces, _ = stored_profiles(spark, d)
     size = pieces.groupBy("dataset_id", "edge_id").agg(F.max("s_to").alias("length"))
     points = size.withColumn("point_id", F.explode(F.array(*[F.lit(k) for k in range(4)]))).withColumn("at", F.col("length") * F.col("point_id") / 4)
     return depth.depth_at(pieces.select("dataset_id", "edge_id", "s_from", "s_to", "h0", "h1"), points.drop("length")).select(
-        "dataset_id", "edge_id", F.col("point_id").alias("share"), F.round("depth", 6).alias("depth"))
+        "dataset_id", "edge_id", F.col("point_id").cast("long").alias("share"), F.round("depth", 6).alias("depth"))
 
 
 @query("stored_crossings", sql(f"""SELECT dataset_id, edge_id, object_id, round(sf, 4) AS s_from, round(st, 4) AS s_to, round(m, 6) AS depth,
@@ -219,3 +219,20 @@ def stored_profile_report(spark, d):
     flat = pieces.select("dataset_id", "edge_id", "s_from", "s_to", "h0", "h1", F.lit(1.0).alias("factor"))
     return depth.profile_report(flat, sizes).select("dataset_id", "min_depth", "max_depth", F.round("max_slope", 8).alias("max_slope"),
                                                     F.round("depth_cost", 1).alias("depth_cost"))
+
+
+@query("depth_objectives", sql(f"""SELECT p.dataset_id, round(sum(v * (h0 + h1) / 2), 3) AS trench_volume, round(sum(v * greatest(0, (h0 + h1) / 2 - 3)), 3) AS deep_volume,
+  sum((sl <> 0 AND sl <> before)::INT)::BIGINT AS depth_changes, round(sum(abs(h1 - h0)), 6) AS vertical_change, greatest(3, max(greatest(h0, h1))) AS max_depth,
+  round(sum(CASE WHEN (h0 + h1) / 2 > 3.01 THEN s1 - s0 ELSE 0 END), 4) AS deep_length FROM (SELECT *, coalesce(lag(sl) OVER (PARTITION BY dataset_id, edge_id ORDER BY n), 0) AS before
+  FROM (SELECT *, (s1 - s0) * (1 + 2 * ({rules.HEIGHT})[dn_idx + 1] + CASE WHEN ({rules.DN})[dn_idx + 1] <= 150 THEN 0.15 ELSE 0.25 END) AS v,
+  CASE WHEN h1 - h0 > 0.01 THEN 1 WHEN h1 - h0 < -0.01 THEN -1 ELSE 0 END AS sl FROM pz)) p GROUP BY 1""", *_STORED, extra=_profiles()))
+def depth_objectives(spark, d):
+    """Earthwork and installation figures of pipes with a depth profile: volumes, changes of slope, vertical change, deep length."""
+    from utilnet.operators import evaluate
+    pieces, _ = stored_profiles(spark, d)
+    sizes = pieces.groupBy("dataset_id", "edge_id").agg(F.max("dn").alias("dn"))
+    flat = pieces.select("dataset_id", "edge_id", "s_from", "s_to", "h0", "h1", F.lit(1.0).alias("factor"))
+    stats = spark.createDataFrame([], "dataset_id long, turn_metres double")
+    out = evaluate.objectives(flat, sizes, stats)
+    return out.select("dataset_id", *[F.round(c, 3).alias(c) for c in ("trench_volume", "deep_volume")], F.col("depth_changes").cast("long").alias("depth_changes"),
+                      F.round("vertical_change", 6).alias("vertical_change"), "max_depth", F.round("deep_length", 4).alias("deep_length"))

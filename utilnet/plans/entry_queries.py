@@ -183,7 +183,7 @@ def layout_audit(spark, d):
     return entries.layout_violations(*stored(spark, d))
 
 
-@query("tie_places", sql(f"""SELECT dataset_id, 0 AS node_id, 10.0::DOUBLE AS at FROM nd WHERE node_id = 0 AND k NOT IN (6, 7)""", "fx_nodes", extra={"nd": STORED["nd"]}))
+@query("tie_places", sql(f"""SELECT dataset_id, 0::BIGINT AS node_id, 10.0::DOUBLE AS at FROM nd WHERE node_id = 0 AND k NOT IN (6, 7)""", "fx_nodes", extra={"nd": STORED["nd"]}))
 def tie_places(spark, d):
     """Where on their old object the ties of stored layouts lie."""
     nodes, _, _, sources = stored(spark, d)

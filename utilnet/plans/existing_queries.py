@@ -192,3 +192,18 @@ def chamber_diameters(spark, d):
         "dataset_id", "object_id", "dn", "_e.*").join(xy, ["dataset_id", "v"]).drop("v")
     chambers = n.select("dataset_id", F.col("node_id").alias("object_id"), "x", "y")
     return ops.chamber_diameters(chambers, ends)
+
+
+@query("grown_chambers", sql(f"""SELECT dataset_id, node_id AS object_id, CASE WHEN hole THEN NULL ELSE need END AS required_dn, CASE WHEN NOT hole THEN
+  CASE WHEN need <= 200 THEN 3e6 WHEN need <= 500 THEN 5e6 WHEN need <= 1000 THEN 8e6 ELSE 12e6 END END::DOUBLE AS cost FROM (SELECT n.dataset_id, n.node_id,
+  max(({rules.DN})[f.dn_idx + 1])::BIGINT AS need, bool_or(f.edge_id % 9 = 4) AS hole FROM fx_nodes n JOIN fx_flows f ON f.dataset_id = n.dataset_id AND n.node_id IN (f.start_id, f.end_id)
+  WHERE n.node_type = 'chamber' GROUP BY 1, 2) WHERE hole OR need > 65""", "fx_flows"))
+def grown_chambers(spark, d):
+    """Old chambers of DN65 that their new branches and the pieces touching them make larger; some pieces have no size."""
+    from utilnet.operators import graph
+    n = bridge.nodes(spark, d)
+    e = graph.flows(n, bridge.edges(spark, d)).withColumn("dn", F.when(F.col("edge_id") % 9 != 4, F.col("dn")))
+    chambers = n.filter("node_type = 'chamber'").select("dataset_id", F.col("node_id").alias("object_id"), F.lit(65).alias("dn"))
+    out, up = (e.select("dataset_id", F.col(f"{side}_id").alias("object_id"), "dn") for side in ("start", "end"))
+    return ops.chamber_reconstruction(chambers, out, up).select(
+        "dataset_id", "object_id", F.col("required_dn").cast("long").alias("required_dn"), "cost")

@@ -197,3 +197,20 @@ def parallel_clearance(spark, d):
     lines = named_lines(spark, d).select("dataset_id", "object_id", "rule", "dn", "x0", "y0", "x1",
                                          "y1", *ops.spatial.BOX)
     return ops.soft_clearance(e, edge_segments(spark, d), merged, lines)
+
+
+@query("headings", sql("""SELECT dataset_id, edge_id, share::BIGINT AS share, round(CASE WHEN l1 + 1e-7 >= share * (l1 + l2) / 4 THEN atan2(my - y0, mx - x0) ELSE atan2(y1 - my, x1 - mx) END, 8) AS heading
+  FROM (SELECT *, sqrt((mx-x0)**2+(my-y0)**2) AS l1, sqrt((x1-mx)**2+(y1-my)**2) AS l2 FROM kk), (VALUES (0), (1), (3), (4)) v(share) WHERE share <> 2""", "fx_edges", extra=KINK))
+def headings(spark, d):
+    """The heading with which bent pipes arrive at their start, quarters and end."""
+    e = kinked(spark, d).withColumn("share", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3), F.lit(4))))
+    at = geo.path_length(F.col("path")) * F.col("share") / 4
+    return e.select("dataset_id", "edge_id", F.col("share").cast("long").alias("share"), F.round(geo.heading_at(F.col("path"), at), 8).alias("heading"))
+
+
+@query("piece_names", sql("""SELECT dataset_id, edge_id, 'tt:v1:' || edge_id || ':' || (edge_id % 3) AS part, 'tt:v1:' || edge_id || ':node:' || (edge_id % 3) AS joint FROM fx_edges""", "fx_edges"))
+def piece_names(spark, d):
+    """Ids of exported pieces and of the technical nodes between them."""
+    from utilnet.functions import text
+    name = [F.lit("tt:v1:"), F.col("edge_id"), F.col("edge_id") % 3]
+    return bridge.edges(spark, d).select("dataset_id", "edge_id", text.part_id(*name).alias("part"), text.break_id(*name).alias("joint"))

@@ -153,14 +153,17 @@ def explode_collections(raw: DataFrame) -> DataFrame:
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(features in metres, rejects). ``lines`` reads newline-delimited features of any file size.
 
+    A feature's ``pos`` is its place in the collection; with ``lines`` it is a hash of the line and,
+    for equal lines, of a running number, whichever way the file is split.
     A file that is no readable, non-empty collection is one reject without a position, so that no
     file goes missing.
     """
     files = None
     if lines:
-        rows = spark.read.text(path).select(
-            F.input_file_name().alias("dataset_id"), F.monotonically_increasing_id().alias("pos"),
-            F.col("value").alias("body")).filter(F.trim("body") != "")
+        read = spark.read.text(path).select(F.input_file_name().alias("dataset_id"), F.col("value").alias("body"))
+        rows = read.filter(F.trim("body") != "").groupBy("dataset_id", "body").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+            "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(
+            "dataset_id", F.xxhash64("body", "_copy").alias("pos"), "body")
     else:
         raw = spark.read.text(path, wholetext=True).select(
             F.input_file_name().alias("dataset_id"), "value")

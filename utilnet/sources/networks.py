@@ -73,14 +73,17 @@ def parse_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def read_snapshots(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Layouts from JSON files that hold one layout or an array of them, or (``lines``) one per line.
 
-    A layout's network_id is its place in its file, so equal layouts stay apart. A file or line
-    that is no layout is a reject.
+    A layout's network_id is its place in its file, so equal layouts stay apart; with ``lines`` it
+    is the line's digest and, for equal lines, a running number, whichever way the file is split.
+    A file or line that is no layout is a reject.
     """
     raw = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("dataset_id"), "value")
     held = F.from_json("value", f"array<struct<{SNAPSHOT}>>")
     if lines:
-        docs = raw.filter(F.trim("value") != "").select(
-            "dataset_id", F.monotonically_increasing_id().cast("string").alias("network_id"), F.get(held, F.lit(0)).alias("_d"))
+        named = raw.filter(F.trim("value") != "").groupBy("dataset_id", "value").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+            "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+        docs = named.select("dataset_id", F.concat_ws("-", F.sha2("value", 256), F.col("_copy").cast("string")).alias("network_id"),
+                            F.get(held, F.lit(0)).alias("_d"))
     else:
         docs = raw.select("dataset_id", F.posexplode_outer(held).alias("network_id", "_d"))
     return parse_snapshots(docs.select("dataset_id", F.col("network_id").cast("string").alias("network_id"), "_d.nodes", "_d.edges"))
