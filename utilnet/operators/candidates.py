@@ -21,7 +21,7 @@ KEYS = ("dataset_id",)
 AROUND = 20.0  # m beside the line's box in which obstacles count as near
 BEARINGS = 8
 FAR = 1e5  # m, beyond any building
-#: Names in the order of the vector.
+# The names of the components, in the order of the vector.
 NAMES = ["distance_100m", "axis_manhattan_100m", "axis_misalignment", "dn_300", "flow_capacity_ratio", "existing_target",
          "edge_target", "lower_score_per_entry", "connected_20", "roots_8", "wall_distance_20m", "wall_length_50m",
          "open_bearings_ratio", "wall_direct_visible", "owner_vertices_50", "hard_intersections_10", "hard_length_100m",
