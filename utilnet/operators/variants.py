@@ -16,45 +16,51 @@ KEYS = ("dataset_id",)
 SLICE, CORRIDOR = 12.0, 6.0
 
 
-def _midpoints(edges: DataFrame, step: float, keys: Sequence[str]) -> DataFrame:
-    """Equal slices of each edge, no longer than the step, by their midpoints."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("length") / step).cast("int"))
-    rows = edges.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    at = (F.col("_i") + 0.5) / F.col("_n")
-    if "path" in edges.columns:
-        rows = rows.withColumn("_p", geo.point_at(F.col("path"), at * F.col("length")))
-        x, y = F.col("_p.x"), F.col("_p.y")
-    else:
-        x = F.col("x0") + at * (F.col("x1") - F.col("x0"))
-        y = F.col("y0") + at * (F.col("y1") - F.col("y0"))
-    return rows.select(*keys, "network_id", "edge_id", F.col("_i").alias("slice"), x.alias("x"),
-                       y.alias("y"), (F.col("length") / F.col("_n")).alias("piece"))
-
-
 def outside_share(edges: DataFrame, segments: DataFrame, pairs: DataFrame,
                   keys: Sequence[str] = KEYS, step: float = SLICE,
                   radius: float = CORRIDOR) -> DataFrame:
     """Share of network a's length that lies farther than the radius from network b.
 
-    ``pairs``: keys, a, b (network ids, both directions if both are wanted).
+    ``pairs``: keys, a, b (network ids, both directions if both are wanted). Each edge of a is cut into equal slices
+    no longer than the step, which count by their midpoints. Edges meet the segments of b as wholes and are sliced
+    behind the join, so what is shuffled are edges and the numbers of their near slices, never the slices themselves.
     """
     keys = list(keys)
-    mids = cut(_midpoints(edges, step, keys).join(
+    edge = [*keys, "network_id", "b", "edge_id"]
+    bent = "path" in edges.columns
+    shape = ["path"] if bent else ["x0", "y0", "x1", "y1"]
+    n = F.greatest(F.lit(1), F.ceil(F.col("length") / step).cast("int"))
+    rows = cut(edges.select(*keys, "network_id", "edge_id", "length", n.alias("n"), *shape).join(
         pairs.select(*keys, F.col("a").alias("network_id"), "b"), keys + ["network_id"]))
+    if bent:
+        boxed = rows.select("*", F.array_min("path.x").alias("minx"), F.array_min("path.y").alias("miny"),
+                            F.array_max("path.x").alias("maxx"), F.array_max("path.y").alias("maxy"))
+    else:
+        boxed = geo.with_box(rows)
     other = segments.select(*keys, F.col("network_id").alias("b"), *[c for c in (
         "x0", "y0", "x1", "y1", *spatial.BOX)])
-    other = spatial.split_segments(other, 32.0)
-    spot = [*keys, "network_id", "b", "edge_id", "slice"]
-    near = (spatial.bbox_join(spatial.as_points(mids), other, radius, keys=[*keys, "b"])
-            .filter(geo.point_segment_distance(
-                F.col("a_x0"), F.col("a_y0"), *[F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")]) <= radius)
-            .select(*keys, F.col("a_network_id").alias("network_id"), "b",
-                    F.col("a_edge_id").alias("edge_id"), F.col("a_slice").alias("slice")).distinct()
-            .withColumn("_near", F.lit(True)))
-    marked = mids.join(near, spot, "left")
+    wall = [F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")]
+    met = spatial.bbox_join(boxed, other, radius, keys=[*keys, "b"])
+    if not bent:
+        # A midpoint lies on its edge; the slack covers the rounding of its place.
+        leg = [F.col(f"a_{c}") for c in ("x0", "y0", "x1", "y1")]
+        met = geo.once(met, "_apart", geo.segment_distance(*leg, *wall)).filter(F.col("_apart") <= radius * (1 + 1e-6) + 1e-6)
+    slices = met.select("*", F.explode(F.sequence(F.lit(0), F.col("a_n") - 1)).alias("slice"))
+    at = (F.col("slice") + 0.5) / F.col("a_n")
+    if bent:
+        spot = geo.once(slices, "_p", geo.point_at(F.col("a_path"), at * F.col("a_length")))
+        x, y = F.col("_p.x"), F.col("_p.y")
+    else:
+        spot = slices
+        x = F.col("a_x0") + at * (F.col("a_x1") - F.col("a_x0"))
+        y = F.col("a_y0") + at * (F.col("a_y1") - F.col("a_y0"))
+    near = geo.once(spot, "_off", geo.point_segment_distance(x, y, *wall)).filter(F.col("_off") <= radius).groupBy(
+        *keys, F.col("a_network_id").alias("network_id"), "b", F.col("a_edge_id").alias("edge_id")).agg(
+        F.size(F.collect_set("slice")).alias("_near"))
+    marked = rows.select(*edge, "length", "n").join(near, edge, "left").fillna(0, ["_near"])
+    out = F.col("length") * (F.col("n") - F.col("_near")) / F.col("n")
     return marked.groupBy(*keys, F.col("network_id").alias("a"), "b").agg(
-        F.sum("piece").alias("_total"),
-        F.sum(F.when(F.col("_near").isNull(), F.col("piece")).otherwise(0.0)).alias("_out")).select(
+        F.sum("length").alias("_total"), F.sum(out).alias("_out")).select(
         *keys, "a", "b", F.when(F.col("_total") < 1e-6, 0.0).otherwise(F.col("_out") / F.col("_total"))
         .alias("outside"))
 
