@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from utilnet.llm import bpe, decontaminate, langid, simhash, suffixes
 from utilnet.llm.queries import LANGUAGE_FOLDS, LANGUAGE_HELD_OUT, fold, table
-from utilnet.session import cut
+from utilnet.session import written as cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Stage decisions rest on suffix automata, fingerprints, suffix arrays and transducers.

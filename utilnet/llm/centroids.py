@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilnet.session import cut
+from utilnet.session import written as cut
 
 DIM, SCALE, CLUSTERS, ROUNDS, SEED = 64, 256, 40, 5, "2"
 SMALL = 1 << 24  # sums of DIM products of differences below twice this fit 64 bits

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utilnet.llm.common import bounded, mix, release, text_views, trim
-from utilnet.session import cut
+from utilnet.session import written as cut
 
 WINDOW = 13
 GRAM = 8

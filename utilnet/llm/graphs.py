@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from utilnet.session import cut
+from utilnet.session import written as cut
 
 SHARD = 2_500  # different vectors in a shard, about
 QUERIES = 4_000  # different query vectors in a tile, about

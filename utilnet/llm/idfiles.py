@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from utilnet.llm.bpe import LATIN, latin_pattern, rank_pattern
 from utilnet.llm.common import bounded, resident
-from utilnet.session import cut
+from utilnet.session import written as cut
 
 BLOCK = 2048  # ids in a block
 SEGMENT = 1 << 23  # ids in a segment; a longer document is a segment of its own

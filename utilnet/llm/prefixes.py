@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utilnet.operators.kernels import running
-from utilnet.session import cut
+from utilnet.session import written as cut
 
 SEGMENT = 256  # turns of a path that are sorted at once
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20  # paths of a forest

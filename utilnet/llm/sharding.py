@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from utilnet.operators.kernels import running
-from utilnet.session import cut, discard
+from utilnet.session import written as cut, discard
 
 SHARDS = 40
 LEVELS = 64  # offers are accepted in the order of their gain, on a logarithmic scale

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from utilnet.llm.common import doc_texts, release, trim
 from utilnet.operators.kernels import components
-from utilnet.session import cut
+from utilnet.session import written as cut
 
 SEED = 42
 FLUSH = 200_000  # shingles unpacked at once
