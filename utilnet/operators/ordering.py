@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from utilnet.functions.rules import relative_rating
 from utilnet.operators.kernels import running
+from utilnet.session import cut
 
 
 GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
@@ -20,8 +21,10 @@ def rank_variants(networks: DataFrame, keys: Sequence[str], order: Sequence[str]
                   score: str = "score") -> DataFrame:
     """Rank and rating of every network of a dataset; the order ends with a unique column.
 
-    Networks without a score have neither.
+    Networks without a score have neither. The rows are written first: a score that is summed again may differ in its
+    last bit, and the best one would then be better than the best.
     """
+    networks = cut(networks)
     scored = networks.filter(F.col(score).isNotNull())
     best = scored.groupBy(*keys).agg(F.min(score).alias("_best"))
     ranked = (running(scored, keys, order, row_number="rank").join(best, list(keys))
