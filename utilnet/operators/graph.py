@@ -62,7 +62,7 @@ def flows(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> Dat
     total = fold_subtrees(placed, keys, "edge_id", "up_edge", sums=["flow"])
     return (edges.join(total, keys + ["edge_id"])
             .withColumn("dn_idx", rules.flow_index(F.col("flow")))
-            .withColumn("dn", rules.dn_of(F.col("dn_idx"))))
+            .withColumn("dn", rules.dn_of(F.col("dn_idx"))).hint("merge"))
 
 
 def root_of(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -133,7 +133,7 @@ def flow_chains(flowed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         *keys, "edge_id", F.col("top").alias("chain_id"))
     member = cut(same.join(heads, keys + ["edge_id"]))
     size = member.groupBy(*keys, "chain_id").agg(F.sum("length").alias("chain_length"))
-    return member.join(size, keys + ["chain_id"]).drop("same_up", "up_flow")
+    return member.join(size, keys + ["chain_id"]).drop("same_up", "up_flow").hint("merge")
 
 
 def chain_dn(chains: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
