@@ -118,7 +118,7 @@ def ties_on_sources(nodes: DataFrame, sources: DataFrame, keys: Sequence[str] =
     ties = spatial.as_points(nodes.filter("node_type = 'tie'").select(*keys, "node_id", "existing_id", "x", "y"))
     side = [F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")]
     px, py = F.col("a_x0"), F.col("a_y0")
-    near = spatial.bbox_join(ties, sources.select(*keys, "object_id", "x0", "y0", "x1", "y1", "at0", "at1", *spatial.BOX), ON_SOURCE, keys=keys)
+    near = spatial.bbox_join(ties, sources.select(*keys, "object_id", "x0", "y0", "x1", "y1", "at0", "at1", *spatial.BOX), ON_SOURCE, keys=keys, sizes=(0.0, None))
     near = near.filter(F.col("a_existing_id") == F.col("b_object_id")).withColumn(
         "distance", geo.point_segment_distance(px, py, *side)).filter(F.col("distance") <= ON_SOURCE)
     at = F.col("b_at0") + geo.segment_position(px, py, *side) * (F.col("b_at1") - F.col("b_at0"))

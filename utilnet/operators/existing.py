@@ -105,7 +105,7 @@ def cluster_endpoints(ends: DataFrame, keys: Sequence[str] = KEYS,
     pts = cut(ends.select(*keys, "end_id", "x", "y"))
     spots = cut(pts.groupBy(*keys, "x", "y").agg(F.min("end_id").alias("end_id")))
     near = spatial.within(spatial.as_points(spots), spatial.as_points(spots), tolerance, "end_id",
-                          "end_id", keys, cell=4 * tolerance).filter("a_end_id < b_end_id")
+                          "end_id", keys, cell=4 * tolerance, sizes=(0.0, 0.0)).filter("a_end_id < b_end_id")
     labels = components(spots, near.select(*keys, F.col("a_end_id").alias("a"),
                                            F.col("b_end_id").alias("b")), keys, "end_id")
     vertices = spots.join(labels, keys + ["end_id"]).select(*keys, "x", "y", F.col("label").alias("vertex_id"))
