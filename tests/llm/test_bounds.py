@@ -1,10 +1,13 @@
 """Inputs that once took memory or time without bound, or ended a job."""
 
 import time
+import weakref
 
 import numpy as np
+import public_tokenizers as P
 
-from utilnet.llm import decontaminate, html, toxicity
+from utilnet.llm import bpe, decontaminate, html, toxicity
+from utilnet.llm.common import release, resident
 
 
 def plain_table(cells):
@@ -129,3 +132,23 @@ def test_exchange_keeps_loads_and_joins_cells(spark):
         assert sums[0] == sums[1]
     assert min(c[2] for c in after) > 0 and len(after) < 0.75 * len(rows)
     assert sharding._exchange(cells.limit(0)).count() == 0
+
+
+def test_a_tool_is_gone_before_the_next_one_is_built():
+    class Tool:
+        def __init__(self):
+            self.own = self  # only a collection frees it
+
+    release()
+    first = weakref.ref(resident("first", Tool))
+    assert first() is not None
+    assert resident("next", lambda: first() is None)
+    release()
+
+
+def test_a_closed_encoder_leaves_no_remembered_tokens():
+    release()
+    encoder, decoder = bpe.tools(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert decoder.decode(encoder.encode("日本語"))[1] and bpe.Utf8.after.cache_info().currsize
+    release()
+    assert not bpe.Utf8.after.cache_info().currsize

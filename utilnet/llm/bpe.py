@@ -324,6 +324,7 @@ class Tools:
         self.encoder.memory.clear()
         self.encoder.memory.older = {}
         self.encoder.machine.forget()
+        Utf8.after.cache_clear()
         gc.unfreeze()
         gc.set_threshold(700, 10, 10)
 

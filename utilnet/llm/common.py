@@ -23,10 +23,11 @@ def resident(key: object, build: Callable[[], object]) -> object:
 
 def release() -> None:
     """Drop the tool that is kept and hand free memory back: workers outlive their tasks."""
-    for tool in _resident.values():
+    while _resident:
+        tool = _resident.popitem()[1]
         if hasattr(tool, "close"):
             tool.close()
-    _resident.clear()
+        del tool  # a name would keep the tool alive beyond the collection
     trim()
 
 
