@@ -448,3 +448,38 @@ def test_added_tokens_are_read_as_the_library_reads_them(spark):
     rows.sort(key=lambda r: r.doc_id)
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in rows] == want
     assert [r.start for r in rows] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
+def test_new_pieces_go_to_the_library_together():
+    path = P.path("byte_bpe_50k.json")
+    tokenizer = idfiles.Tokenizer(path, P.PATTERN)
+    library, sent = tokenizer.library, []
+
+    class Counted:
+        @staticmethod
+        def encode_batch_fast(texts, **options):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    tokenizer.library = Counted
+    text = " ".join(f"wörd{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)) + "\n\n  end"
+    assert np.frombuffer(tokenizer.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(sent) < 10
+
+
+def test_pieces_begin_where_the_pattern_begins_them():
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer = idfiles.Tokenizer(P.path("byte_bpe_50k.json"), P.PATTERN)
+    alphabet = [*"  \n\t\r''''stremvldllabXé12²½!?-_", "\u0085", "\xa0", "　", "日", "́", "\x1c", "퟿", "�", "'ll", "'re", " 've", "١", "😀"]
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        texts = ["".join(rng.choice(alphabet, rng.integers(0, 20))) for _ in range(6)]
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in tokenizer.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_block_learns_from_all_of_its_lanes():
+    ids = np.tile(np.random.default_rng(3).integers(0, 50257, 1500), 40).astype(np.uint32)
+    coded = idfiles.encode(ids)
+    assert (idfiles.decode(coded) == ids).all()
+    assert len(coded) < len(ids) // 2

@@ -2,12 +2,13 @@
 
 Documents in ascending order of id become one sequence of token ids, cut into segments of whole
 documents and those into blocks of ``BLOCK`` ids. Every block starts with an empty model and has
-its own checksums, so it can be read, or found damaged, alone. The model predicts an id from
-what followed the last two ids (order 2), what followed the last one (order 1), and how often
-its neighbourhood of the vocabulary was met (order 0); the weight of a prediction follows from
-how often predictions of its order and confidence came true. All is integer arithmetic.
+its own checksums, so it can be read, or found damaged, alone. The model mixes what followed the
+last two ids (order 2), what followed the last one (order 1), and how often each id came (order
+0); the weight of a prediction follows from how often predictions of its order and confidence
+came true. All is integer arithmetic.
 
-The blocks of a segment are coded in step: position by position, for all of them at once.
+A block is cut into lanes of ``LANE`` ids, each with a range coder of its own. They are coded in
+step, position by position, and teach one model, which so learns from all of them.
 """
 
 from __future__ import annotations
@@ -26,226 +27,237 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from utilnet.llm.bpe import LATIN, latin_pattern, rank_pattern
+from utilnet.llm.bpe import rank_pattern
 from utilnet.llm.common import bounded, resident
 from utilnet.session import written as cut
 
-BLOCK = 2048  # ids in a block
+LANE = 512  # ids in a lane
+BLOCK = 8192 * LANE  # ids in a block
 SEGMENT = 1 << 23  # ids in a segment; a longer document is a segment of its own
 TEXT_BLOCK = 4 << 20
 PIECES = 200_000  # remembered pieces, and as many of the generation before
-SLOTS = 2048  # contexts that a block remembers for each order
+SLOT_BITS = 20  # contexts of order 2 that a block remembers
+SHARE_BITS = 20  # shares of order 0
+TOTAL_BITS = SHARE_BITS + 12  # and weights of orders
+RENEW = 64  # steps after which the shares of order 0 are made anew
 END_ID = 0
-MAGIC = b"IDS1"
+MAGIC = b"IDS2"
+#: The pattern whose boundaries are found without running it.
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OTHER, SPACE_, LETTER, NUMBER = range(4)
 
 _U = np.uint64
-_TOP, _BOT = _U(1 << 56), _U(1 << 48)
-_EVEN = 2  # weight of an id never met
-_SEEN = 96  # weight of a neighbourhood for each id met in it
-
-
-class Lanes:
-    """Models of many blocks, one position at a time. Tables are flat: block, then place."""
-
-    def __init__(self, n: int):
-        self.hashes = [np.zeros(n, np.int32) for _ in range(2)]
-        self.guess = [np.zeros(n * SLOTS, np.uint16) for _ in range(2)]
-        self.trust = [np.full(n * SLOTS, -1, np.int8) for _ in range(2)]
-        self.right = [np.ones(n * 3, np.int32) for _ in range(2)]
-        self.wrong = [np.ones(n * 3, np.int32) for _ in range(2)]
-        # order 0: ids met below each of 16 areas, and below each of 16 parts inside an area
-        self.areas = np.zeros((n, 17), np.int32)
-        self.parts = np.zeros((n * 16, 17), np.int32)
-        self.met = np.zeros(n, np.int32)
-        self.last = np.zeros(n, np.int32)
-        self.lane = np.arange(n, dtype=np.int32)
-        self.steps = np.arange(17, dtype=np.int32)
+_TOP, _BOT = _U(1 << 48), _U(1 << 40)
+
+
+class Model:
+    """What a block has taught so far, for all of its lanes; every step predicts one id in each lane."""
+
+    def __init__(self, lanes: int):
+        self.last = np.zeros(lanes, np.int64)
+        self.before = np.zeros(lanes, np.int64)
+        self.guess = [np.zeros(1 << 16, np.int32), np.zeros(1 << SLOT_BITS, np.int32)]  # trust << 16 | id
+        self.count = np.zeros(1 << 16, np.int64)
+        self.fresh: list[np.ndarray] = []  # ids not yet counted
+        self.came = np.zeros((3, 32), np.int64)  # neither order right, order 1, order 2; by class
+        self.step = 0
+        self._weigh()
+        self._spread()
+
+    def _weigh(self) -> None:
+        """Weights, of 4096, by class: trust of order 2, trust of order 1, whether they agree."""
+        k = np.arange(32)
+        one, two, same = (k >> 1) & 3, k >> 3, k & 1
+        total = 2 * self.came.sum(axis=0) + 4
+        self.two = np.where(two > 0, 4080 * (2 * self.came[2] + 1) // total, 0)
+        self.one = np.where((one > 0) & ~((same > 0) & (two > 0)), 4080 * (2 * self.came[1] + 1) // total, 0)
+
+    def _spread(self) -> None:
+        """Order 0: the share of every id, of 1 << SHARE_BITS, at least one."""
+        if self.fresh:
+            self.count += np.bincount(np.concatenate(self.fresh), minlength=1 << 16)
+            self.fresh = []
+        free = (1 << SHARE_BITS) - (1 << 16)
+        self.size = self.count * free // max(int(self.count.sum()), 1) + 1
+        self.size[self.size.argmax()] += (1 << SHARE_BITS) - int(self.size.sum())
+        self.low = np.cumsum(self.size) - self.size
+        self.owner: np.ndarray | None = None
 
     def predict(self, n: int) -> None:
-        """Look up the guesses of the first n blocks and weigh them."""
-        self.n = n
-        self.base = (self.met[:n] * _SEEN + _EVEN * 65536).astype(np.int64)
-        self.total = self.base.copy()
-        self.bets = []
-        for k in range(2):
-            slot = self.lane[:n] * SLOTS + self.hashes[k][:n]
-            trust = self.trust[k].take(slot)
-            level = self.lane[:n] * 3 + np.maximum(trust, 0)
-            odds = np.minimum((self.right[k].take(level) << 8) // self.wrong[k].take(level), 1 << 13)
-            weight = np.where(trust >= 0, (self.base * odds) >> 8, 0)
-            guess = self.guess[k].take(slot).astype(np.int32)
-            self.bets.append((slot, trust, level, guess, weight))
-            self.total += weight
-
-    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weight of all ids under x, weight of x), bets left out."""
-        area, part, inner = x >> 12, (x >> 8) & 15, x & 255
-        row = self.lane[:self.n] * 16 + area
-        at = row * 17 + part
-        parts = self.parts.reshape(-1)
-        first = parts.take(at)
-        inside = (parts.take(at + 1) - first) * _SEEN
-        low = (inside * inner) >> 8
-        below = (self.areas.reshape(-1).take(self.lane[:self.n] * 17 + area) + first) * _SEEN + low + _EVEN * x
-        return below.astype(np.int64), (((inside * (inner + 1)) >> 8) - low + _EVEN).astype(np.int64)
+        """Guesses of the first n lanes and the ranges, of 1 << TOTAL_BITS, that they take."""
+        last = self.last[:n].copy()
+        self.at = [last, ((self.before[:n] * 0x1E3779B1 + last * 0x25EBCA6B) >> 12) & ((1 << SLOT_BITS) - 1)]
+        self.seen = [g.take(at) for g, at in zip(self.guess, self.at)]
+        (one, two), (t1, t2) = [e & 0xFFFF for e in self.seen], [e >> 16 for e in self.seen]
+        same = (one == two) & (t2 > 0)
+        self.kind = (t2 << 3) + (t1 << 1) + same
+        w1, w2 = self.one.take(self.kind), self.two.take(self.kind)
+        self.rest = 4096 - w1 - w2
+        # what a guess has from order 0 lies beside its weight and is left out below
+        self.own1 = self.size.take(one) * ((t1 > 0) & ~same)
+        self.own2 = self.size.take(two) * (t2 > 0)
+        self.g1, self.g2 = one, two
+        self.m2 = (w2 << SHARE_BITS) + self.rest * self.own2
+        self.m12 = self.m2 + (w1 << SHARE_BITS) + self.rest * self.own1
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weight of the ids under x, weight of x)."""
-        low, size = self.own(x)
-        for _, _, _, guess, weight in self.bets:
-            low += weight * (guess < x)
-            size += weight * (guess == x)
-        return low, size
-
-    def find(self, target: np.ndarray) -> np.ndarray:
-        """The id whose range of weights holds the target."""
-        rest, out = target.copy(), np.full(self.n, -1, np.int32)
-        for _, _, _, guess, weight in self.bets:
-            low, size = self.place(guess)
-            past = target >= low + size
-            out = np.where((out < 0) & (weight > 0) & (low <= target) & ~past, guess, out)
-            rest -= weight * past
-        left = np.flatnonzero(out < 0)
-        if not len(left):
-            return out
-        rest, lane = rest[left].astype(np.int32), self.lane[left]
-        areas = self.areas[lane] * _SEEN + _EVEN * 4096 * self.steps
-        area = np.minimum((areas <= rest[:, None]).sum(axis=1, dtype=np.int32) - 1, 15)
-        index = np.arange(len(left))
-        rest -= areas[index, area]
-        row = self.parts[lane * 16 + area] * _SEEN
-        parts = row + _EVEN * 256 * self.steps
-        part = np.minimum((parts <= rest[:, None]).sum(axis=1, dtype=np.int32) - 1, 15)
-        rest -= parts[index, part]
-        inside = row[index, part + 1] - row[index, part]
-        inner = np.minimum((rest << 8) // (inside + _EVEN * 256), 255)
-        for _ in range(2):  # the quotient may be one off
-            inner += (inner < 255) & (((inside * (inner + 1)) >> 8) + _EVEN * (inner + 1) <= rest)
-            inner -= ((inside * inner) >> 8) + _EVEN * inner > rest
-        out[left] = (area << 12) + (part << 8) + inner
-        return out
+        """(start, size) of the ranges of ids."""
+        is2 = (x == self.g2) & (self.own2 > 0)
+        is1 = (x == self.g1) & (self.own1 > 0)
+        low = self.low.take(x) - self.own2 * (self.g2 < x) - self.own1 * (self.g1 < x)
+        start = np.where(is2, 0, np.where(is1, self.m2, self.m12 + self.rest * low))
+        return start, np.where(is2, self.m2, np.where(is1, self.m12 - self.m2, self.rest * self.size.take(x)))
+
+    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose range holds the target, and that range."""
+        if self.owner is None:
+            self.owner = np.repeat(np.arange(1 << 16, dtype=np.int32), self.size)
+        is2 = target < self.m2
+        x, start, size = np.where(is2, self.g2, self.g1), np.where(is2, 0, self.m2), np.where(is2, self.m2, self.m12 - self.m2)
+        left = np.flatnonzero(target >= self.m12)
+        if len(left):
+            rest, base, g1, g2, own1, own2 = (v[left] for v in (self.rest, self.m12, self.g1, self.g2, self.own1, self.own2))
+            at = (target[left] - base) // rest
+            turn = g1 < g2
+            first, second = np.where(turn, g1, g2), np.where(turn, g2, g1)
+            at += np.where(turn, own1, own2) * (at >= self.low.take(first))
+            at += np.where(turn, own2, own1) * (at >= self.low.take(second))
+            found = self.owner.take(at)
+            x[left] = found
+            start[left] = base + rest * (self.low.take(found) - own2 * (g2 < found) - own1 * (g1 < found))
+            size[left] = rest * self.size.take(found)
+        return x, start, size
 
     def learn(self, x: np.ndarray) -> None:
-        n = self.n
-        for k, (slot, trust, level, guess, _) in enumerate(self.bets):
-            known, hit = trust >= 0, guess == x
-            self.right[k][level] += 2 * (known & hit)
-            self.wrong[k][level] += 2 * (known & ~hit)
-            new = ~known | (~hit & (trust == 0))
-            self.guess[k][slot] = np.where(new, x, guess)
-            self.trust[k][slot] = np.where(new, 0, np.where(hit, np.minimum(trust + 1, 2), trust - 1))
-        area, part = x >> 12, (x >> 8) & 15
-        self.areas[:n] += self.steps > area[:, None]
-        self.parts[self.lane[:n] * 16 + area] += self.steps > part[:, None]
-        self.met[:n] += 1
-        self.hashes[0][:n] = (x * 40503 >> 4) % SLOTS
-        self.hashes[1][:n] = (self.last[:n] * 30011 + x * 62989 >> 3) % SLOTS
+        """Ids of a step; of lanes in one context the last one counts."""
+        n = len(x)
+        right = [x == self.g1, x == self.g2]
+        new = x | 65536
+        for guess, at, seen, hit in zip(self.guess, self.at, self.seen, right):
+            after = np.where(seen < 131072, new, seen - 65536)
+            np.copyto(after, np.minimum(seen + 65536, seen | 196608), where=hit)
+            guess[at] = after
+        # agreeing guesses are one of order 2
+        which = np.where(right[1] & (self.own2 > 0), 64, (right[0] & (self.own1 > 0)) * 32)
+        self.came += np.bincount(which + self.kind, minlength=96).reshape(3, 32)
+        self.before[:n] = self.last[:n]
         self.last[:n] = x
+        self.fresh.append(x)
+        self.step += 1
+        if self.step < 8 or not self.step % 8:
+            self._weigh()
+        if self.step % RENEW == 0 or (self.step < RENEW and self.step & (self.step - 1) == 0):
+            self._spread()
 
 
 def _renew(low: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """Blocks whose leading byte is settled, again and again; their ranges are widened after use."""
-    live = np.arange(len(low))
-    while True:
-        a, b = low[live], size[live]
-        settled = (a ^ (a + b)) < _TOP
-        tight = ~settled & (b < _BOT)
-        size[live[tight]] = (~a[tight] + _U(1)) & (_BOT - _U(1))
-        live = live[settled | tight]
-        if not len(live):
-            return
+    """Lanes whose leading 16 bits are settled, again and again; their ranges are widened after use."""
+    end = low + size
+    settled = (low ^ end) < _TOP
+    live = np.flatnonzero(settled | (size < _BOT))
+    settled = settled[live]
+    while len(live):
+        tight = live[~settled]
+        size[tight] = (~low[tight] + _U(1)) & (_BOT - _U(1))
         yield live
-        low[live] <<= _U(8)
-        size[live] <<= _U(8)
+        a, b = low[live] << _U(16), size[live] << _U(16)
+        low[live], size[live] = a, b
+        settled = (a ^ (a + b)) < _TOP
+        more = settled | (b < _BOT)
+        live, settled = live[more], settled[more]
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """A segment of ids (below 65536) as coded, checksummed blocks."""
-    lanes = -(-len(ids) // BLOCK)
-    if not lanes:
-        return MAGIC + struct.pack("<I", 0)
-    padded = np.zeros(lanes * BLOCK, np.int32)
-    padded[:len(ids)] = ids
-    table = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    tail = len(ids) - (lanes - 1) * BLOCK
-    model = Lanes(lanes)
+def _encode_block(ids: np.ndarray) -> bytes:
+    lanes = -(-len(ids) // LANE)
+    table = np.zeros(lanes * LANE, np.int32)
+    table[:len(ids)] = ids
+    table = np.ascontiguousarray(table.reshape(lanes, LANE).T)
+    tail = len(ids) - (lanes - 1) * LANE
+    model = Model(lanes)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, used = np.zeros((lanes, 4 * BLOCK + 64), np.uint8), np.zeros(lanes, np.int64)
-    for t in range(min(BLOCK, len(ids))):
+    width = 3 * LANE + 16
+    out, used = np.zeros(lanes * width, "<u2"), np.arange(lanes) * width
+    for t in range(min(LANE, len(ids))):
         n = lanes if t < tail else lanes - 1
-        if not n:
-            break
         model.predict(n)
         x = table[t, :n]
-        below, weight = model.place(x)
-        step = size[:n] // model.total.astype(np.uint64)
-        low[:n] += step * below.astype(np.uint64)
-        size[:n] = step * weight.astype(np.uint64)
+        start, own = model.place(x)
+        step = size[:n] >> _U(TOTAL_BITS)
+        low[:n] += step * start.view(np.uint64)
+        size[:n] = step * own.view(np.uint64)
         for live in _renew(low[:n], size[:n]):
-            out[live, used[live]] = (low[live] >> _U(56)).astype(np.uint8)
+            out[used[live]] = low[live] >> _U(48)
             used[live] += 1
         model.learn(x)
-    parts = [MAGIC, struct.pack("<I", lanes)]
-    flush = low.astype(">u8").tobytes()
-    for k in range(lanes):
-        body = out[k, :used[k]].tobytes() + flush[8 * k:8 * k + 8]
-        own = ids[k * BLOCK:(k + 1) * BLOCK].astype("<u4").tobytes()
-        parts.append(struct.pack("<IIII", len(own) // 4, len(body), zlib.crc32(own), zlib.crc32(body)))
-        parts.append(body)
-    return b"".join(parts)
+    used -= np.arange(lanes) * width
+    flush = (low[:, None] >> np.array([48, 32, 16, 0], np.uint64)).astype("<u2")
+    out = out.reshape(lanes, width)
+    words = [w for k in range(lanes) for w in (out[k, :used[k]].tobytes(), flush[k].tobytes())]
+    body = (used + 4).astype("<u2").tobytes() + b"".join(words)
+    own = ids.astype("<u4").tobytes()
+    return struct.pack("<IIII", len(ids), len(body), zlib.crc32(own), zlib.crc32(body)) + body
+
+
+def _decode_block(n_ids: int, body: bytes) -> np.ndarray:
+    lanes = -(-n_ids // LANE)
+    length = np.frombuffer(body, "<u2", lanes).astype(np.int64)
+    feed = np.concatenate([np.frombuffer(body, "<u2", offset=2 * lanes), np.zeros(8, "<u2")]).astype(np.uint64)
+    used = np.cumsum(length) - length
+    code = np.zeros(lanes, np.uint64)
+    for _ in range(4):
+        code = (code << _U(16)) | feed[used]
+        used += 1
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    model = Model(lanes)
+    table = np.zeros((LANE, lanes), "<u4")
+    tail = n_ids - (lanes - 1) * LANE
+    for t in range(min(LANE, n_ids)):
+        n = lanes if t < tail else lanes - 1
+        model.predict(n)
+        step = size[:n] >> _U(TOTAL_BITS)
+        target = np.minimum((code[:n] - low[:n]) // step, _U((1 << TOTAL_BITS) - 1))
+        x, start, own = model.find(target.view(np.int64))
+        low[:n] += step * start.view(np.uint64)
+        size[:n] = step * own.view(np.uint64)
+        for live in _renew(low[:n], size[:n]):
+            code[live] = (code[live] << _U(16)) | feed[used[live]]
+            used[live] += 1
+        model.learn(x)
+        table[t, :n] = x
+    return table.T.reshape(-1)[:n_ids]
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """A segment of ids (below 65536) as coded, checksummed blocks."""
+    blocks = [_encode_block(ids[k:k + BLOCK]) for k in range(0, len(ids), BLOCK)]
+    return b"".join([MAGIC, struct.pack("<I", len(blocks)), *blocks])
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a segment; a damaged block raises ValueError."""
     if data[:4] != MAGIC:
         raise ValueError("not an id segment")
-    lanes = struct.unpack_from("<I", data, 4)[0]
-    if not lanes:
-        return np.zeros(0, np.uint32)
-    at, heads, bodies = 8, [], []
-    for k in range(lanes):
+    at, out = 8, []
+    for k in range(struct.unpack_from("<I", data, 4)[0]):
         n, length, ids_crc, body_crc = struct.unpack_from("<IIII", data, at)
         body = data[at + 16:at + 16 + length]
         if len(body) != length or zlib.crc32(body) != body_crc:
             raise ValueError(f"block {k} is damaged")
-        heads.append((n, ids_crc))
-        bodies.append(body)
-        at += 16 + length
-    feed = np.zeros((lanes, max(map(len, bodies)) + 16), np.uint8)
-    for k, body in enumerate(bodies):
-        feed[k, :len(body)] = np.frombuffer(body, np.uint8)
-    code = np.ascontiguousarray(feed[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
-    used = np.full(lanes, 8)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    model = Lanes(lanes)
-    table = np.zeros((BLOCK, lanes), np.int32)
-    tail = heads[-1][0]
-    for t in range(max(h[0] for h in heads)):
-        n = lanes if t < tail else lanes - 1
-        model.predict(n)
-        total = model.total.astype(np.uint64)
-        step = size[:n] // total
-        x = model.find(np.minimum((code[:n] - low[:n]) // step, total - _U(1)).astype(np.int64))
-        below, weight = model.place(x)
-        low[:n] += step * below.astype(np.uint64)
-        size[:n] = step * weight.astype(np.uint64)
-        for live in _renew(low[:n], size[:n]):
-            code[live] = (code[live] << _U(8)) | feed[live, used[live]]
-            used[live] += 1
-        model.learn(x)
-        table[t, :n] = x
-    ids = table.T.reshape(-1)[:(lanes - 1) * BLOCK + tail].astype("<u4")
-    for k, (n, crc) in enumerate(heads):
-        if zlib.crc32(ids[k * BLOCK:k * BLOCK + n].tobytes()) != crc:
+        ids = _decode_block(n, body)
+        if zlib.crc32(ids.tobytes()) != ids_crc:
             raise ValueError(f"block {k} decodes wrongly")
-    return ids
+        out.append(ids)
+        at += 16 + length
+    return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
 class Tokenizer:
     """Whole texts to packed ids: the library encodes every piece that its own pattern splits off.
 
-    Pieces are encoded independently by such a tokenizer, so those met before are remembered. A
-    text that holds the string of an added token goes to the library whole.
+    Pieces are encoded independently by such a tokenizer, so those met before are remembered, and
+    new ones go to it in one text, apart by line feeds. The pattern's boundaries are found for all
+    texts of a block at once. A text that holds the string of an added token goes to the library
+    whole; one with characters beyond 16 bits is split by the pattern itself.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -257,33 +269,112 @@ class Tokenizer:
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.split = regex.compile(rank_pattern(pattern)).findall
-        self.latin = re.compile(latin_pattern(pattern)).findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {k: t for k, t in enumerate(texts) if self.added(t)}
-        pieces = [() if k in whole else (self.latin if LATIN(t) else self.split)(t) for k, t in enumerate(texts)]
+        self.wide = re.compile("[^\x00-\ud7ff\ue000-\uffff]").search
+        self.kinds = np.full(1 << 16, OTHER, np.uint8) if pattern == GPT2 else None
+        if self.kinds is not None:
+            plane = "".join(map(chr, range(1 << 16)))
+            for kind, name in ((SPACE_, rf"\p{{White_Space}}"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+                self.kinds[[ord(c) for c in regex.findall(name, plane)]] = kind
+        self.white = {chr(c).encode("utf-16-le") for c in np.flatnonzero(self.kinds == SPACE_).tolist()} if self.kinds is not None else set()
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _cuts(self, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where pieces begin in texts that end at ``ends``; the pattern's alternatives, one by one."""
+        kind = self.kinds.take(units)
+        first = np.zeros(len(units) + 1, bool)
+        first[0] = True
+        first[ends] = True
+        turn = first[:-1].copy()
+        turn[1:] |= kind[1:] != kind[:-1]  # a run of one kind begins
+        space = kind == SPACE_
+        cut = turn.copy()
+        # the last white space before something else is a piece of its own, a blank one goes with what follows
+        final = np.flatnonzero(space[:-1] & turn[1:] & ~first[1:-1])
+        cut[final] = True
+        cut[final[units[final] == 32] + 1] = False
+        # contractions: an apostrophe that begins a piece, and what of the letters after it belongs to it
+        mark = np.flatnonzero((units == 39) & cut)
+        for tail in ("s", "t", "re", "ve", "m", "ll", "d"):
+            fits = mark[mark + len(tail) < len(units)]
+            for k, letter in enumerate(tail, 1):
+                fits = fits[(units[fits + k] == ord(letter)) & ~first[fits + k]]
+            cut[fits + 1] = False
+            after = fits + len(tail) + 1
+            after = after[after < len(units)]
+            # letters go on as a new piece; anything else begins one already, or is a blank of one
+            cut[after[kind[after] == LETTER]] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Remember the ids of pieces (UTF-16): together where a line feed surely parts them."""
+        texts = [p.decode("utf-16-le") for p in missing]
+        apart = [p for p in missing if p[-2:] not in self.white]  # of the others, each ends in white space
+        alone = [p for p in missing if p[-2:] in self.white]
+        if self.kinds is None or self.feed is None:
+            apart, alone = [], missing
+        for at in range(0, len(apart), 1000):
+            some = apart[at:at + 1000]
+            text = b"\n\0".join(some).decode("utf-16-le")
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            if len(ends) != len(some):
+                alone += some
+                continue
+            packed, ends = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(some, [packed[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
+        for p, found in zip(alone, self.library.encode_batch_fast([p.decode("utf-16-le") for p in alone], add_special_tokens=False)):
+            self.known[p] = array("I", found.ids).tobytes()
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct pieces."""
         if len(self.known) > PIECES:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = {p for row in pieces for p in row if p not in known}
-        missing = []
-        for p in new:
-            if p in older:
-                known[p] = older[p]
-            else:
-                missing.append(p)
-        for p, found in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-            known[p] = array("I", found.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, row)) for row in pieces]
-        for k, found in zip(whole, self.library.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
-            out[k] = array("I", found.ids).tobytes()
+        new = [p for p in pieces if p not in known]
+        known.update((p, older[p]) for p in new if p in older)
+        missing = [p for p in new if p not in known]
+        self._learn(missing)
+        out = list(map(known.__getitem__, pieces))
         for p in missing:
-            if len(p) > 60:
+            if len(p) > 120:
                 del known[p]
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        plain, rest, whole = [], [], []
+        for k, t in enumerate(texts):
+            (whole if self.added(t) else rest if self.kinds is None or self.wide(t) else plain).append(k)
+        for k, found in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = array("I", found.ids).tobytes()
+        for k in rest:
+            pieces = [p.encode("utf-16-le") for p in self.split(texts[k])]
+            distinct = list(dict.fromkeys(pieces))
+            out[k] = b"".join(map(dict(zip(distinct, self._ids(distinct))).__getitem__, pieces))
+        packed = [texts[k].encode("utf-16-le") for k in plain]
+        raw = b"".join(packed)
+        if not raw:
+            return out
+        units = np.frombuffer(raw, "<u2")
+        ends = np.cumsum([len(p) // 2 for p in packed])
+        cuts = np.append(self._cuts(units, ends), len(units))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(2 * cuts), pa.py_buffer(raw)])
+        coded = pieces.dictionary_encode()
+        found = self._ids(coded.dictionary.to_pylist())
+        size = np.array([len(f) // 4 for f in found], np.int64)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        which = coded.indices.to_numpy()
+        n = size.take(which)
+        end = np.cumsum(n)
+        ids = flat.take(np.repeat((np.cumsum(size) - size).take(which) - (end - n), n) + np.arange(end[-1]))
+        stops = np.append(0, end)[np.searchsorted(cuts, ends)]
+        for k, a, b in zip(plain, [0, *stops[:-1].tolist()], stops.tolist()):
+            out[k] = ids[a:b].tobytes()
+        return out
+
 
 def write(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Write the id files of (doc_id, text) in the shared folder and return their segments.
