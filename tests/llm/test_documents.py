@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -478,6 +479,40 @@ def test_pieces_begin_where_the_pattern_begins_them():
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_pieces_skip_the_pattern_and_memory_stays_bounded(monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    library, tokenizer = Tokenizer.from_file(path), idfiles.Tokenizer(path, P.PATTERN)
+    whole = []
+
+    class Whole:
+        @staticmethod
+        def encode_batch_fast(texts, **options):
+            whole.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    tokenizer.library = Whole
+    monkeypatch.setattr(idfiles, "PIECES", 20)
+    rng = np.random.default_rng(5)
+    every = "".join(map(chr, [*range(0x250), *range(0x4e00, 0x4e20), 0x2028, 0xfeff, 0xffff, 0x1f600, 0x10ffff]))
+    for k in range(40):
+        texts = ["".join(rng.choice([*every, *" \n'aeinst" * 9], rng.integers(0, 60))) for _ in range(4)] + ["one two one  \n two", "x" * (300 * (k % 3)), every]
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in tokenizer.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        tokenizer._forget()
+        assert len(tokenizer.pieces) == 20 and max(map(len, tokenizer.pieces.to_pylist())) <= idfiles.LONG
+    assert whole == []
+
+
+def test_a_byte_without_an_id_leaves_the_others_whole(tmp_path):
+    given = json.loads(Tokenizer.from_file(P.path("byte_bpe_50k.json")).to_str())
+    given["model"] |= {"merges": [], "vocab": {c: k for k, c in enumerate("abcdeĠĊ")}}
+    path = tmp_path / "few.json"
+    path.write_text(json.dumps(given))
+    library, tokenizer = Tokenizer.from_file(str(path)), idfiles.Tokenizer(str(path), P.PATTERN)
+    texts = ["abc zzz", "a z b\n\n", "zz", "", "edcba e"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in tokenizer.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_block_learns_from_all_of_its_lanes():
     ids = np.tile(np.random.default_rng(3).integers(0, 50257, 1500), 40).astype(np.uint32)
     coded = idfiles.encode(ids)

@@ -35,7 +35,9 @@ LANE = 512  # ids in a lane
 BLOCK = 8192 * LANE  # ids in a block
 SEGMENT = 1 << 23  # ids in a segment; a longer document is a segment of its own
 TEXT_BLOCK = 4 << 20
-PIECES = 200_000  # remembered pieces, and as many of the generation before
+PIECES = 200_000  # pieces that stay remembered when twice as many are
+LONG = 120  # bytes of a piece that is not kept then
+JOINED = 32  # new pieces that the library gets in one text
 SLOT_BITS = 20  # contexts of order 2 that a block remembers
 SHARE_BITS = 20  # shares of order 0
 TOTAL_BITS = SHARE_BITS + 12  # and weights of orders
@@ -254,10 +256,11 @@ def decode(data: bytes) -> np.ndarray:
 class Tokenizer:
     """Whole texts to packed ids: the library encodes every piece that its own pattern splits off.
 
-    Pieces are encoded independently by such a tokenizer, so those met before are remembered, and
-    new ones go to it in one text, apart by line feeds. The pattern's boundaries are found for all
-    texts of a block at once. A text that holds the string of an added token goes to the library
-    whole; one with characters beyond 16 bits is split by the pattern itself.
+    Pieces are encoded independently by such a tokenizer, so those met before are remembered, in
+    arrays, and the library is given the new ones of a block, many in a text, by a tokenizer that
+    has its model and parts them where they were joined. The pattern's boundaries are found for
+    all texts of a block at once. A text that holds the string of an added token goes to the
+    library whole; one with characters beyond 16 bits is split by the pattern itself.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -265,6 +268,7 @@ class Tokenizer:
         import re
 
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
         self.library = Library.from_file(path)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
@@ -275,11 +279,17 @@ class Tokenizer:
             plane = "".join(map(chr, range(1 << 16)))
             for kind, name in ((SPACE_, rf"\p{{White_Space}}"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
                 self.kinds[[ord(c) for c in regex.findall(name, plane)]] = kind
-        self.white = {chr(c).encode("utf-16-le") for c in np.flatnonzero(self.kinds == SPACE_).tolist()} if self.kinds is not None else set()
-        feed = self.library.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else None
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        given, self.joint = self.library.pre_tokenizer, None
+        if self.kinds is not None and self.library.normalizer is None and isinstance(given, ByteLevel) and given.use_regex and not given.add_prefix_space:
+            # the model of such a library sees a letter for each byte, none of them a line feed
+            self.joint = Library(self.library.model)
+            self.joint.pre_tokenizer = CharDelimiterSplit("\n")
+            self.letters = _byte_letters()
+            vocabulary = self.joint.get_vocab()
+            self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of an id
+            self.length[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.round = 0
+        self._keep(pa.array([], pa.large_binary()), *(np.zeros(0, t) for t in ("<u4", np.int64, np.int32)))
 
     def _cuts(self, units: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where pieces begin in texts that end at ``ends``; the pattern's alternatives, one by one."""
@@ -308,40 +318,51 @@ class Tokenizer:
             cut[after[kind[after] == LETTER]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, missing: list[bytes]) -> None:
-        """Remember the ids of pieces (UTF-16): together where a line feed surely parts them."""
-        texts = [p.decode("utf-16-le") for p in missing]
-        apart = [p for p in missing if p[-2:] not in self.white]  # of the others, each ends in white space
-        alone = [p for p in missing if p[-2:] in self.white]
-        if self.kinds is None or self.feed is None:
-            apart, alone = [], missing
-        for at in range(0, len(apart), 1000):
-            some = apart[at:at + 1000]
-            text = b"\n\0".join(some).decode("utf-16-le")
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-            if len(ends) != len(some):
-                alone += some
-                continue
-            packed, ends = ids.tobytes(), (4 * ends).tolist()
-            self.known.update(zip(some, [packed[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
-        for p, found in zip(alone, self.library.encode_batch_fast([p.decode("utf-16-le") for p in alone], add_special_tokens=False)):
-            self.known[p] = array("I", found.ids).tobytes()
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct pieces."""
-        if len(self.known) > PIECES:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = [p for p in pieces if p not in known]
-        known.update((p, older[p]) for p in new if p in older)
-        missing = [p for p in new if p not in known]
-        self._learn(missing)
-        out = list(map(known.__getitem__, pieces))
-        for p in missing:
-            if len(p) > 120:
-                del known[p]
-        return out
+    def _keep(self, pieces: pa.Array, flat: np.ndarray, size: np.ndarray, used: np.ndarray) -> None:
+        """The memory: distinct pieces, their ids one after the other, how many, and the last block with them."""
+        self.pieces, self.flat, self.size, self.used = pieces, flat, size, used
+        self.begin = np.cumsum(size) - size
+
+    def _forget(self) -> None:
+        """Keep the pieces that were used last, of those that are not long."""
+        short = np.flatnonzero(np.diff(_offsets(self.pieces)) <= LONG)
+        kept = short[np.sort(np.argsort(self.used[short], kind="stable")[-PIECES:])]
+        size = self.size[kept]
+        self._keep(self.pieces.take(pa.array(kept)), self.flat.take(_runs(self.begin[kept], size)), size, self.used[kept])
+
+    def _look(self, pieces: list[pa.Array]) -> np.ndarray:
+        """Where pieces are in the memory; it learns the new ones."""
+        self.round += 1
+        if len(self.pieces) > 2 * PIECES or self.pieces.nbytes > 8 * TEXT_BLOCK:
+            self._forget()
+        n = len(self.pieces)
+        coded = pa.chunked_array([self.pieces, *pieces]).dictionary_encode().chunks[-len(pieces):]
+        every = coded[-1].dictionary
+        which = np.concatenate([c.indices.to_numpy() for c in coded])
+        flat, size = self._learn(every.slice(n)) if len(every) > n else (self.flat[:0], self.size[:0])
+        self._keep(every, np.concatenate([self.flat, flat]), np.concatenate([self.size, size]),
+                   np.concatenate([self.used, np.zeros(len(size), np.int32)]))
+        self.used[which] = self.round
+        return which
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has."""
+        at = _offsets(pieces)
+        if self.joint is not None:
+            letters = self.letters.take(np.frombuffer(pieces.buffers()[2], np.uint8)[at[0]:at[-1]])
+            text = np.insert(letters, at[1:-1] - at[0], ord("\n")).tobytes().decode("utf-16-le")
+            begin = (at - at[0] + np.arange(len(at)))[[*range(0, len(pieces), JOINED), len(pieces)]].tolist()
+            texts, found = [text[a:b - 1] for a, b in zip(begin, begin[1:])], []
+            for k in range(0, len(texts), 8):
+                found += [np.array(e.ids, "<u4") for e in self.joint.encode_batch_fast(texts[k:k + 8], add_special_tokens=False)]
+            flat = np.concatenate(found)
+            done = np.append(0, np.cumsum(self.length.take(flat)))
+            ends = np.searchsorted(done, at - at[0])
+            if done[-1] == at[-1] - at[0] and (done[ends] == at - at[0]).all():
+                return flat, np.diff(ends)
+        # a byte without an id, or another kind of library: every piece by itself
+        found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces.to_pylist()], add_special_tokens=False)]
+        return np.array([i for f in found for i in f], "<u4"), np.array([len(f) for f in found], np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
@@ -350,32 +371,50 @@ class Tokenizer:
             (whole if self.added(t) else rest if self.kinds is None or self.wide(t) else plain).append(k)
         for k, found in zip(whole, self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
             out[k] = array("I", found.ids).tobytes()
-        for k in rest:
-            pieces = [p.encode("utf-16-le") for p in self.split(texts[k])]
-            distinct = list(dict.fromkeys(pieces))
-            out[k] = b"".join(map(dict(zip(distinct, self._ids(distinct))).__getitem__, pieces))
-        packed = [texts[k].encode("utf-16-le") for k in plain]
-        raw = b"".join(packed)
-        if not raw:
+        pieces, stops = [], np.zeros(len(plain) + 1, np.int64)  # pieces up to the end of a text
+        text = "".join([texts[k] for k in plain])
+        if text:
+            units, raw = np.frombuffer(text.encode("utf-16-le"), "<u2"), text.encode()
+            ends = np.cumsum([len(texts[k]) for k in plain])
+            cuts = np.append(self._cuts(units, ends), len(units))
+            stops = np.append(0, np.searchsorted(cuts, ends))
+            if len(raw) > len(units):  # from 16-bit units to bytes
+                width = np.uint8(1) + (units >= 0x80) + (units >= 0x800)
+                cuts = np.append(0, np.cumsum(np.add.reduceat(width, cuts[:-1], dtype=np.int64)))
+            pieces.append(pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]))
+        if rest:
+            found = [self.split(texts[k]) for k in rest]
+            stops = np.append(stops, stops[-1] + np.cumsum(list(map(len, found))))
+            pieces.append(pa.array([p.encode() for f in found for p in f], pa.large_binary()))
+        if not stops[-1]:
             return out
-        units = np.frombuffer(raw, "<u2")
-        ends = np.cumsum([len(p) // 2 for p in packed])
-        cuts = np.append(self._cuts(units, ends), len(units))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(2 * cuts), pa.py_buffer(raw)])
-        coded = pieces.dictionary_encode()
-        found = self._ids(coded.dictionary.to_pylist())
-        size = np.array([len(f) // 4 for f in found], np.int64)
-        flat = np.frombuffer(b"".join(found), "<u4")
-        which = coded.indices.to_numpy()
-        n = size.take(which)
-        end = np.cumsum(n)
-        ids = flat.take(np.repeat((np.cumsum(size) - size).take(which) - (end - n), n) + np.arange(end[-1]))
-        stops = np.append(0, end)[np.searchsorted(cuts, ends)]
-        for k, a, b in zip(plain, [0, *stops[:-1].tolist()], stops.tolist()):
+        which = self._look(pieces)
+        n = self.size.take(which)
+        ids = self.flat.take(_runs(self.begin.take(which), n))
+        ends = np.append(0, np.cumsum(n))[stops].tolist()
+        for k, a, b in zip(plain + rest, ends, ends[1:]):
             out[k] = ids[a:b].tobytes()
         return out
 
 
+def _byte_letters() -> np.ndarray:
+    """The letter that stands for each byte: itself if it is printable, or the next one from 256 on."""
+    seen = np.zeros(256, bool)
+    for first, last in ("!~", "\u00a1\u00ac", "\u00ae\u00ff"):
+        seen[ord(first):ord(last) + 1] = True
+    return np.where(seen, np.arange(256), 255 + np.cumsum(~seen)).astype("<u2")
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def write(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Write the id files of (doc_id, text) in the shared folder and return their segments.
 
