@@ -513,6 +513,19 @@ def test_a_byte_without_an_id_leaves_the_others_whole(tmp_path):
     assert [np.frombuffer(ids, "<u4").tolist() for ids in tokenizer.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_blocks_are_counted_in_32_bits_and_keep_their_bytes():
+    k = np.arange(60_000, dtype=np.int64)
+    ids = ((k * k // 7 + k % 13 * 4_999) % 50_257).astype(np.uint32)
+    ids[20_000:50_000] = ids[:30_000]
+    ids[55_000:] = 65_535
+    coded = idfiles.encode(ids)
+    assert (len(coded), zlib.crc32(coded)) == (82918, 2640341527)  # as with 64 bits
+    assert (idfiles.decode(coded) == ids).all()
+    model = idfiles.Model(5)
+    model.predict(5)
+    assert {v.dtype for v in (*model.place(ids[:5]), *model.find(ids[:5]), *model.guess)} == {np.dtype(np.uint32)}
+
+
 def test_a_block_learns_from_all_of_its_lanes():
     ids = np.tile(np.random.default_rng(3).integers(0, 50257, 1500), 40).astype(np.uint32)
     coded = idfiles.encode(ids)

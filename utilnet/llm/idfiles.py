@@ -50,15 +50,20 @@ OTHER, SPACE_, LETTER, NUMBER = range(4)
 
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 40)
+_C1, _C2 = np.uint32(0x1E3779B1), np.uint32(0x25EBCA6B)
 
 
 class Model:
-    """What a block has taught so far, for all of its lanes; every step predicts one id in each lane."""
+    """What a block has taught so far, for all of its lanes; every step predicts one id in each lane.
+
+    All of it is counted in 32 bits, and choices are sums of products: half of them go either way,
+    which is slow to branch on.
+    """
 
     def __init__(self, lanes: int):
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.guess = [np.zeros(1 << 16, np.int32), np.zeros(1 << SLOT_BITS, np.int32)]  # trust << 16 | id
+        self.last = np.zeros(lanes, np.uint32)
+        self.before = np.zeros(lanes, np.uint32)
+        self.guess = [np.zeros(1 << 16, np.uint32), np.zeros(1 << SLOT_BITS, np.uint32)]  # trust << 16 | id
         self.count = np.zeros(1 << 16, np.int64)
         self.fresh: list[np.ndarray] = []  # ids not yet counted
         self.came = np.zeros((3, 32), np.int64)  # neither order right, order 1, order 2; by class
@@ -71,8 +76,8 @@ class Model:
         k = np.arange(32)
         one, two, same = (k >> 1) & 3, k >> 3, k & 1
         total = 2 * self.came.sum(axis=0) + 4
-        self.two = np.where(two > 0, 4080 * (2 * self.came[2] + 1) // total, 0)
-        self.one = np.where((one > 0) & ~((same > 0) & (two > 0)), 4080 * (2 * self.came[1] + 1) // total, 0)
+        self.two = np.where(two > 0, 4080 * (2 * self.came[2] + 1) // total, 0).astype(np.uint32)
+        self.one = np.where((one > 0) & ~((same > 0) & (two > 0)), 4080 * (2 * self.came[1] + 1) // total, 0).astype(np.uint32)
 
     def _spread(self) -> None:
         """Order 0: the share of every id, of 1 << SHARE_BITS, at least one."""
@@ -80,68 +85,74 @@ class Model:
             self.count += np.bincount(np.concatenate(self.fresh), minlength=1 << 16)
             self.fresh = []
         free = (1 << SHARE_BITS) - (1 << 16)
-        self.size = self.count * free // max(int(self.count.sum()), 1) + 1
-        self.size[self.size.argmax()] += (1 << SHARE_BITS) - int(self.size.sum())
-        self.low = np.cumsum(self.size) - self.size
+        size = self.count * free // max(int(self.count.sum()), 1) + 1
+        size[size.argmax()] += (1 << SHARE_BITS) - int(size.sum())
+        self.size, self.low = size.astype(np.uint32), (np.cumsum(size) - size).astype(np.uint32)
         self.owner: np.ndarray | None = None
 
     def predict(self, n: int) -> None:
         """Guesses of the first n lanes and the ranges, of 1 << TOTAL_BITS, that they take."""
-        last = self.last[:n].copy()
-        self.at = [last, ((self.before[:n] * 0x1E3779B1 + last * 0x25EBCA6B) >> 12) & ((1 << SLOT_BITS) - 1)]
-        self.seen = [g.take(at) for g, at in zip(self.guess, self.at)]
-        (one, two), (t1, t2) = [e & 0xFFFF for e in self.seen], [e >> 16 for e in self.seen]
-        same = (one == two) & (t2 > 0)
-        self.kind = (t2 << 3) + (t1 << 1) + same
+        last = self.last[:n].astype(np.int64)
+        self.at = [last, ((self.before[:n] * _C1 + self.last[:n] * _C2) >> (32 - SLOT_BITS)).astype(np.int64)]
+        one, two = (g.take(at) for g, at in zip(self.guess, self.at))
+        self.trust = t1, t2 = one >> 16, two >> 16
+        self.g1, self.g2 = one, two = one & 0xFFFF, two & 0xFFFF
+        self.has2 = t2 > 0
+        same = (one == two) & self.has2
+        self.has1 = (t1 > 0) & ~same
+        self.kind = ((t2 << 3) + (t1 << 1) + same).astype(np.int64)
         w1, w2 = self.one.take(self.kind), self.two.take(self.kind)
         self.rest = 4096 - w1 - w2
         # what a guess has from order 0 lies beside its weight and is left out below
-        self.own1 = self.size.take(one) * ((t1 > 0) & ~same)
-        self.own2 = self.size.take(two) * (t2 > 0)
-        self.g1, self.g2 = one, two
+        self.own1 = self.size.take(one) * self.has1
+        self.own2 = self.size.take(two) * self.has2
         self.m2 = (w2 << SHARE_BITS) + self.rest * self.own2
-        self.m12 = self.m2 + (w1 << SHARE_BITS) + self.rest * self.own1
+        self.m1 = (w1 << SHARE_BITS) + self.rest * self.own1
+
+    def _meet(self, x: np.ndarray) -> None:
+        """Which guesses are right, and which of them had a range."""
+        self.right = x == self.g1, x == self.g2
+        self.is1, self.is2 = self.right[0] & self.has1, self.right[1] & self.has2
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the ranges of ids."""
-        is2 = (x == self.g2) & (self.own2 > 0)
-        is1 = (x == self.g1) & (self.own1 > 0)
-        low = self.low.take(x) - self.own2 * (self.g2 < x) - self.own1 * (self.g1 < x)
-        start = np.where(is2, 0, np.where(is1, self.m2, self.m12 + self.rest * low))
-        return start, np.where(is2, self.m2, np.where(is1, self.m12 - self.m2, self.rest * self.size.take(x)))
+        self._meet(x)
+        other = ~(self.is1 | self.is2)
+        at = x.astype(np.int64)
+        low = self.low.take(at) - self.own2 * (self.g2 < x) - self.own1 * (self.g1 < x)
+        start = self.is1 * self.m2 + other * (self.m2 + self.m1 + self.rest * low)
+        return start, self.is2 * self.m2 + self.is1 * self.m1 + other * (self.rest * self.size.take(at))
 
     def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose range holds the target, and that range."""
         if self.owner is None:
-            self.owner = np.repeat(np.arange(1 << 16, dtype=np.int32), self.size)
-        is2 = target < self.m2
-        x, start, size = np.where(is2, self.g2, self.g1), np.where(is2, 0, self.m2), np.where(is2, self.m2, self.m12 - self.m2)
-        left = np.flatnonzero(target >= self.m12)
+            self.owner = np.repeat(np.arange(1 << 16, dtype=np.uint16), self.size)
+        is1, m12 = target >= self.m2, self.m2 + self.m1
+        x = self.g2 + is1 * (self.g1 - self.g2)
+        start, size = is1 * self.m2, self.m2 + is1 * (self.m1 - self.m2)
+        left = np.flatnonzero(target >= m12)
         if len(left):
-            rest, base, g1, g2, own1, own2 = (v[left] for v in (self.rest, self.m12, self.g1, self.g2, self.own1, self.own2))
-            at = (target[left] - base) // rest
-            turn = g1 < g2
-            first, second = np.where(turn, g1, g2), np.where(turn, g2, g1)
-            at += np.where(turn, own1, own2) * (at >= self.low.take(first))
-            at += np.where(turn, own2, own1) * (at >= self.low.take(second))
-            found = self.owner.take(at)
-            x[left] = found
-            start[left] = base + rest * (self.low.take(found) - own2 * (g2 < found) - own1 * (g1 < found))
-            size[left] = rest * self.size.take(found)
+            rest, base, g1, g2, own1, own2 = (v.take(left) for v in (self.rest, m12, self.g1, self.g2, self.own1, self.own2))
+            at = (target.take(left) - base) // rest
+            more = (g1 < g2) * (own1 - own2)  # of the smaller guess first
+            at += (own2 + more) * (at >= self.low.take(np.minimum(g1, g2)))
+            at += (own1 - more) * (at >= self.low.take(np.maximum(g1, g2)))
+            where = self.owner.take(at).astype(np.int64)
+            x[left] = found = where.astype(np.uint32)
+            start[left] = base + rest * (self.low.take(where) - own2 * (g2 < found) - own1 * (g1 < found))
+            size[left] = rest * self.size.take(where)
+        self._meet(x)
         return x, start, size
 
     def learn(self, x: np.ndarray) -> None:
         """Ids of a step; of lanes in one context the last one counts."""
         n = len(x)
-        right = [x == self.g1, x == self.g2]
-        new = x | 65536
-        for guess, at, seen, hit in zip(self.guess, self.at, self.seen, right):
-            after = np.where(seen < 131072, new, seen - 65536)
-            np.copyto(after, np.minimum(seen + 65536, seen | 196608), where=hit)
-            guess[at] = after
+        for guess, at, old, trust, hit in zip(self.guess, self.at, (self.g1, self.g2), self.trust, self.right):
+            # a right guess is trusted more, up to 3; a wrong one less, or replaced if its trust is below 2
+            most = trust & (trust >> 1)
+            guess[at] = x + (trust >> 1) * (old - x) + ((most + hit * (trust - (most << 1)) + 1) << 16)
         # agreeing guesses are one of order 2
-        which = np.where(right[1] & (self.own2 > 0), 64, (right[0] & (self.own1 > 0)) * 32)
-        self.came += np.bincount(which + self.kind, minlength=96).reshape(3, 32)
+        self.came += np.bincount(self.kind + (self.is2 * 64 + self.is1 * 32), minlength=96).reshape(3, 32)
         self.before[:n] = self.last[:n]
         self.last[:n] = x
         self.fresh.append(x)
@@ -157,57 +168,57 @@ def _renew(low: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
     end = low + size
     settled = (low ^ end) < _TOP
     live = np.flatnonzero(settled | (size < _BOT))
-    settled = settled[live]
+    settled = settled.take(live)
     while len(live):
         tight = live[~settled]
-        size[tight] = (~low[tight] + _U(1)) & (_BOT - _U(1))
+        if len(tight):
+            size[tight] = (~low[tight] + _U(1)) & (_BOT - _U(1))
         yield live
-        a, b = low[live] << _U(16), size[live] << _U(16)
+        a, b = low.take(live) << _U(16), size.take(live) << _U(16)
         low[live], size[live] = a, b
         settled = (a ^ (a + b)) < _TOP
-        more = settled | (b < _BOT)
-        live, settled = live[more], settled[more]
+        more = np.flatnonzero(settled | (b < _BOT))
+        live, settled = live.take(more), settled.take(more)
 
 
 def _encode_block(ids: np.ndarray) -> bytes:
     lanes = -(-len(ids) // LANE)
-    table = np.zeros(lanes * LANE, np.int32)
+    table = np.zeros(lanes * LANE, np.uint32)
     table[:len(ids)] = ids
     table = np.ascontiguousarray(table.reshape(lanes, LANE).T)
     tail = len(ids) - (lanes - 1) * LANE
     model = Model(lanes)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    width = 3 * LANE + 16
-    out, used = np.zeros(lanes * width, "<u2"), np.arange(lanes) * width
+    owners, words = [], []  # of the words in the order of steps
     for t in range(min(LANE, len(ids))):
         n = lanes if t < tail else lanes - 1
         model.predict(n)
         x = table[t, :n]
         start, own = model.place(x)
         step = size[:n] >> _U(TOTAL_BITS)
-        low[:n] += step * start.view(np.uint64)
-        size[:n] = step * own.view(np.uint64)
+        low[:n] += step * start
+        np.multiply(step, own, out=size[:n])
         for live in _renew(low[:n], size[:n]):
-            out[used[live]] = low[live] >> _U(48)
-            used[live] += 1
+            owners.append(live.astype(np.uint16))
+            words.append((low.take(live) >> _U(48)).astype("<u2"))
         model.learn(x)
-    used -= np.arange(lanes) * width
-    flush = (low[:, None] >> np.array([48, 32, 16, 0], np.uint64)).astype("<u2")
-    out = out.reshape(lanes, width)
-    words = [w for k in range(lanes) for w in (out[k, :used[k]].tobytes(), flush[k].tobytes())]
-    body = (used + 4).astype("<u2").tobytes() + b"".join(words)
-    own = ids.astype("<u4").tobytes()
-    return struct.pack("<IIII", len(ids), len(body), zlib.crc32(own), zlib.crc32(body)) + body
+    for k in (48, 32, 16, 0):
+        owners.append(np.arange(lanes, dtype=np.uint16))
+        words.append((low >> _U(k)).astype("<u2"))
+    owner = np.concatenate(owners)
+    body = np.bincount(owner, minlength=lanes).astype("<u2").tobytes()
+    body += np.concatenate(words).take(np.argsort(owner, kind="stable")).tobytes()
+    return struct.pack("<IIII", len(ids), len(body), zlib.crc32(ids.astype("<u4")), zlib.crc32(body)) + body
 
 
 def _decode_block(n_ids: int, body: bytes) -> np.ndarray:
     lanes = -(-n_ids // LANE)
     length = np.frombuffer(body, "<u2", lanes).astype(np.int64)
-    feed = np.concatenate([np.frombuffer(body, "<u2", offset=2 * lanes), np.zeros(8, "<u2")]).astype(np.uint64)
+    feed = np.concatenate([np.frombuffer(body, "<u2", offset=2 * lanes), np.zeros(8, "<u2")])
     used = np.cumsum(length) - length
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
-        code = (code << _U(16)) | feed[used]
+        code = (code << _U(16)) | feed.take(used)
         used += 1
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     model = Model(lanes)
@@ -217,13 +228,14 @@ def _decode_block(n_ids: int, body: bytes) -> np.ndarray:
         n = lanes if t < tail else lanes - 1
         model.predict(n)
         step = size[:n] >> _U(TOTAL_BITS)
-        target = np.minimum((code[:n] - low[:n]) // step, _U((1 << TOTAL_BITS) - 1))
-        x, start, own = model.find(target.view(np.int64))
-        low[:n] += step * start.view(np.uint64)
-        size[:n] = step * own.view(np.uint64)
+        target = np.minimum((code[:n] - low[:n]) // step, _U((1 << TOTAL_BITS) - 1)).astype(np.uint32)
+        x, start, own = model.find(target)
+        low[:n] += step * start
+        np.multiply(step, own, out=size[:n])
         for live in _renew(low[:n], size[:n]):
-            code[live] = (code[live] << _U(16)) | feed[used[live]]
-            used[live] += 1
+            at = used.take(live)
+            code[live] = (code.take(live) << _U(16)) | feed.take(at)
+            used[live] = at + 1
         model.learn(x)
         table[t, :n] = x
     return table.T.reshape(-1)[:n_ids]
