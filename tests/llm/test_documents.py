@@ -451,6 +451,15 @@ def test_added_tokens_are_read_as_the_library_reads_them(spark):
     assert [r.start for r in rows] == np.cumsum([0, *map(len, want)])[:-1].tolist()
 
 
+def test_files_are_read_with_ids_or_their_checksums_alone(spark, odd_docs):
+    files = idfiles.write(odd_docs, P.path("byte_bpe_50k.json"), P.PATTERN)
+    whole, short = idfiles.read(files), idfiles.read(files, ids=False)
+    assert short.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    rows = whole.collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens for r in rows)
+    same_rows([tuple(r) for r in short.collect()], [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows])
+
+
 def test_new_pieces_go_to_the_library_together():
     path = P.path("byte_bpe_50k.json")
     tokenizer = idfiles.Tokenizer(path, P.PATTERN)

@@ -67,12 +67,16 @@ class Model:
         self.count = np.zeros(1 << 16, np.int64)
         self.fresh: list[np.ndarray] = []  # ids not yet counted
         self.came = np.zeros((3, 32), np.int64)  # neither order right, order 1, order 2; by class
+        self.cases: list[np.ndarray] = []  # not yet counted there
         self.step = 0
         self._weigh()
         self._spread()
 
     def _weigh(self) -> None:
         """Weights, of 4096, by class: trust of order 2, trust of order 1, whether they agree."""
+        if self.cases:
+            self.came += np.bincount(np.concatenate(self.cases), minlength=96).reshape(3, 32)
+            self.cases = []
         k = np.arange(32)
         one, two, same = (k >> 1) & 3, k >> 3, k & 1
         total = 2 * self.came.sum(axis=0) + 4
@@ -100,8 +104,9 @@ class Model:
         self.has2 = t2 > 0
         same = (one == two) & self.has2
         self.has1 = (t1 > 0) & ~same
-        self.kind = ((t2 << 3) + (t1 << 1) + same).astype(np.int64)
-        w1, w2 = self.one.take(self.kind), self.two.take(self.kind)
+        self.kind = ((t2 << 3) + (t1 << 1)).astype(np.uint8) + same
+        kind = self.kind.astype(np.int64)
+        w1, w2 = self.one.take(kind), self.two.take(kind)
         self.rest = 4096 - w1 - w2
         # what a guess has from order 0 lies beside its weight and is left out below
         self.own1 = self.size.take(one) * self.has1
@@ -152,7 +157,7 @@ class Model:
             most = trust & (trust >> 1)
             guess[at] = x + (trust >> 1) * (old - x) + ((most + hit * (trust - (most << 1)) + 1) << 16)
         # agreeing guesses are one of order 2
-        self.came += np.bincount(self.kind + (self.is2 * 64 + self.is1 * 32), minlength=96).reshape(3, 32)
+        self.cases.append(self.kind + (self.is2.view(np.uint8) << 6) + (self.is1.view(np.uint8) << 5))
         self.before[:n] = self.last[:n]
         self.last[:n] = x
         self.fresh.append(x)
@@ -474,8 +479,8 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def read(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, from the files.
+def read(segments: DataFrame, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids, ids_crc32) of every document, from the files; without ``ids`` the others.
 
     ``start`` counts the ids of all documents before it; only one number for each part of the
     files is ever in one place.
@@ -490,21 +495,24 @@ def read(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = decode(batch.column("body")[k].as_py())
+                found = decode(batch.column("body")[k].as_py())
                 with pa.ipc.open_stream(batch.column("docs")[k].as_py()) as source:
                     index = source.read_next_batch()
                 n = index.column("n").to_numpy()
                 ends = np.cumsum(n)
                 for a in range(0, len(n), 2000):
                     pairs = list(zip((ends - n)[a:a + 2000].tolist(), ends[a:a + 2000].tolist()))
-                    yield pa.RecordBatch.from_pydict({
+                    rows = {
                         "doc_id": index.column("doc_id").slice(a, 2000),
                         "part": pa.array([batch.column("part")[k].as_py()] * len(pairs), pa.int32()),
                         "nth": pa.array([batch.column("nth")[k].as_py()] * len(pairs), pa.int32()),
                         "at": pa.array([x for x, _ in pairs], pa.int64()), "n_tokens": pa.array(n[a:a + 2000], pa.int64()),
-                        "ids": pa.array([ids[x:y].tobytes() for x, y in pairs], pa.binary())})
+                        "ids_crc32": pa.array([zlib.crc32(found[x:y]) for x, y in pairs], pa.int64())}
+                    if ids:
+                        rows["ids"] = pa.array([found[x:y].tobytes() for x, y in pairs], pa.binary())
+                    yield pa.RecordBatch.from_pydict(rows)
 
     rows = segments.select("part", "nth", "docs", "body").mapInArrow(
-        run, "doc_id long, part int, nth int, at long, n_tokens long, ids binary")
-    return rows.withColumn("ids_crc32", F.crc32("ids")).join(starts, ["part", "nth"]).select(
-        "doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids", "ids_crc32")
+        run, "doc_id long, part int, nth int, at long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return rows.join(starts, ["part", "nth"]).select(
+        "doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", *["ids"] * ids, "ids_crc32")
