@@ -47,6 +47,8 @@ BUCKET_TEXT = 8 << 20  # bytes of text for each bucket of anchors
 SHARD = 1 << 20  # bytes of pieces in a suffix array
 HOT = 20_000  # surroundings of an anchor beyond which its spans are dealt out one by one
 FAN = 256  # blocks whose copies of a piece are settled together
+GROUPS = 512  # groups of buckets up to which a bucket travels alone
+ANCHOR_FAN, PIECE_FAN = 4, 32  # buckets of anchors, of pieces, in a group at most
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: never smaller than another
 HOLDS = 1 << 62  # added to the place of a piece that stands for others of its block
 
@@ -161,22 +163,23 @@ def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Pieces of text: ``start`` in ``raw``, ``count`` spans each, document id, place of origin."""
+    """Pieces of text: ``start`` in ``raw``, ``count`` spans each, document id, place of origin, and bucket in the group."""
 
-    def __init__(self, raw, start, count, doc, place, source=None):
+    def __init__(self, raw, start, count, doc, place, source=None, part=None):
         self.raw, self.start, self.count, self.doc, self.place = raw, start, count, doc, place
         self.source = np.zeros(len(start), np.int64) if source is None else source
+        self.part = np.zeros(len(start), np.uint8) if part is None else part
 
     @property
     def size(self) -> np.ndarray:
         return self.count + SPAN - 1
 
     def take(self, index: np.ndarray) -> "Pieces":
-        return Pieces(self.raw, self.start[index], self.count[index], self.doc[index], self.place[index], self.source[index])
+        return Pieces(self.raw, self.start[index], self.count[index], self.doc[index], self.place[index], self.source[index], self.part[index])
 
     def compact(self) -> "Pieces":
         size = self.size
-        return Pieces(_gather(self.raw, self.start, size), np.cumsum(size) - size, self.count, self.doc, self.place, self.source)
+        return Pieces(_gather(self.raw, self.start, size), np.cumsum(size) - size, self.count, self.doc, self.place, self.source, self.part)
 
     def settled(self) -> np.ndarray:
         """Pieces equal, byte by byte, to a piece of a smaller document: wholly covered."""
@@ -225,7 +228,7 @@ class Pieces:
     def dump(self, index: np.ndarray) -> bytes:
         p = self.take(index)
         head = np.array([len(index)], np.int64).tobytes()
-        head += p.count.astype(np.int32).tobytes() + p.doc.astype(np.int64).tobytes() + p.place.astype(np.int64).tobytes()
+        head += p.count.astype(np.int32).tobytes() + p.doc.astype(np.int64).tobytes() + p.place.astype(np.int64).tobytes() + p.part.tobytes()
         size = p.size
         zip_ = zstandard.ZstdCompressor(level=3).compressobj(size=len(head) + int(size.sum()))
         out = [zip_.compress(head)]
@@ -240,9 +243,10 @@ class Pieces:
         count = np.frombuffer(body, np.int32, n, 8).astype(np.int64)
         doc = np.frombuffer(body, np.int64, n, 8 + 4 * n)
         place = np.frombuffer(body, np.int64, n, 8 + 12 * n)
-        raw = np.frombuffer(body, np.uint8, -1, 8 + 20 * n)
+        part = np.frombuffer(body, np.uint8, n, 8 + 20 * n)
+        raw = np.frombuffer(body, np.uint8, -1, 8 + 21 * n)
         size = count + SPAN - 1
-        return Pieces(raw, np.cumsum(size) - size, count, doc, place, np.full(n, source))
+        return Pieces(raw, np.cumsum(size) - size, count, doc, place, np.full(n, source), part)
 
     @staticmethod
     def joined(parts: list["Pieces"]) -> "Pieces":
@@ -250,7 +254,7 @@ class Pieces:
         shift = np.cumsum(lengths) - lengths
         return Pieces(np.concatenate([p.raw for p in parts]),
                       np.concatenate([p.start + s for p, s in zip(parts, shift)]),
-                      *(np.concatenate([getattr(p, k) for p in parts]) for k in ("count", "doc", "place", "source")))
+                      *(np.concatenate([getattr(p, k) for p in parts]) for k in ("count", "doc", "place", "source", "part")))
 
 
 def suffix_order(raw: np.ndarray, depth: int) -> np.ndarray:
@@ -455,9 +459,17 @@ def unhang(ranges: np.ndarray, hung: list[bytes]) -> np.ndarray:
     return merged(np.concatenate(out))
 
 
+def group_cover(parts: list[Pieces]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Covered ranges of all pieces of a group of buckets: no span is in two buckets."""
+    whole = Pieces.joined(parts)
+    order = np.argsort(whole.part, kind="stable")
+    for index in np.split(order, _starts(whole.part[order])[1:]):
+        yield from shard_cover([whole.take(index)])
+
+
 def shard_cover(parts: list[Pieces]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Covered ranges of all pieces of a bucket."""
-    whole = Pieces.joined(parts)
+    whole = parts[0] if len(parts) == 1 else Pieces.joined(parts)
     done, home = whole.settle()
     covered = whole.take(np.flatnonzero(done))
     yield covered.source, _ranges(covered)
@@ -521,6 +533,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     trim()
 
 
+def fan(buckets: int, most: int) -> int:
+    """Buckets that travel together. Each block has rows for all groups, so with one bucket in a group
+    the rows, and what each of them costs, would grow with the square of the input."""
+    return min(most, max(1, buckets // GROUPS))
+
+
 def _ids_hash(name: str) -> int:
     return int.from_bytes(hashlib.md5(name.encode()).digest()[:4], "big")
 
@@ -595,6 +613,9 @@ def block_pieces(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, found: n
 
 
 def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    wide = fan(buckets, PIECE_FAN)
+    groups = -(-buckets // wide)
+
     def run(batches):
         for row in _rows(batches):
             raw, offsets, rest = _open(row)
@@ -606,10 +627,12 @@ def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             left = np.flatnonzero(~done & (home == np.arange(len(home))))
             bucket = (route[left] >> _U(32)) * _U(buckets) >> _U(32)
             left, bucket = left[np.argsort(bucket, kind="stable")], np.sort(bucket)
+            pieces.part[left] = bucket % _U(wide)
+            bucket //= _U(wide)
             at = _starts(bucket)
             dumps = [pieces.dump(index) for index in np.split(left, at[1:])] if len(left) else []
             yield pa.RecordBatch.from_pydict({
-                "bucket": [*bucket[at].astype(np.int32).tolist(), int(_ids_hash(row["grp"]) % buckets)], "grp": [row["grp"]] * (len(dumps) + 1),
+                "bucket": [*bucket[at].astype(np.int32).tolist(), int(_ids_hash(row["grp"]) % groups)], "grp": [row["grp"]] * (len(dumps) + 1),
                 "pieces": [*dumps, None], "ranges": [None] * len(dumps) + [ranges.astype(np.int64).tobytes()],
                 "hung": [None] * len(dumps) + [hung]},
                 schema=PIECES)
@@ -661,15 +684,14 @@ def _cover(pieces: DataFrame) -> DataFrame:
         grps = table.column("grp").to_pylist()
         parts = [Pieces.load(x, k) for k, x in enumerate(table.column("pieces").to_pylist())]
         del table
-        found: dict[int, list[np.ndarray]] = {}
-        for source, ranges in shard_cover(parts):
-            order = np.argsort(source, kind="stable")
-            at = _starts(source[order])
-            for part in np.split(order, at[1:]) if len(order) else ():
-                found.setdefault(int(source[part[0]]), []).append(ranges[part])
-        own = pa.table({"grp": pa.array([grps[k] for k in found], pa.string()),
-                        "ranges": pa.array([apart(np.concatenate(v)).astype(np.int64).tobytes() for v in found.values()], pa.binary()),
-                        "hung": pa.nulls(len(found), pa.binary())})
+        found = [*group_cover(parts)]
+        source, ranges = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.argsort(source, kind="stable")
+        at = _starts(source[order])
+        each = [apart(ranges[mine]) for mine in np.split(order, at[1:])] if len(order) else []
+        own = pa.table({"grp": pa.array([grps[k] for k in source[order[at]]], pa.string()),
+                        "ranges": pa.array([r.astype(np.int64).tobytes() for r in each], pa.binary()),
+                        "hung": pa.nulls(len(each), pa.binary())})
         del parts
         trim()
         return pa.concat_tables([ready, own])
@@ -691,7 +713,8 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     blocks = cut(pack_blocks(base))
     total, count = blocks.agg(F.sum("size"), F.count("grp")).first()
     total = total or 0
-    shared = cut(_shared(_anchors(blocks, max(1, int(total // BUCKET_TEXT)))))
+    buckets = max(1, int(total // BUCKET_TEXT))
+    shared = cut(_shared(_anchors(blocks, -(-buckets // fan(buckets, ANCHOR_FAN)))))
     anchors = shared.agg(F.sum("n")).first()[0] or 0
     pieces = _pieces(blocks, shared, max(1, int(anchors * 100 // SHARD)))
     while count > FAN:
